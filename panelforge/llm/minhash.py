@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import cut, stored
@@ -98,7 +98,7 @@ def sketch(docs: DataFrame, width: int, rows: int, halves: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls long, keys array<long>")
 
 
-def bit_of(column) -> F.Column:
+def bit_of(column: Column) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import bpe, minhash, mixing, tokens, topk
+from panelforge.llm import bpe, embdedup, minhash, mixing, tokens, topk
 from panelforge.llm.common import read
 
 
@@ -82,11 +82,26 @@ c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
 SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id
 """
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+u AS (SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda y: y * y))) AS n FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+e AS (SELECT p.vec_id AS a, q.vec_id AS b FROM u p JOIN u q ON p.vec_id <> q.vec_id AND len(p.x) = len(q.x) WHERE p.n > 0 AND q.n > 0 AND list_dot_product(p.x, q.x) / (p.n * q.n) >= 0.95),
+r(vec_id, reached) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, e.b FROM r JOIN e ON e.a = r.reached),
+c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id),
+k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT c.vec_id, coalesce(k.n, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN k ON k.a = c.vec_id
+"""
+
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_source_mix": op4_source_mix,
     "op6_token_counts": op6_token_counts,
     "op9_exact_topk": op9_exact_topk,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
-ORACLE = {"op10_minhash_dedup": OP10_SQL, "op4_source_mix": OP4_SQL, "op9_exact_topk": OP9_SQL}
+ORACLE = {"op7_embedding_dedup": OP7_SQL, "op10_minhash_dedup": OP10_SQL, "op4_source_mix": OP4_SQL, "op9_exact_topk": OP9_SQL}
