@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import bpe, embdedup, minhash, mixing, tokens, topk
+from panelforge.llm import bpe, embdedup, minhash, mixing, pii, tokens, topk
 from panelforge.llm.common import read
 
 
@@ -21,6 +21,13 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["k"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.written("base").cast("binary"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     ranks = tokenizer("byte_bpe_multi_50k.tiktoken")
     docs = read(spark, sf_dir, "documents") if docs is None else docs
@@ -97,6 +104,7 @@ SELECT c.vec_id, coalesce(k.n, 0) AS n_links, component_id, c.vec_id = component
 """
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_source_mix": op4_source_mix,
     "op6_token_counts": op6_token_counts,
