@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import bpe, embdedup, minhash, mixing, pii, tokens, topk
+from panelforge.llm import bpe, embdedup, html, minhash, mixing, pii, tokens, topk
 from panelforge.llm.common import read
 
 
@@ -28,6 +28,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.written("base").cast("binary"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     ranks = tokenizer("byte_bpe_multi_50k.tiktoken")
     docs = read(spark, sf_dir, "documents") if docs is None else docs
@@ -105,6 +109,7 @@ SELECT c.vec_id, coalesce(k.n, 0) AS n_links, component_id, c.vec_id = component
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_html_text": op2_html_text,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_source_mix": op4_source_mix,
     "op6_token_counts": op6_token_counts,
