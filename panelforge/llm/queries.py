@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import bpe, embdedup, html, minhash, mixing, pii, tokens, topk
+from panelforge.llm import bpe, embdedup, html, minhash, mixing, pii, quality, tokens, topk
 from panelforge.llm.common import read
 
 
@@ -59,6 +59,22 @@ SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN draw < r
 """
 
 
+def remainder(doc_id, by: int):
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(by))
+
+
+def quality_model(spark: SparkSession, sf_dir: str):
+    docs = read(spark, sf_dir, "documents").where(remainder(F.col("doc_id"), 5) != 0)
+    return quality.fit(docs, read(spark, sf_dir, "labels"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality_model(spark, sf_dir))
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.count_tokens(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -112,6 +128,7 @@ QUERIES = {
     "op2_html_text": op2_html_text,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_source_mix": op4_source_mix,
+    "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
     "op9_exact_topk": op9_exact_topk,
     "op7_embedding_dedup": op7_embedding_dedup,
