@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import bpe, embdedup, html, minhash, mixing, pii, quality, tokens, topk
+from panelforge.llm import bpe, embdedup, html, lm, minhash, mixing, pii, quality, tokens, topk
 from panelforge.llm.common import read
 
 
@@ -80,6 +80,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op8_ngram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False))
+    scored = lm.score(read(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return scored.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
@@ -130,6 +136,7 @@ QUERIES = {
     "op4_source_mix": op4_source_mix,
     "op5_quality": op5_quality,
     "op6_token_counts": op6_token_counts,
+    "op8_ngram_score": op8_ngram_score,
     "op9_exact_topk": op9_exact_topk,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
