@@ -1,7 +1,64 @@
-"""A corpus pipeline over documents."""
+"""A corpus pipeline: quality, near-duplicates, personal data, source weights, token ids.
+
+Every stage takes the session, documents and the folder of the tables, and works on all rows that it is given. All
+but the last return the columns of documents. Rows without doc_id pass the near-duplicate stage unchanged, as
+its decisions are by doc_id; of several rows with one doc_id it keeps one. There is no SQL for the whole: the
+classifier, the candidate search and the tokenizer can't be written in it (ORACLE_SQL is None; tests hold each
+stage against brute force).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelforge.llm import minhash, mixing, pii, queries, quality
+from panelforge.llm.common import read
 
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    scored = quality.score(docs, queries.quality_model(spark, sf_dir))
+    return scored.where(F.col("score") >= 0.3).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
+    found = minhash.near_duplicates(docs.where("doc_id is not null"))
+    kept = found.where("kept").select("doc_id").distinct()
+    chosen = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return chosen.union(docs.where("doc_id is null"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind; n_chars follows."""
+    redacted = pii.redact(docs)
+    return redacted.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else redacted
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the weights of their sources have it."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, their number, and the digests of ids and decoded bytes."""
+    return queries.op3_byte_bpe(spark, sf_dir, docs)
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("PII", redact_personal_data),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
