@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from panelforge import oracle
 from panelforge.functions.factors import FAMILIES, REGISTRY
+from panelforge.operators import books, evaluate, relate, section
 from panelforge.plans import compiler, expr, sql
 from panelforge.sources import panel as panels
+from panelforge.streaming import bars as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -73,3 +75,159 @@ for name, value in PRIMITIVES.items():
     QUERIES[f"primitive_{name}"], ORACLE[f"primitive_{name}"] = panel_query({"value": value})
 SIX = ["best_001", "best_002", "original_001", "stock_001", "add_015", "old_042"]
 QUERIES["factor_set_six"], ORACLE["factor_set_six"] = panel_query(joint_set(factor_set(SIX)))
+
+
+# -- operators: queries over the weekly panel, with hand-written SQL
+
+
+def register(name: str, run: Callable[[SparkSession, str], DataFrame], text: str | None = None) -> None:
+    QUERIES[name] = run
+    if text is not None:
+        ORACLE[name] = f"WITH {oracle.BARS.strip()}, {text.strip()}" if not text.lstrip().upper().startswith(("SELECT", "WITH")) else text
+
+
+def over_panel(operator: Callable[[DataFrame, int], DataFrame], decimals: int = DECIMALS, keep: tuple[str, ...] = ("t", "n")):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(operator(*weekly_panel(spark, sf_dir)), decimals, keep)
+
+    return run
+
+
+def near(e: str, decimals: int = DECIMALS) -> str:
+    return f"round({e} + {sql.OFF_TIES!r}::DOUBLE, {decimals}) + 0.0::DOUBLE"
+
+
+TARGETS = """lagged AS (SELECT *, lag(close, 1, 0) OVER w AS before, coalesce(lag(mask) OVER w, FALSE) AS before_ok, lead(close) OVER w AS later, mask AND coalesce(lead(mask) OVER w, FALSE) AS ok,
+  lag(close, 20) OVER w AS past, coalesce(lag(mask, 20) OVER w, FALSE) AS past_ok FROM panel WINDOW w AS (PARTITION BY n ORDER BY t)),
+targets AS (SELECT *, CASE WHEN ok THEN later / greatest(close, 1e-9) - 1 ELSE 0 END AS target, CASE WHEN mask AND before_ok THEN close / greatest(before, 1e-9) - 1 ELSE 0 END AS ret,
+  CASE WHEN t >= 20 THEN close / greatest(past, 1e-12) - 1 ELSE 0 END AS score FROM lagged)"""
+
+register("panel_bars", over_panel(lambda p, n: p.drop("date", "stock")), f"final AS (SELECT t, n, {', '.join(f'{near(c)} AS {c}' for c in ('open', 'high', 'low', 'close', 'volume', 'vwap', 'amount'))}, mask FROM panel) SELECT * FROM final")
+register("panel_returns", over_panel(lambda p, n: panels.with_returns(p).select("t", "n", "ret", "ret__m")), f"{TARGETS}, final AS (SELECT t, n, {near('ret')} AS ret, mask AND before_ok AS ret__m FROM targets) SELECT * FROM final")
+register("panel_coverage", over_panel(lambda p, n: panels.coverage(p)), f"final AS (SELECT n, count(*) AS cells, count(*) FILTER (mask) AS valid, {near('avg(mask::INT)')} AS share, min(t) FILTER (mask) AS first_t, max(t) FILTER (mask) AS last_t FROM panel GROUP BY n) SELECT * FROM final")
+register("panel_violations", over_panel(lambda p, n: panels.violations(p).groupBy().agg(F.count("*").alias("n_violations"))), "final AS (SELECT count(*) AS n_violations FROM panel WHERE mask AND (high < greatest(open, low, close) OR low > least(open, high, close))) SELECT * FROM final")
+register("forward_return", over_panel(lambda p, n: section.forward_return(p).select("t", "n", "target", "target__m")), f"{TARGETS}, final AS (SELECT t, n, {near('target')} AS target, ok AS target__m FROM targets) SELECT * FROM final")
+register("limit_move_mask", over_panel(lambda p, n: section.limit_move_mask(p, 0.5).select("t", "n", "free")), f"{TARGETS}, final AS (SELECT t, n, mask AND t > 0 AND before_ok AND abs(close / greatest(before, 1e-9) - 1) <= 0.5 AS free FROM targets) SELECT * FROM final")
+BREADTH = f"""{TARGETS}, cells AS (SELECT t, 'CR' AS family, CASE WHEN before_ok THEN close / greatest(before, 1e-9) - 1 ELSE 0 END AS r FROM targets WHERE mask UNION ALL SELECT t, 'OR', open / greatest(before, 1e-9) - 1 FROM targets WHERE mask AND before_ok),
+binned AS (SELECT t, family, CAST(greatest(least(round_even(r * 100, 0), 10), -10) AS INTEGER) AS bucket FROM cells),
+final AS (SELECT t, family, bucket, {near("count(*) / (sum(count(*)) OVER (PARTITION BY t, family))::DOUBLE")} AS frac FROM binned GROUP BY t, family, bucket) SELECT * FROM final"""
+register("market_breadth", over_panel(lambda p, n: section.breadth(p)), BREADTH)
+
+
+def industries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    supplier, nation = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    return supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"]).select(F.col("s_suppkey").alias("stock"), F.col("n_regionkey").alias("industry"))
+
+
+def neutral_query(size: str | None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        panel, _ = weekly_panel(spark, sf_dir)
+        joined = panel.join(industries(spark, sf_dir), "stock").withColumn("size", F.log1p("volume"))
+        return rounded(section.neutralise_industry(joined, "close", "industry", size=size).select("t", "n", "neutral"), 3)
+
+    return run
+
+
+NEUTRAL = """j AS (SELECT p.*, n_regionkey AS industry, ln(1 + volume) AS size, CASE WHEN mask THEN close END AS x FROM panel p JOIN supplier ON s_suppkey = stock JOIN nation ON n_nationkey = s_nationkey),
+r1 AS (SELECT *, x - avg(x) OVER g AS r, CASE WHEN mask THEN size END - avg(CASE WHEN mask THEN size END) OVER g AS s FROM j WINDOW g AS (PARTITION BY t, industry)),
+r2 AS (SELECT *, {residual} AS e FROM r1),
+r3 AS (SELECT *, stddev_pop(e) OVER d AS sd, stddev_pop(x) OVER d AS sx, count(x) OVER d AS k FROM r2 WINDOW d AS (PARTITION BY t)),
+final AS (SELECT t, n, {value} AS neutral FROM r3) SELECT * FROM final"""
+VALUE = near("CASE WHEN mask AND k >= 2 AND sd > 1e-6 * sx THEN e / greatest(sd, 1e-300) ELSE 0 END", 3)
+register("neutralise_industry", neutral_query(None), NEUTRAL.format(residual="r", value=VALUE))
+register("neutralise_industry_size", neutral_query("size"), NEUTRAL.format(residual="r - s * sum(r * s) OVER (PARTITION BY t) / greatest(sum(s * s) OVER (PARTITION BY t), 1e-12)", value=VALUE))
+
+
+#: Daily price limit of the returns that books are tested on: prices of line items jump as no market's do.
+LIMIT = 0.1
+
+
+def scored(panel: DataFrame, n_dates: int) -> DataFrame:
+    """t, n, score (20-row momentum), target, ret, valid."""
+    rows = books.momentum_score(panels.with_returns(section.forward_return(panel)))
+    past = F.lag("mask", 20, False).over(section.over_time())
+    kept = lambda c: F.greatest(F.least(F.col(c), F.lit(LIMIT)), F.lit(-LIMIT)).alias(c)
+    return rows.select("t", "n", "score", kept("target"), kept("ret"), (F.col("mask") & past).alias("valid"), (F.col("target__m") & past).alias("known"), "close", "volume")
+
+
+SCORED = f"""{TARGETS}, scored AS (SELECT t, n, score, greatest(least(target, 0.1), -0.1) AS target, greatest(least(ret, 0.1), -0.1) AS ret, mask AND past_ok AS valid, ok AND past_ok AS known FROM targets)"""
+IC = f"""{SCORED}, f AS (SELECT t, round(score, 9) AS x, round(target, 9) AS y FROM scored WHERE known),
+k AS (SELECT t, rank() OVER (PARTITION BY t ORDER BY x) + (count(*) OVER (PARTITION BY t, x) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY t ORDER BY y) + (count(*) OVER (PARTITION BY t, y) - 1) / 2.0::DOUBLE AS b FROM f),
+ic AS (SELECT t, CASE WHEN count(*) >= 3 THEN CASE WHEN stddev_pop(a) * stddev_pop(b) > 1e-12 THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) ELSE 0 END END AS ic FROM k GROUP BY t)"""
+daily_ic = lambda p, n: evaluate.daily_rank_ic(scored(p, n), "score", "target", "known")
+register("rank_ic_daily", over_panel(daily_ic), f"{IC}, final AS (SELECT t, {near('ic')} AS ic FROM ic) SELECT * FROM final")
+register("ic_summary", over_panel(lambda p, n: evaluate.ic_summary(daily_ic(p, n))), f"{IC}, final AS (SELECT {near('avg(ic)')} AS mean_ic, {near('median(ic)')} AS median_ic, {near('stddev_samp(ic)')} AS std_ic, {near('avg(CASE WHEN ic > 0 THEN 1.0::DOUBLE ELSE 0 END)')} AS positive_rate, count(ic) AS n_dates FROM ic) SELECT * FROM final")
+register("rolling_ic", over_panel(lambda p, n: evaluate.rolling_ic(daily_ic(p, n))), f"{IC}, final AS (SELECT t, {near('ic')} AS ic, {near('CASE WHEN count(ic) OVER w >= 20 THEN avg(ic) OVER w END')} AS rolling_ic FROM ic WINDOW w AS (ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) SELECT * FROM final")
+register("pooled_ic", over_panel(lambda p, n: evaluate.pooled_ic(scored(p, n), "score", "target", "known")), f"{SCORED}, final AS (SELECT {near('covar_pop(score, target) / (stddev_pop(score) * stddev_pop(target))')} AS ic, count(*) AS n_cells FROM scored WHERE known) SELECT * FROM final")
+register("adjusted_mse", over_panel(lambda p, n: evaluate.adjusted_mse(scored(p, n).where("known"), "score", "target")), f"{SCORED}, final AS (SELECT {near('avg((score - target) * (score - target) * CASE WHEN score * target > 0 THEN 0.1 ELSE 1.1 END)')} AS adjusted_mse, {near('-covar_pop(score, target) / (stddev_pop(score) * stddev_pop(target))')} AS ic_loss FROM scored WHERE known) SELECT * FROM final")
+
+
+def two_books(p: DataFrame, n: int) -> DataFrame:
+    rows = scored(p, n)
+    return books.equal_weight(rows).select(F.lit("equal").alias("strategy"), "*").union(books.top_quantile(rows, "score").select(F.lit("momentum").alias("strategy"), "*"))
+
+
+WEIGHTS = f"""{SCORED}, tops AS (SELECT *, row_number() OVER (PARTITION BY t, valid ORDER BY round(score, 9) DESC, n DESC) AS place, greatest(1, ceil(count(*) OVER (PARTITION BY t, valid) * 0.2::DOUBLE - 1e-9)) AS k FROM scored),
+weights AS (SELECT 'equal' AS strategy, t, n, CASE WHEN valid THEN 1.0::DOUBLE / greatest(sum(valid::INT) OVER (PARTITION BY t), 1) ELSE 0 END AS weight FROM scored
+  UNION ALL SELECT 'momentum', t, n, CASE WHEN valid AND place <= k THEN 1.0::DOUBLE / k ELSE 0 END FROM tops)"""
+BACKTEST = f"""{WEIGHTS}, moved AS (SELECT w.*, ret, lag(weight, 1, 0) OVER (PARTITION BY strategy, w.n ORDER BY w.t) AS held FROM weights w JOIN scored s ON s.t = w.t AND s.n = w.n),
+days2 AS (SELECT strategy, t, sum(held * ret) AS gross, sum(CASE WHEN t > 0 THEN abs(weight - held) ELSE 0 END) AS traded FROM moved GROUP BY strategy, t),
+curve AS (SELECT strategy, t, gross, traded * 5e-4 AS cost, traded * 0.5 AS turnover, gross - traded * 5e-4 AS net FROM days2)"""
+register("portfolio_weights", over_panel(two_books, 6), f"{WEIGHTS}, final AS (SELECT strategy, t, n, {near('weight', 6)} AS weight FROM weights) SELECT * FROM final")
+register("rebalanced_weights", over_panel(lambda p, n: books.rebalanced(books.top_quantile(scored(p, n), "score"), 5), 6), f"{WEIGHTS}, final AS (SELECT t, n, {near('coalesce(last_value(CASE WHEN t % 5 = 0 THEN weight END IGNORE NULLS) OVER (PARTITION BY n ORDER BY t ROWS UNBOUNDED PRECEDING), 0)', 6)} AS weight FROM weights WHERE strategy = 'momentum') SELECT * FROM final")
+curve_of = lambda p, n: books.backtest(two_books(p, n), scored(p, n))
+register("backtest", over_panel(curve_of), f"{BACKTEST}, final AS (SELECT strategy, t, {', '.join(f'{near(c)} AS {c}' for c in ('gross', 'cost', 'turnover', 'net'))} FROM curve) SELECT * FROM final")
+register("cost_grid", over_panel(lambda p, n: books.cost_grid(two_books(p, n), scored(p, n)).groupBy("strategy").agg(F.sum("net").alias("net"), F.sum("cost").alias("cost"))), f"{BACKTEST}, final AS (SELECT printf('%s @ %.2f_bps', strategy, bps) AS strategy, {near('sum(gross - traded * bps * 1e-4)')} AS net, {near('sum(traded * bps * 1e-4)')} AS cost FROM days2, (SELECT unnest([0.0::DOUBLE, 7.0, 15.0, 30.0]) AS bps) GROUP BY strategy, bps) SELECT * FROM final")
+register("metrics", over_panel(lambda p, n: evaluate.metrics(curve_of(p, n), 52)), f"""{BACKTEST}, eq AS (SELECT *, exp(sum(ln(1 + greatest(net, -0.999999999))) OVER (PARTITION BY strategy ORDER BY t ROWS UNBOUNDED PRECEDING)) AS equity FROM curve),
+fall AS (SELECT *, 1 - equity / max(equity) OVER (PARTITION BY strategy ORDER BY t ROWS UNBOUNDED PRECEDING) AS fall FROM eq),
+m AS (SELECT strategy, count(*) AS n_periods, arg_max(equity, t) AS fe, avg(net) AS mean, coalesce(stddev_samp(net), 0) AS sd, coalesce(stddev_samp(net) FILTER (net < 0), 0) AS ld, max(fall) AS dd FROM fall GROUP BY strategy),
+final AS (SELECT strategy, n_periods, {near('fe')} AS final_equity, {near('pow(fe, 52.0::DOUBLE / n_periods) - 1')} AS ann_return, {near('sd * sqrt(52.0)')} AS ann_vol, {near('mean / sd * sqrt(52.0)')} AS sharpe, {near('mean / ld * sqrt(52.0)')} AS sortino, {near('dd')} AS max_drawdown, {near('(pow(fe, 52.0::DOUBLE / n_periods) - 1) / dd')} AS calmar FROM m) SELECT * FROM final""")
+register("head_per_date", over_panel(lambda p, n: relate.head_per_date(scored(p, n).where("known"), "score", "target")), f"{SCORED}, placed AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY round(score, 9) DESC, n) AS place FROM scored WHERE known), final AS (SELECT size, {near('avg(target)')} AS mean, {near('avg(CASE WHEN target > 0 THEN 1.0::DOUBLE ELSE 0 END)')} AS hit_rate, count(*) AS rows FROM placed, (SELECT unnest([1, 5, 10]) AS size) WHERE place <= size GROUP BY size) SELECT * FROM final")
+register("threshold_sweep", over_panel(lambda p, n: relate.threshold_sweep(scored(p, n).where("known"), "score", "target", (0.0, 0.1, 0.2))), f"{SCORED}, final AS (SELECT level, count(*) AS rows, {near('avg(target)')} AS mean FROM scored, (SELECT unnest([0.0::DOUBLE, 0.1, 0.2]) AS level) WHERE known AND score > level GROUP BY level) SELECT * FROM final")
+
+# -- operators over bars and events
+
+
+def bars_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.trade_bars(table(spark, sf_dir, "lineitem"))
+
+
+day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+register("next_row_join", lambda s, d: rounded(relate.next_row_join(bars_of(s, d), ["close", "date"]).select("stock", day("date"), day("next_date"), "next_close")), f"final AS (SELECT stock, strftime(date, '%Y-%m-%d') AS date, strftime(lead(date) OVER w, '%Y-%m-%d') AS next_date, {near('lead(close) OVER w')} AS next_close FROM bars WINDOW w AS (PARTITION BY stock ORDER BY date)) SELECT * FROM final")
+register("gap_segments", lambda s, d: relate.segments(bars_of(s, d), 14).groupBy("stock", "seg").agg(F.count("*").alias("bars")), "g AS (SELECT stock, date, CASE WHEN date_diff('day', lag(date) OVER w, date) > 14 THEN 1 ELSE 0 END AS new FROM bars WINDOW w AS (PARTITION BY stock ORDER BY date)), h AS (SELECT stock, CAST(sum(new) OVER (PARTITION BY stock ORDER BY date ROWS UNBOUNDED PRECEDING) AS INTEGER) AS seg FROM g), final AS (SELECT stock, seg, count(*) AS bars FROM h GROUP BY stock, seg) SELECT * FROM final")
+
+
+def month_ends(bars: DataFrame) -> DataFrame:
+    return relate.keep_first(bars.withColumn("month", F.date_trunc("month", "date")), ["stock", "month"], [F.desc("date")]).select("date", "stock", F.col("close").alias("month_close"))
+
+
+register("as_of_join", lambda s, d: rounded(relate.as_of(bars_of(s, d).select("date", "stock", "close"), month_ends(bars_of(s, d)), "month_close").select("stock", day("date"), "close", "month_close")), f"""snaps AS (SELECT stock, max(date) AS date, arg_max(close, date) AS month_close FROM bars GROUP BY stock, date_trunc('month', date)),
+final AS (SELECT b.stock, strftime(b.date, '%Y-%m-%d') AS date, {near('b.close')} AS close, {near('s.month_close')} AS month_close FROM bars b ASOF LEFT JOIN snaps s ON s.stock = b.stock AND s.date <= b.date) SELECT * FROM final""")
+register("expand_snapshots", lambda s, d: relate.expand_snapshots(month_ends(bars_of(s, d)), "2001-12-31").groupBy("stock").agg(F.count("*").alias("days")), "snaps AS (SELECT stock, max(date) AS date FROM bars GROUP BY stock, date_trunc('month', date)), r AS (SELECT stock, date, coalesce(lead(date) OVER (PARTITION BY stock ORDER BY date) - 1, DATE '2001-12-31') AS last FROM snaps), final AS (SELECT stock, CAST(sum(date_diff('day', date, last) + 1) AS BIGINT) AS days FROM r WHERE last >= date GROUP BY stock) SELECT * FROM final")
+
+
+def neighbour(s: SparkSession, d: str) -> DataFrame:
+    bars, supplier = bars_of(s, d), table(s, d, "supplier")
+    pair = supplier.select(F.col("s_suppkey").alias("stock1"), "s_nationkey", "s_acctbal").join(supplier.select(F.col("s_suppkey").alias("stock2"), "s_nationkey", F.col("s_acctbal").alias("other")), "s_nationkey").where("stock1 <> stock2")
+    return rounded(relate.with_neighbour(bars, pair.select("stock1", "stock2", (-F.abs(F.col("s_acctbal") - F.col("other"))).alias("rel")), ["close"]).select("stock", F.coalesce("near", F.lit(-1)).alias("near"), day("date"), "close", "near_close"))
+
+
+register("neighbour_join", neighbour, f"""pairs AS (SELECT a.s_suppkey AS stock, b.s_suppkey AS near, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY -abs(a.s_acctbal - b.s_acctbal) DESC, b.s_suppkey) AS place FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey),
+final AS (SELECT b.stock, coalesce(p.near, -1) AS near, strftime(b.date, '%Y-%m-%d') AS date, {near('b.close')} AS close, {near('o.close')} AS near_close FROM bars b LEFT JOIN pairs p ON p.stock = b.stock AND p.place = 1 LEFT JOIN bars o ON o.stock = p.near AND o.date = b.date) SELECT * FROM final""")
+register("order_bars", lambda s, d: rounded(panels.order_bars(table(s, d, "orders"), table(s, d, "customer")).withColumn("date", day("date")), 2), f"SELECT strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') AS date, c_nationkey AS stock, {near('arg_min(o_totalprice, row(o_orderdate, o_orderkey))', 2)} AS open, {near('max(o_totalprice)', 2)} AS high, {near('min(o_totalprice)', 2)} AS low, {near('arg_max(o_totalprice, row(o_orderdate, o_orderkey))', 2)} AS close, {near('count(*)::DOUBLE', 2)} AS volume, {near('round(sum(o_totalprice), 2)', 2)} AS amount, {near('round(sum(o_totalprice), 2) / count(*)', 2)} AS vwap FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY date_trunc('week', o_orderdate), c_nationkey")
+EPOCH = "CAST(floor(epoch({})) AS BIGINT)"
+seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp")).alias(c)
+register("event_bars", lambda s, d: rounded(stream.event_bars(table(s, d, "events")).withColumn("start", seconds("start"))), f"SELECT user_id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, {near('arg_min(value, row(ts, event_id))')} AS open, {near('max(value)')} AS high, {near('min(value)')} AS low, {near('arg_max(value, row(ts, event_id))')} AS close, count(*) AS n, {near('sum(value)')} AS total FROM events GROUP BY user_id, date_trunc('day', ts)")
+register("event_sessions", lambda s, d: rounded(stream.sessions(table(s, d, "events")).select("user_id", seconds("start"), "n", "total")), f"WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), h AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, {EPOCH.format('min(ts)')} AS start, count(*) AS n, {near('sum(value)')} AS total FROM h GROUP BY user_id, s")
+
+# -- what SQL can't express: rows only
+
+
+def buffered_book(p: DataFrame, n: int) -> DataFrame:
+    return books.buffered(scored(p, n).withColumn("strategy", F.lit("buffered")))
+
+
+register("buffered_weights", over_panel(buffered_book, 6))
+register("optimised_frontier", over_panel(lambda p, n: books.optimised(scored(p, n), (1.0, 10.0))))
+register("block_bootstrap", over_panel(lambda p, n: books.block_bootstrap(curve_of(p, n))))
+register("ic_weighted_score", over_panel(lambda p, n: books.ic_weighted_score(compiler.evaluate(p, {"f": expr.cs_zscore(REGISTRY["alpha_101"]), "g": expr.cs_zscore(REGISTRY["old_042"])}, n).join(scored(p, n).select("t", "n", "target", "known"), ["t", "n"]), ["f", "g"], "target", "known")))
