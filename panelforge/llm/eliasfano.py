@@ -34,7 +34,7 @@ class EliasFano:
 
     def __init__(self, values: np.ndarray, universe: int, levels: Levels):
         n = len(values)
-        self.n, self.low_bits = n, max(0, (universe // max(n, 1)).bit_length() - 1)
+        self.n, self.low_bits = n, min(56, max(0, (universe // max(n, 1)).bit_length() - 1))  # at most 56: one read of 8 bytes has them wherever they begin
         values = values.astype(np.uint64)
         high = (values >> np.uint64(self.low_bits)).astype(np.int64)
         self.buckets = int(high[-1]) + 2 if n else 1
