@@ -6,10 +6,10 @@ need about the square root of the hash functions that as many independent bands
 are candidates; links are confirmed on the whole sets.
 
 Rows with equal sets are one class, kept by a 64-bit digest of its set (and words, pairs and sets by 64-bit hashes
-likewise: with 10**6 different sets, the chance that any two digests meet is about 10**-7). Within a table's
-bucket, all classes are first compared with the smallest, then those in different components with the largest,
-and only what is still in different components with each other: the links found are the same as if all pairs
-of the bucket had been compared, as far as components go.
+likewise: with 10**6 different sets, the chance that any two digests meet is about 10**-7). Classes joined by keys
+are a group. In a group that is small, or whose buckets hold most of its pairs, all pairs are compared, in blocks
+by matrix products, and a spanning forest of the links is kept; in a large loose group, the pairs that share a
+key are. Either way every candidate pair is compared on its whole sets.
 
 A pair of similarity s shares a key with probability (1 - (1 - s ** ROWS) ** HALVES) ** 2: 0.9994 at 0.8, over
 0.99993 from 0.85.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from panelforge.llm.common import cut, stored
 from panelforge.llm.graph import components
 
-ROWS, HALVES, PERCENT, WORDS = 2, 8, 80, 5
+ROWS, HALVES, PERCENT, WORDS, BLOCK = 2, 8, 80, 5, 512
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Bits of the filter of candidate ids that goes to all tasks: 1 MB, whatever the input.
 FILTER_BITS = 1 << 23
@@ -155,37 +155,115 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(ones, "a").join(others, "b").where(sized).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, rows: int = ROWS, halves: int = HALVES) -> DataFrame:
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of some sets."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, item, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1  # what only one set holds is in no intersection
+    shared = times[item] > 1
+    owner, item = owner[shared], place[item[shared]]
+    columns, counts = int(item.max(initial=-1)) + 1, np.zeros((n, n), np.float32)
+    order = np.argsort(item, kind="stable")
+    owner, item = owner[order], item[order]
+    width = max(1, 4_000_000 // n)
+    for at in range(0, columns, width):
+        first, last = np.searchsorted(item, [at, at + width])
+        dense = np.zeros((n, min(width, columns - at)), np.float32)
+        dense[owner[first:last], item[first:last] - at] = 1
+        counts += dense @ dense.T
+    return counts
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Fewer than n of the pairs that join what all of them join."""
+    parent, kept = list(range(n)), []
+    for u, v in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = u, v
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[x] = y
+            kept.append((u, v))
+    return kept
+
+
+def confirm_blocks(grouped: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within groups, as many as keep their components. grouped: cls, set, g, blocks.
+
+    A group falls into blocks, and any two of its blocks meet in one place, where all intersections are counted by
+    matrix products over what at least two sets hold.
+    """
+    own = F.pmod(F.xxhash64("cls"), F.col("blocks"))
+    dealt = grouped.select("cls", "set", "g", own.alias("own"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
+    dealt = dealt.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "set")
+    dealt = dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+
+    def links(key, rows):
+        if len(rows) < 2:
+            return []
+        sets = [np.frombuffer(x, np.uint64) for _, _, x in rows]
+        size, block = np.array([len(x) for x in sets]), np.array([o for o, _, _ in rows])
+        both = common_counts(sets)
+        linked = np.triu(100.0 * both >= percent * (size[:, None] + size[None, :] - both.astype(float)), 1)
+        if key[1] != key[2]:
+            linked &= block[:, None] != block[None, :]
+        a, b = np.nonzero(linked)
+        return [(rows[u][1], rows[v][1]) for u, v in forest(len(rows), a, b)]
+
+    def run(batches):
+        key, rows = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in range(5)]
+            raw = batch.column(5)
+            found = []
+            for at, (g, i, j, own, cls) in enumerate(zip(*columns, strict=True)):
+                if (g, i, j) != key:
+                    found += links(key, rows)
+                    key, rows = (g, i, j), []
+                rows.append((own, cls, raw[at].as_py()))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+        if found := links(key, rows):
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def confirmed(members: DataFrame, candidates: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links of the classes that share keys. members: key, cls; candidates: pairs that join all classes of a key."""
+    groups = cut(components(candidates).select(F.col("node").alias("cls"), F.col("component").alias("g")))
+    buckets = members.join(groups, "cls").groupBy("key").agg(F.min("g").alias("g"), F.count("*").alias("n"))
+    pairs = buckets.groupBy("g").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
+    sizes = groups.groupBy("g").agg(F.count("*").alias("size")).join(pairs, "g")
+    dense = (F.col("size") <= 2 * block) | (F.col("size") * F.col("size") <= 8 * F.col("pairs"))
+    sizes = cut(sizes.select("g", dense.alias("dense"), F.ceil(F.col("size") / block).alias("blocks")))
+    grouped = sets.join(groups, "cls").join(sizes.where("dense"), "g").select("cls", "set", "g", "blocks")
+    links = cut(confirm_blocks(grouped, percent))
+    thin = sizes.where("not dense").select("g")
+    if thin.isEmpty():
+        return links
+    open_ones = members.join(groups.join(thin, "g"), "cls").select("key", "cls")
+    left, right = open_ones.withColumnRenamed("cls", "a"), open_ones.withColumnRenamed("cls", "b")
+    found = left.join(right, "key").where("a < b").select("a", "b").distinct()
+    return links.union(cut(confirm(found, sets, percent)))
+
+
+def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, rows: int = ROWS, halves: int = HALVES, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = sketch(docs, width, rows, halves)
     rows_of = stored(sketched)
     classes = rows_of.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.any_value("keys").alias("keys"))
     filed = classes.select(F.explode("keys").alias("key"), "cls")
-    shared = filed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high")
+    shared = filed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").drop("high")
     members = stored(filed.join(shared, "key"))
-    pair = lambda df, to: df.where(F.col("cls") != F.col(to)).select(F.least("cls", to).alias("a"), F.greatest("cls", to).alias("b"))
+    pairs = members.where("cls <> low").select(F.col("cls").alias("a"), F.col("low").alias("b")).distinct()
     representatives = classes.select("cls", "doc_id").join(members.select("cls").distinct(), "cls")
     sets = stored(sets_of(docs, representatives, width))
-
-    tried = cut(pair(members, "low").distinct())
-    links = cut(confirm(tried, sets, percent))
-    for step in ("high", "all"):
-        # buckets of more than two classes whose classes are not yet in one component
-        known = components(links)
-        placed = members.join(known.select(F.col("node").alias("cls"), "component"), "cls", "left").select("key", "cls", "low", "high", F.coalesce("component", "cls").alias("component"))
-        spread = placed.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other"), F.count("*").alias("n")).where("one < other and n > 2").select("key")
-        open_ones = placed.join(spread, "key")
-        if step == "high":
-            found = pair(open_ones, "high")
-        else:
-            left = open_ones.select("key", F.col("cls").alias("a"), F.col("component").alias("component_a"))
-            right = open_ones.select("key", F.col("cls").alias("b"), F.col("component").alias("component_b"))
-            found = left.join(right, "key").where("a < b and component_a <> component_b").select("a", "b")
-        more = cut(found.distinct().join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            break
-        links, tried = cut(links.union(confirm(more, sets, percent))), tried.union(more)
+    links = confirmed(members.select("key", "cls"), pairs, sets, percent, block)
     known = components(links)
     return labelled(rows_of, classes.select("cls", "doc_id"), known)
 
