@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from panelforge.llm.common import cut, stored
 from panelforge.llm.graph import components
 
-ROWS, HALVES, PERCENT, WORDS, BLOCK = 2, 8, 80, 5, 512
+ROWS, HALVES, PERCENT, WORDS, BLOCK = 2, 8, 80, 5, 1024
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Bits of the filter of candidate ids that goes to all tasks: 1 MB, whatever the input.
 FILTER_BITS = 1 << 23
@@ -115,7 +115,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, representatives: DataFrame, width: int) -> DataFrame:
-    """cls, set (binary) of the representatives (doc_id, cls). Texts are neither kept nor exchanged: the second pass over docs leaves out most others by a bitmap of bounded size, and what it lets through by chance goes with the join."""
+    """cls, set (binary) and what else representatives (doc_id, cls, ...) have. Texts are neither kept nor exchanged: the second pass over docs leaves out most others by a bitmap of bounded size, and what it lets through by chance goes with the join."""
     sent = docs.sparkSession.sparkContext.broadcast(id_filter(representatives.select("doc_id")))
 
     def run(batches):
@@ -134,8 +134,9 @@ def sets_of(docs: DataFrame, representatives: DataFrame, width: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "cls", "set"])
 
     found = docs.select("doc_id", "text", bit_of(F.col("doc_id")).alias("bit")).mapInArrow(run, "doc_id long, cls long, set binary")
-    wanted = representatives.select(F.col("doc_id").alias("of"), "cls")
-    return found.join(wanted, (found["cls"] == wanted["cls"]) & found["doc_id"].eqNullSafe(wanted["of"])).select(found["cls"], "set").dropDuplicates(["cls"])
+    wanted = representatives.withColumnRenamed("doc_id", "of")
+    joined = found.join(wanted, "cls").where(F.col("doc_id").eqNullSafe(F.col("of"))).drop("doc_id", "of")
+    return joined.dropDuplicates(["cls"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -232,23 +233,26 @@ def confirm_blocks(grouped: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def confirmed(members: DataFrame, candidates: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links of the classes that share keys. members: key, cls; candidates: pairs that join all classes of a key."""
+def confirmed(members: DataFrame, candidates: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """Links of the classes that share keys. members: key, cls; candidates: pairs that join all classes of a key; classes: cls, doc_id.
+
+    Groups are known before the sets are made, so that a set is exchanged with its group and then dealt to blocks.
+    """
     groups = cut(components(candidates).select(F.col("node").alias("cls"), F.col("component").alias("g")))
     buckets = members.join(groups, "cls").groupBy("key").agg(F.min("g").alias("g"), F.count("*").alias("n"))
     pairs = buckets.groupBy("g").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
     sizes = groups.groupBy("g").agg(F.count("*").alias("size")).join(pairs, "g")
     dense = (F.col("size") <= 2 * block) | (F.col("size") * F.col("size") <= 8 * F.col("pairs"))
     sizes = cut(sizes.select("g", dense.alias("dense"), F.ceil(F.col("size") / block).alias("blocks")))
-    grouped = sets.join(groups, "cls").join(sizes.where("dense"), "g").select("cls", "set", "g", "blocks")
-    links = cut(confirm_blocks(grouped, percent))
-    thin = sizes.where("not dense").select("g")
+    chosen = cut(classes.join(groups, "cls").join(sizes, "g"))
+    links = cut(confirm_blocks(sets_of(docs, chosen.where("dense").select("doc_id", "cls", "g", "blocks"), width), percent))
+    thin = chosen.where("not dense")
     if thin.isEmpty():
         return links
-    open_ones = members.join(groups.join(thin, "g"), "cls").select("key", "cls")
+    open_ones = members.join(thin.select("cls"), "cls").select("key", "cls")
     left, right = open_ones.withColumnRenamed("cls", "a"), open_ones.withColumnRenamed("cls", "b")
     found = left.join(right, "key").where("a < b").select("a", "b").distinct()
-    return links.union(cut(confirm(found, sets, percent)))
+    return links.union(cut(confirm(found, stored(sets_of(docs, thin.select("doc_id", "cls"), width)), percent)))
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, rows: int = ROWS, halves: int = HALVES, block: int = BLOCK) -> DataFrame:
@@ -261,9 +265,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT,
     shared = filed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").drop("high")
     members = stored(filed.join(shared, "key"))
     pairs = members.where("cls <> low").select(F.col("cls").alias("a"), F.col("low").alias("b")).distinct()
-    representatives = classes.select("cls", "doc_id").join(members.select("cls").distinct(), "cls")
-    sets = stored(sets_of(docs, representatives, width))
-    links = confirmed(members.select("key", "cls"), pairs, sets, percent, block)
+    links = confirmed(members.select("key", "cls"), pairs, classes.select("cls", "doc_id"), docs, width, percent, block)
     known = components(links)
     return labelled(rows_of, classes.select("cls", "doc_id"), known)
 
