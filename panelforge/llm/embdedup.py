@@ -3,9 +3,9 @@
 Method: spherical k-means, fitted on a bounded sample of the distinct vectors, deals every distinct vector to its
 nearest cell (its home). Blocked cosine products, in double precision, compare the vectors of a cell with each
 other and with guests: vectors of other cells that may be within the linking angle of one of its own. With
-slack=None a vector visits every cell for which that is possible at all, which loses no link (the bound is a
-plane's distance, see guests()); otherwise it visits the cells whose centroid's cosine is at most slack below
-its home's, which a link between vectors that differ in random directions all but never misses, and which keeps
+deviations=None a vector visits every cell for which that is possible at all, which loses no link (the bound is a
+plane's distance, see guests()); otherwise it visits the cells whose centroid's cosine is below its home's by at most
+that many deviations of the cosine between linked vectors that differ in a random direction, which keeps
 the number of comparisons far lower. Equal vectors are collapsed first and counted; large cells fall into blocks,
 and every pair of blocks is a task of its own. Each returns counts and a spanning forest, not pairs.
 
@@ -26,7 +26,7 @@ from panelforge.llm.graph import components
 
 THRESHOLD = 0.95
 #: Vectors that the centroids are fitted on at most; vectors of a cell aimed at; rows of a block.
-SAMPLE, CELL, BLOCK, SLACK = 20_000, 1024, 2048, 0.25
+SAMPLE, CELL, BLOCK, DEVIATIONS = 20_000, 1024, 2048, 2.5
 
 
 def usable(vec_id: Column, x: Column) -> Column:
@@ -40,6 +40,17 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+#: Numbers of cells for each length of vectors.
+CELLS = 1 << 24
+
+
+def short(x: np.ndarray) -> bytes:
+    """A vector's components, in 4 bytes each where these hold them exactly."""
+    with np.errstate(over="ignore"):
+        single = x.astype("<f4")
+    return single.tobytes() if (single == x).all() else x.astype("<f8").tobytes()
+
+
 def fit(sample: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Centroids of spherical k-means, started from evenly spaced rows of the sample."""
     centres = sample[np.linspace(0, len(sample) - 1, k).astype(int)].copy()
@@ -52,7 +63,7 @@ def fit(sample: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def guests(x: np.ndarray, centres: np.ndarray, threshold: float, slack: float | None) -> tuple[np.ndarray, np.ndarray]:
+def guests(x: np.ndarray, centres: np.ndarray, threshold: float, deviations: float | None) -> tuple[np.ndarray, np.ndarray]:
     """The home of each vector, and a table of the cells in which it must be compared.
 
     A vector z of cell c within angle t of y has z.(c - h) >= 0, where h is y's home; as z = y cos t + u sin t with
@@ -61,8 +72,8 @@ def guests(x: np.ndarray, centres: np.ndarray, threshold: float, slack: float |
     near = x @ centres.T
     home = near.argmax(1)
     gap = near[np.arange(len(x)), home][:, None] - near
-    if slack is not None:
-        return home, gap <= slack
+    if deviations is not None:  # of a difference sqrt(1 - t^2) long, against two centroids about at right angles
+        return home, gap <= deviations * np.sqrt((1 - threshold**2) * 2 / x.shape[1])
     between = 2 - 2 * centres @ centres.T
     across = np.maximum(between[home] - gap**2, 0)
     return home, gap <= np.sqrt(max(0.0, 1 - threshold**2)) / threshold * np.sqrt(across) + 1e-9
@@ -84,7 +95,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(v, root(v)) for v in parent if root(v) != v]
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, slack: float | None = SLACK, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, deviations: float | None = DEVIATIONS, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of embeddings (vec_id, embedding)."""
     spark = embeddings.sparkSession
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -102,11 +113,12 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, slack:
     def deal(frames):
         for frame in frames:
             for dim, part in frame.groupby(frame["x"].map(len)):
-                x = unit(np.stack(part["x"].to_numpy()).astype(float))
-                home, visits = guests(x, sent.value[dim], threshold, slack)
+                given = np.stack(part["x"].to_numpy()).astype(float)
+                x = unit(given)
+                home, visits = guests(x, sent.value[dim], threshold, deviations)
                 row, at = np.nonzero(visits)
-                raw = np.array([r.tobytes() for r in x], dtype=object)
-                yield pd.DataFrame({"cell": dim * 1_000_003 + at, "own": at == home[row], "v": part["v"].to_numpy()[row], "first": part["first"].to_numpy()[row], "n": part["n"].to_numpy()[row], "x": raw[row]})
+                raw = np.array([short(r) for r in given], dtype=object)
+                yield pd.DataFrame({"cell": dim * CELLS + at, "own": at == home[row], "v": part["v"].to_numpy()[row], "first": part["first"].to_numpy()[row], "n": part["n"].to_numpy()[row], "x": raw[row]})
 
     placed = stored(distinct.mapInPandas(deal, "cell long, own boolean, v long, first long, n long, x binary"))
     sizes = placed.groupBy("cell").agg(F.count("*").alias("all"), F.count_if("own").alias("own")).withColumns({"own_blocks": F.ceil(F.col("own") / block), "blocks": F.ceil(F.col("all") / block)}).where("own > 0")
@@ -121,7 +133,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, slack:
         empty = pd.DataFrame({"v": [], "linked": [], "a": [], "b": []}, dtype="int64")
         if not len(left) or not len(right):
             return empty
-        x, y = (np.frombuffer(b"".join(raw), float).reshape(len(raw), -1) for raw in (left["x"], right["x_"]))
+        dim = int(left["cell"].iloc[0]) // CELLS
+        x, y = (unit(np.stack([np.frombuffer(r, "<f4" if len(r) == 4 * dim else "<f8").astype(float) for r in raw])) for raw in (left["x"], right["x_"]))
         linked, ends = np.zeros(len(left), np.int64), []
         of_left, of_right = left["first"].to_numpy(), right["first_"].to_numpy()
         for at in range(0, len(x), 512):

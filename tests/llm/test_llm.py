@@ -245,8 +245,8 @@ def reach(ids, link):
     return found
 
 
-@pytest.mark.parametrize("slack", [None, embdedup.SLACK])
-def test_vectors(spark, slack):
+@pytest.mark.parametrize("deviations", [None, embdedup.DEVIATIONS])
+def test_vectors(spark, deviations):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(12, 16))
     rows = [(i, (centres[i % 12] + rng.normal(scale=0.12 if i % 5 else 0.35, size=16)).tolist()) for i in range(300)]
@@ -254,7 +254,7 @@ def test_vectors(spark, slack):
     df = spark.createDataFrame([(i, x, 1) for i, x in rows], "vec_id long, embedding array<double>, label int")
     link = brute_links(rows)
     component = reach([i for i, _ in rows], link)
-    got = embdedup.near_duplicates(df, slack=slack, cell=40, block=16).collect()
+    got = embdedup.near_duplicates(df, deviations=deviations, cell=40, block=16).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r["n_links"], r["component_id"], r["kept"]) == (len(link[r["vec_id"]]), component[r["vec_id"]], component[r["vec_id"]] == r["vec_id"])
