@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 #: A subtree is a template if it is on this share of its host's pages at least, and on so many pages.
 SHARE, PAGES = 0.3, 4
+SALTS = 64
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed iframe noframes".split())
@@ -238,7 +239,10 @@ def extract(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataF
     """page_id, url, text."""
     pages = pages.select("page_id", "url", "html")
     templates = site_templates(pages, share, least)
-    joined = pages.withColumn("host", host_of(F.col("url"))).join(templates, "host", "left").select("page_id", "url", "html", "templates")
+    # a host may have a third of all pages: its pages are dealt to SALTS places, each with the host's templates
+    templates = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = pages.withColumns({"host": host_of(F.col("url")), "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")})
+    joined = salted.join(templates, ["host", "salt"], "left").select("page_id", "url", "html", "templates")
 
     def run(batches):
         for batch in batches:
