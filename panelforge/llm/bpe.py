@@ -43,18 +43,35 @@ def parts(text: str, longest: int = PART) -> Iterator[str]:
     yield text[at:]
 
 
+#: Rows that a task holds and returns at a time.
+ROWS = 256
+
+
+def packed_ids(text: str | None, encoder) -> bytes:
+    import numpy as np
+
+    return np.asarray([i for part in parts(text or "") for i in encoder.encode_ordinary(part)], dtype="<u4").tobytes()
+
+
+def unpacked_bytes(ids: bytes, encoder) -> bytes:
+    import numpy as np
+
+    return encoder.decode_bytes(np.frombuffer(ids, dtype="<u4").tolist())
+
+
+def slices(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (binary: the ids as little-endian unsigned 32-bit integers)."""
 
     def run(batches):
-        import numpy as np
-
         encoder = encoding(ranks_path, pattern)
-        for batch in batches:
-            packed = []
-            for text in batch.column(1).to_pylist():
-                ids = [i for part in parts(text or "") for i in encoder.encode_ordinary(part)]
-                packed.append(np.asarray(ids, dtype="<u4").tobytes())
+        for batch in slices(batches):
+            packed = [packed_ids(x.as_py(), encoder) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
@@ -64,11 +81,22 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Adds decoded (binary): the bytes of the ids, which need not be valid UTF-8 where a sequence of ids was cut."""
 
     def run(batches):
-        import numpy as np
-
         encoder = encoding(ranks_path, pattern)
-        for batch in batches:
-            raw = [encoder.decode_bytes(np.frombuffer(x.as_buffer(), dtype="<u4").tolist()) for x in batch.column(2)]
+        for batch in slices(batches):
+            raw = [unpacked_bytes(x.as_py(), encoder) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """decode(encode(docs)) in one pass: one Python process for a task, and ids cross to it once."""
+
+    def run(batches):
+        encoder = encoding(ranks_path, pattern)
+        for batch in slices(batches):
+            packed = [packed_ids(x.as_py(), encoder) for x in batch.column(1)]
+            raw = [unpacked_bytes(x, encoder) for x in packed]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary()), pa.array(raw, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")

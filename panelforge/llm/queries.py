@@ -35,8 +35,7 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     ranks = tokenizer("byte_bpe_multi_50k.tiktoken")
     docs = read(spark, sf_dir, "documents") if docs is None else docs
-    encoded = bpe.encode(docs, ranks, pattern())
-    return bpe.decode(encoded, ranks, pattern()).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, ranks, pattern()).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
