@@ -167,7 +167,7 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     columns, counts = int(item.max(initial=-1)) + 1, np.zeros((n, n), np.float32)
     order = np.argsort(item, kind="stable")
     owner, item = owner[order], item[order]
-    width = max(1, 4_000_000 // n)
+    width = max(1, 2_000_000 // n)
     for at in range(0, columns, width):
         first, last = np.searchsorted(item, [at, at + width])
         dense = np.zeros((n, min(width, columns - at)), np.float32)
@@ -208,10 +208,15 @@ def confirm_blocks(grouped: DataFrame, percent: int) -> DataFrame:
         sets = [np.frombuffer(x, np.uint64) for _, _, x in rows]
         size, block = np.array([len(x) for x in sets]), np.array([o for o, _, _ in rows])
         both = common_counts(sets)
-        linked = np.triu(100.0 * both >= percent * (size[:, None] + size[None, :] - both.astype(float)), 1)
-        if key[1] != key[2]:
-            linked &= block[:, None] != block[None, :]
-        a, b = np.nonzero(linked)
+        ends = []
+        for at in range(0, len(rows), 256):  # exact in doubles, a few rows at a time
+            part = both[at : at + 256].astype(float)
+            linked = np.triu(100 * part >= percent * (size[at : at + 256, None] + size[None, :] - part), at + 1)
+            if key[1] != key[2]:
+                linked &= block[at : at + 256, None] != block[None, :]
+            a, b = np.nonzero(linked)
+            ends.append((a + at, b))
+        a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
         return [(rows[u][1], rows[v][1]) for u, v in forest(len(rows), a, b)]
 
     def run(batches):
