@@ -2,11 +2,11 @@
 
 Method: spherical k-means, fitted on a bounded sample of the distinct vectors, deals every distinct vector to its
 nearest cell (its home). Blocked cosine products, in double precision, compare the vectors of a cell with each
-other and with guests: vectors of other cells that may be within the linking angle of one of its own. With
-deviations=None a vector visits every cell for which that is possible at all, which loses no link (the bound is a
-plane's distance, see guests()); otherwise it visits the cells whose centroid's cosine is below its home's by at most
-that many deviations of the cosine between linked vectors that differ in a random direction, which keeps
-the number of comparisons far lower. Equal vectors are collapsed first and counted; large cells fall into blocks,
+other and with guests: vectors of other cells that may be within the linking angle of one of its own. A vector
+visits every cell for which that is possible at all, which loses no link of any data (the bound is a plane's distance,
+see guests()). Given deviations, it only visits the cells whose centroid's cosine is below its home's by at most that
+many deviations of the cosine between linked vectors that differ in a random direction: far fewer comparisons, but
+links that differ in other directions get lost, and some are counted at one end only. No query does so. Equal vectors are collapsed first and counted; large cells fall into blocks,
 and every pair of blocks is a task of its own. Each returns counts and a spanning forest, not pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing and
@@ -25,7 +25,7 @@ from panelforge.llm.common import stored
 from panelforge.llm.graph import components
 
 THRESHOLD = 0.95
-#: Vectors that the centroids are fitted on at most; vectors of a cell aimed at; rows of a block.
+#: Vectors that the centroids are fitted on at most; vectors of a cell aimed at; rows of a block; deviations that find most links.
 SAMPLE, CELL, BLOCK, DEVIATIONS = 20_000, 1024, 2048, 2.5
 
 
@@ -95,7 +95,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return [(v, root(v)) for v in parent if root(v) != v]
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, deviations: float | None = DEVIATIONS, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, deviations: float | None = None, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of embeddings (vec_id, embedding)."""
     spark = embeddings.sparkSession
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")

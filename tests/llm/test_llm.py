@@ -268,6 +268,25 @@ def test_vector_recall(spark):
     assert sum(got.values()) >= 0.99 * sum(map(len, link.values()))
 
 
+def test_links_in_few_directions_are_all_found(spark):
+    rng = np.random.default_rng(3)
+    x = np.zeros((3000, 64))
+    x[:, :8] = rng.normal(size=(3000, 8))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    u = np.zeros_like(x)
+    u[:, :8] = rng.normal(size=(3000, 8))
+    u -= (u * x).sum(1, keepdims=True) * x
+    u /= np.sqrt((u * u).sum(1, keepdims=True))
+    cosine = rng.uniform(0.951, 0.96, size=(3000, 1))
+    both = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * u])
+    near = both @ both.T >= 0.95
+    np.fill_diagonal(near, False)
+    component = reach(range(len(both)), [np.flatnonzero(r).tolist() for r in near])
+    df = spark.createDataFrame(list(enumerate(both.tolist())), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embdedup.near_duplicates(df, cell=64).collect()}
+    assert got == {i: (int(near[i].sum()), component[i]) for i in range(len(both))}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (5, 4)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
