@@ -1,7 +1,8 @@
 """Personal data: base patterns, and contextual extraction bootstrapped from them. DataFrame functions only.
 
-Method: the base patterns' finds are seed entities. An occurrence of an identifier (a run of non-blanks with a
-digit) has lexical patterns: the two words before it, and the word before with the word after. Patterns and
+Method: the base patterns' finds are seed entities. Each of them, blanks included, is an occurrence of an identifier;
+others are the runs of non-blanks with a digit or an at sign and the rows of such numbers between blanks, beside base
+spans. An occurrence has lexical patterns: the two words before it, and the word before with the word after. Patterns and
 identifiers are the two sides of a graph. In each round a pattern's confidence for a kind is the score of its
 identifiers known as that kind, over all its identifiers; confident patterns with enough seeds give unknown
 identifiers a score, 1 - product of (1 - confidence); those above a bound are known in the next round. Occurrences
@@ -26,7 +27,12 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-IDENTIFIER = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
+IDENTIFIER = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
+#: Stands for the characters of base spans where rows of numbers are sought.
+MASK = "\uffff"
+NUMBER = rf"[^{SPACE}0-9{MASK}]*+[0-9][^{SPACE}{MASK}]*+(?![^{SPACE}])"
+#: Two or more runs with a digit, with blanks between; a plus sign starts a new one.
+NUMBERS = rf"(?<![^{SPACE}]){NUMBER}(?:\x20++(?:[().-]++\x20++)*+(?!\+){NUMBER})++"
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Rounds; confidence of a pattern, its distinct seeds, score of an identifier, all at least.
 ROUNDS, CONFIDENCE, SEEDS, SCORE = 3, 0.8, 5, 0.8
@@ -69,12 +75,12 @@ def located(found: Column, gaps: Column) -> Column:
     return F.when(n > 0, F.aggregate(pairs, fresh, add)["spans"]).otherwise(fresh["spans"])
 
 
-def matches(df: DataFrame, name: str, pattern: str, guard: Column) -> DataFrame:
-    """Adds name: the located matches of pattern in text."""
+def matches(df: DataFrame, name: str, pattern: str, guard: Column, text: str = "text") -> DataFrame:
+    """Adds name: the located matches of pattern in the column text."""
     found, gaps = f"__{name}_found", f"__{name}_gaps"
     none = F.array().cast("array<string>")
-    df = df.withColumn(found, F.when(guard, F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))).otherwise(none))
-    df = df.withColumn(gaps, F.when(F.size(found) > 0, F.split("text", pattern, -1)).otherwise(none))
+    df = df.withColumn(found, F.when(guard, F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))).otherwise(none))
+    df = df.withColumn(gaps, F.when(F.size(found) > 0, F.split(text, pattern, -1)).otherwise(none))
     return df.withColumn(name, located(F.col(found), F.col(gaps))).drop(found, gaps)
 
 
@@ -93,32 +99,60 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return docs.withColumn("base", F.array_sort(F.concat(*parts)).cast(SPAN)).drop(*[f"__{kind}" for kind in KINDS])
 
 
+def masked(spanned: DataFrame) -> Column:
+    """The text with a mask in the place of each character of a base span."""
+    fresh = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def add(state, s):
+        start, end = F.greatest(state["at"], s["start"]), F.greatest(state["at"], s["end"])
+        between = F.substring(F.col("text"), state["at"] + 1, start - state["at"])
+        return F.struct(end.alias("at"), F.concat(state["parts"], F.array(between, F.repeat(F.lit(MASK), end - start))).alias("parts"))
+
+    folded = F.aggregate("base", fresh, add)
+    return F.when(F.size("base") > 0, F.concat(F.array_join(folded["parts"], ""), F.substring(F.col("text"), folded["at"] + 1, F.length("text")))).otherwise(F.col("text"))
+
+
+def candidate(s: Column, lead: str, main: Column) -> Column:
+    """A match without punctuation around it, of no known kind."""
+    before = F.length(F.regexp_extract(s["found"], lead, 1))
+    bare = F.regexp_replace(F.substring(s["found"], before + 1, F.length(s["found"])), r"""[)"'>\]}.,;:!?]++$""", "")
+    start = s["start"] + before
+    return F.struct(start.alias("start"), (start + F.length(bare)).alias("end"), bare.alias("identifier"), F.lit(None).cast("int").alias("kind"), main.alias("main"))
+
+
 def occurrences(spanned: DataFrame) -> DataFrame:
-    """doc_id, digest, start, end, identifier, kind (null: unknown), pattern: a row for each pattern of each identifier."""
-    with_runs = matches(spanned, "runs", IDENTIFIER, F.col("text").rlike("[0-9]"))
-    each = with_runs.select("doc_id", "digest", "base", F.explode("runs").alias("run"))
-    bare = F.regexp_replace(F.col("run.found"), r"""^[("'<\[{]+|[)"'>\]}.,;:!?]++$""", "")
-    lead = F.length(F.regexp_extract(F.col("run.found"), r"""^([("'<\[{]*)""", 1))
-    left, right = F.lower(F.right(F.col("run.left"), F.lit(100))), F.lower(F.substring(F.col("run.right"), 1, 50))
-    each = each.select("doc_id", "digest", "base", bare.alias("identifier"), (F.col("run.start") + lead).alias("start"), F.regexp_extract(left, rf"([^{SPACE}]+)[{SPACE}]+([^{SPACE}]+)[{SPACE}]+$", 1).alias("w2"), F.regexp_extract(left, rf"([^{SPACE}]+)[{SPACE}]+$", 1).alias("w1"), F.regexp_extract(right, rf"^[{SPACE}]+([^{SPACE}]+)", 1).alias("next"))
-    each = each.withColumn("end", F.col("start") + F.length("identifier")).where(F.length("identifier") >= 6)
-    hits = F.filter("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
+    """doc_id, digest, start, end, identifier, kind (null: unknown), main, pattern: a row for each pattern of each identifier.
+
+    A row of numbers whose first run is an identifier by itself isn't main: it doesn't count as another of the pattern.
+    """
+    spanned = matches(spanned, "runs", IDENTIFIER, F.col("text").rlike("[0-9@]"))
+    spanned = matches(spanned.withColumn("masked", masked(spanned)), "numbers", NUMBERS, F.col("text").rlike("[0-9]"), "masked").drop("masked")
+    seeds = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.substring(F.col("text"), b["start"] + 1, b["end"] - b["start"]).alias("identifier"), b["k"].alias("kind"), F.lit(True).alias("main")))
+    runs = F.transform("runs", lambda s: candidate(s, r"""^([("'<\[{]*)""", F.lit(True)))
+    first = lambda s: F.regexp_replace(F.regexp_extract(s["found"], rf"^([^{SPACE}]+)", 1), r"""^[("'<\[{]+|[)"'>\]}.,;:!?]++$""", "")
+    rows = F.transform("numbers", lambda s: candidate(s, r"""^([("'<\[{]*?)(?:\([0-9]+\)|[^("'<\[{])""", F.length(first(s)) < 6))
+    free = F.filter(F.concat(runs, rows), lambda s: (F.length(s["identifier"]) >= 6) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    beside = F.transform(F.concat(seeds, free), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["identifier"].alias("identifier"), s["kind"].alias("kind"), s["main"].alias("main"), F.substring(F.col("text"), F.greatest(s["start"] - 100, F.lit(0)) + 1, F.least(s["start"], F.lit(100))).alias("left"), F.substring(F.col("text"), s["end"] + 1, F.lit(50)).alias("right")))
+    each = spanned.select("doc_id", "digest", F.explode(beside).alias("s")).select("doc_id", "digest", "s.*")
+    # the last part before it and the first one after it are glued to it, or empty
+    left, right = (F.split(F.lower(x), f"[{SPACE}]+", -1) for x in ("left", "right"))
+    each = each.select("doc_id", "digest", "start", "end", "identifier", "kind", "main", F.try_element_at(left, F.lit(-3)).alias("w2"), F.try_element_at(left, F.lit(-2)).alias("w1"), F.try_element_at(right, F.lit(2)).alias("next"))
     both = F.when((F.col("w1") != "") & (F.col("w2") != ""), F.concat_ws(" ", F.lit("<"), "w2", "w1"))
     around = F.when((F.col("w1") != "") & (F.col("next") != ""), F.concat_ws(" ", F.lit("|"), "w1", "next"))
-    return each.select("doc_id", "digest", "start", "end", "identifier", F.get(hits, F.lit(0))["k"].alias("kind"), F.explode(F.filter(F.array(both, around), lambda p: p.isNotNull())).alias("pattern"))
+    return each.select("doc_id", "digest", "start", "end", "identifier", "kind", "main", F.explode(F.filter(F.array(both, around), lambda p: p.isNotNull())).alias("pattern"))
 
 
 def discover(spanned: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, seeds: int = SEEDS, score: float = SCORE) -> DataFrame | None:
     """doc_id, digest, more (SPAN) of the documents in which the patterns find what the base does not; None if there are none."""
     found = cut(occurrences(spanned))
-    edges = found.groupBy("pattern", "identifier").agg(F.min("kind").alias("kind"))
+    edges = found.groupBy("pattern", "identifier").agg(F.min("kind").alias("kind"), F.max("main").alias("main"))
     seeded = edges.where("kind is not null").select("pattern").distinct()
     edges = cut(edges.join(seeded, "pattern"))  # a pattern without a seed, now or later, can become confident only through identifiers that share others
     known = edges.where("kind is not null").groupBy("identifier").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0))
-    totals = edges.groupBy("pattern").agg(F.count("*").alias("total"), F.count("kind").alias("seeds")).where(F.col("seeds") >= seeds)
+    totals = edges.groupBy("pattern").agg(F.count_if("main").alias("total"), F.count("kind").alias("seeds")).where(F.col("seeds") >= seeds)
     trusted = None
     for _ in range(rounds):
-        scored = edges.select("pattern", "identifier").join(known, "identifier").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))
+        scored = edges.where("main").select("pattern", "identifier").join(known, "identifier").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))
         patterns = cut(scored.join(totals, "pattern").select("pattern", "kind", (F.col("mass") / F.col("total")).alias("confidence")).where(F.col("confidence") >= confidence))
         if patterns.isEmpty():
             return None

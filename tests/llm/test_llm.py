@@ -83,6 +83,26 @@ def test_patterns_discover_identifiers(spark):
     assert redacted == {"please charge <CARD> now", None}
 
 
+def discovered(spark, rows):
+    found = pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    return {r["text"]: [(pii.KINDS[s["k"]], r["text"][s["start"] : s["end"]]) for s in r["spans"] if s not in r["base"]] for r in found}
+
+
+def test_spans_with_blanks_or_without_digits_are_seeds(spark):
+    cards = [c for c in (f"4111 1111 1111 {i:04d}" for i in range(400)) if luhn(c.replace(" ", ""))][:8]
+    names = ["ann", "ben", "cem", "dan", "eva", "fay", "gus", "hal"]
+    rows = [f"please charge {c} now" for c in cards] + ["please charge 4111 1111 1111 999x now", "please charge 4111111111119998x 2 times"]
+    rows += [f"reach me on +1 (555) 010-77{i} today" for i in range(10, 18)] + ["reach me on (555) 010-78 today", "mail jo@x.org +1 555 reach me on 55 - 01 078, today"]
+    rows += [f"write to ({x}.doe@example.com), please" for x in names] + ["write to jane.roe@localhost please", "we met 2019 300 times"]
+    more = discovered(spark, rows)
+    assert ("card", "4111 1111 1111 999x") in more["please charge 4111 1111 1111 999x now"]
+    assert ("card", "4111111111119998x") in more["please charge 4111111111119998x 2 times"]
+    assert more["reach me on (555) 010-78 today"] == [("phone", "(555) 010-78")]
+    assert more["mail jo@x.org +1 555 reach me on 55 - 01 078, today"] == [("phone", "55 - 01 078")]
+    assert more["write to jane.roe@localhost please"] == [("email", "jane.roe@localhost")]
+    assert not more["we met 2019 300 times"] and not any(more[x] for x in rows[:8])
+
+
 def test_pii_query(spark, docs):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in queries.op1_pii(spark, SF).collect():
