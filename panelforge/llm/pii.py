@@ -4,8 +4,9 @@ Method: the base patterns' finds are seed entities. Each of them, blanks include
 others are the runs of non-blanks with a digit or an at sign and the rows of such numbers between blanks, beside base
 spans. An occurrence has lexical patterns: the two words before it, and the word before with the word after. Patterns and
 identifiers are the two sides of a graph. In each round a pattern's confidence for a kind is the score of its
-identifiers known as that kind, over all its identifiers; confident patterns with enough seeds give unknown
-identifiers a score, 1 - product of (1 - confidence); those above a bound are known in the next round. Occurrences
+identifiers known as that kind, over all its identifiers; confident patterns with enough known identifiers, of the base
+or discovered, give unknown identifiers a score, 1 - product of (1 - confidence); those above a bound are known in the
+next round, as long as any are added. Occurrences
 of identifiers so discovered, beside a confident pattern, are added; base spans always stay.
 
 Defined results: null and empty texts have no spans; repeated rows have equal spans; rows with a null id keep it;
@@ -34,8 +35,8 @@ NUMBER = rf"[^{SPACE}0-9{MASK}]*+[0-9][^{SPACE}{MASK}]*+(?![^{SPACE}])"
 #: Two or more runs with a digit, with blanks between; a plus sign starts a new one.
 NUMBERS = rf"(?<![^{SPACE}]){NUMBER}(?:\x20++(?:[().-]++\x20++)*+(?!\+){NUMBER})++"
 BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: Rounds; confidence of a pattern, its distinct seeds, score of an identifier, all at least.
-ROUNDS, CONFIDENCE, SEEDS, SCORE = 3, 0.8, 5, 0.8
+#: Confidence of a pattern, its distinct known identifiers, score of an identifier, all at least.
+CONFIDENCE, SEEDS, SCORE = 0.8, 5, 0.8
 SPAN = "array<struct<start:int,k:int,end:int>>"
 
 
@@ -142,22 +143,19 @@ def occurrences(spanned: DataFrame) -> DataFrame:
     return each.select("doc_id", "digest", "start", "end", "identifier", "kind", "main", F.explode(F.filter(F.array(both, around), lambda p: p.isNotNull())).alias("pattern"))
 
 
-def discover(spanned: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, seeds: int = SEEDS, score: float = SCORE) -> DataFrame | None:
+def discover(spanned: DataFrame, confidence: float = CONFIDENCE, seeds: int = SEEDS, score: float = SCORE) -> DataFrame | None:
     """doc_id, digest, more (SPAN) of the documents in which the patterns find what the base does not; None if there are none."""
     found = cut(occurrences(spanned))
     edges = found.groupBy("pattern", "identifier").agg(F.min("kind").alias("kind"), F.max("main").alias("main"))
-    seeded = edges.where("kind is not null").select("pattern").distinct()
-    edges = cut(edges.join(seeded, "pattern"))  # a pattern without a seed, now or later, can become confident only through identifiers that share others
-    known = edges.where("kind is not null").groupBy("identifier").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0))
-    totals = edges.groupBy("pattern").agg(F.count_if("main").alias("total"), F.count("kind").alias("seeds")).where(F.col("seeds") >= seeds)
-    trusted = None
-    for _ in range(rounds):
-        scored = edges.where("main").select("pattern", "identifier").join(known, "identifier").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"))
-        patterns = cut(scored.join(totals, "pattern").select("pattern", "kind", (F.col("mass") / F.col("total")).alias("confidence")).where(F.col("confidence") >= confidence))
-        if patterns.isEmpty():
-            return None
-        trusted = patterns
-        fresh = edges.where("kind is null").join(patterns.withColumnRenamed("kind", "of"), "pattern").groupBy("identifier", "of").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-12)))))).alias("score"))
+    # what has fewer identifiers than a pattern needs known ones can't become confident in any round
+    totals = cut(edges.groupBy("pattern").agg(F.count_if("main").alias("total")).where(F.col("total") >= seeds))
+    edges = cut(edges.join(totals.select("pattern"), "pattern"))
+    known = cut(edges.where("kind is not null").groupBy("identifier").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0)))
+    while True:
+        scored = edges.where("main").select("pattern", "identifier").join(known, "identifier").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count("*").alias("of_kind"))
+        enough = scored.groupBy("pattern").agg(F.sum("of_kind").alias("known")).where(F.col("known") >= seeds)
+        trusted = cut(scored.join(enough, "pattern").join(totals, "pattern").select("pattern", "kind", (F.col("mass") / F.col("total")).alias("confidence")).where(F.col("confidence") >= confidence))
+        fresh = edges.where("kind is null").join(trusted.withColumnRenamed("kind", "of"), "pattern").groupBy("identifier", "of").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-12)))))).alias("score"))
         best = fresh.where(F.col("score") >= score).groupBy("identifier").agg(F.max_by("of", F.struct("score", -F.col("of"))).alias("kind"), F.max("score").alias("score"))
         added = cut(best.join(known.select("identifier"), "identifier", "left_anti"))
         if added.isEmpty():

@@ -103,6 +103,15 @@ def test_spans_with_blanks_or_without_digits_are_seeds(spark):
     assert not more["we met 2019 300 times"] and not any(more[x] for x in rows[:8])
 
 
+def test_discovered_identifiers_bring_patterns_until_none_is_added(spark):
+    words = ["ask", "ring", "page", "hail", "wake"]
+    groups = [[f"u{i}@x.org" for i in range(900)], *([f"Q{g}X{i:05d}" for i in range(n)] for g, n in enumerate((180, 34, 6, 1)))]
+    rows = [f"{word} {word}er {x} again" for word, *both in zip(words, groups, groups[1:]) for x in itertools.chain(*both)] + ["ring ringer lunch Q9X00001 again"]
+    more = discovered(spark, rows)
+    assert [more[f"{word} {word}er {x} again"] for word, group in zip(words, groups[1:]) for x in group] == [[("email", x)] for group in groups[1:] for x in group]
+    assert not more["ring ringer lunch Q9X00001 again"]
+
+
 def test_pii_query(spark, docs):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in queries.op1_pii(spark, SF).collect():
