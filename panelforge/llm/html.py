@@ -4,7 +4,9 @@ Method: every element's subtree is hashed (names, class, id and role, and text);
 on which a subtree occurs; subtrees that recur across many pages of their host are deleted. Beside the counts,
 elements whose name, role or class says that they are no main text (menus, footers, forms, ...) go on any page,
 and if a page marks its article or main part, only that is kept. Inside a marked article, a recurring subtree
-goes only if it is no text block and holds none: a passage that many articles of a host share is still text.
+goes only if it is a block that is no text block, holds none and is in none: a passage that many articles of a host
+share is still text, and so are links and marks inside of passages. Elsewhere, no inline element goes out of the
+middle of running text either.
 
 Templates of a host are at most (subtrees of a page) / SHARE, however many pages it has.
 
@@ -42,6 +44,7 @@ HINTS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar foo
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/a-zA-Z][^>]*\Z|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACES = re.compile(r"\s+")
+WORD = re.compile(r"[^\W_]")
 
 
 class Node:
@@ -161,27 +164,39 @@ def main_parts(root: Node) -> list[Node]:
     return articles if articles and len(articles) == len(found) else found or [root]
 
 
+def deletable(root: Node, parts: list[Node]) -> list[Node]:
+    """The elements with text that may be templates.
+
+    In a marked part these are blocks that are no running text, hold none and are in none; elsewhere all but the
+    inline elements inside of running text.
+    """
+    marked = {id(x) for x in parts if x is not root}
+    found, todo = [], [(root, False, False, False)]
+    while todo:
+        node, inside, below, beside = todo.pop()
+        part, text, block = id(node) in marked, node.tag in TEXT, node.tag in BLOCK or node.tag in TEXT
+        kept = inside and (below or node.text_blocks or not block) or not block and (below or beside)
+        if node.text and node.tag and node.tag not in ("html", "body") and not part and not kept:
+            found.append(node)
+        inside, below, beside = inside or part, not part and (below or text), beside and not block
+        if not inside and not below:
+            beside |= any(isinstance(x, str) and WORD.search(x) for x in node.parts[1:])
+        todo += [(x, inside, below, beside) for x in node.parts[1:] if isinstance(x, Node)]
+    return found
+
+
 def subtrees(html: str | None) -> set[int]:
-    """Digests of the element subtrees with text of a page, without the blocks of running text of a marked article."""
+    """Digests of the element subtrees of a page that may be templates."""
     root = parse(html or "")
     hashed(root)
-    parts = main_parts(root)
-    protected = {id(x) for x in parts if x is not root}
-    found, todo = set(), [(root, False)]
-    while todo:
-        node, inside = todo.pop()
-        inside |= id(node) in protected
-        if node.text and node.tag and node.tag not in ("html", "body") and not (inside and node.text_blocks) and id(node) not in protected:
-            found.add(node.digest)
-        todo += [(x, inside) for x in node.parts[1:] if isinstance(x, Node)]
-    return found
+    return {x.digest for x in deletable(root, main_parts(root))}
 
 
 def main_text(html: str | None, templates: set[int]) -> str:
     root = parse(html or "")
     hashed(root)
     parts = main_parts(root)
-    marked = parts[0] is not root
+    gone = {id(x) for x in deletable(root, parts) if x.digest in templates} if templates else set()
     blocks: list[str] = []
     current: list[str] = []
 
@@ -198,7 +213,7 @@ def main_text(html: str | None, templates: set[int]) -> str:
                 flush()
             elif isinstance(x, str):
                 current.append(x)
-            elif x is not part and (x.drop or (x.digest in templates and not (marked and x.text_blocks))):
+            elif x is not part and (x.drop or id(x) in gone):
                 if x.tag in BLOCK:
                     flush()
             elif x.tag in VOID:

@@ -141,6 +141,16 @@ def test_site_templates_go(spark):
     assert got == {**{i: f"story {i}" for i in range(8)}, 9: "alone", 10: ""}
 
 
+def test_inline_elements_of_running_text_stay(spark):
+    marked = "<html><body><article><div><i>Share</i></div><h1>T{0}</h1><p>Story {0} is <code>None</code>, read <a href=/{0}>here</a>.</p><p><b>Same words.</b></p><ul><li><div>Item</div> {0}</ul><div>Bare {0} <em>text</em></div></article></body></html>"
+    plain = "<html><body><div><i>Share</i></div><p>Story {0} is <code>None</code>.</p><div>Bare {0} <em>text</em></div><p><b>Gone</b></p></body></html>"
+    rows = [(i, f"http://{host}.example/{i}", page.format(i)) for host, page, at in (("m", marked, 0), ("p", plain, 10)) for i in range(at, at + 6)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == f"T{i}\nStory {i} is None, read here.\nSame words.\nItem\n{i}\nBare {i} text"
+        assert got[10 + i] == f"Story {10 + i} is None.\nBare {10 + i} text"
+
+
 def test_html_query(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = queries.op2_html_text(spark, SF).collect()
