@@ -1,9 +1,9 @@
 """A corpus pipeline: quality, near-duplicates, personal data, source weights, token ids.
 
 Every stage takes the session, documents and the folder of the tables, and works on all rows that it is given. All
-but the last return the columns of documents. Rows without doc_id pass the near-duplicate stage unchanged, as
-its decisions are by doc_id; of several rows with one doc_id it keeps one. There is no SQL for the whole: the
-classifier, the candidate search and the tokenizer can't be written in it (ORACLE_SQL is None; tests hold each
+but the last return the columns of documents. The near-duplicate stage decides by text, so that a repeated or null
+doc_id loses no text and keeps no copy; blank texts are copies only of those with their doc_id. There is no SQL for the
+whole: the classifier, the candidate search and the tokenizer can't be written in it (ORACLE_SQL is None; tests hold each
 stage against brute force).
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import minhash, mixing, pii, queries, quality
-from panelforge.llm.common import read
+from panelforge.llm.common import SPACE, read
 
 ORACLE_SQL = None
 
@@ -25,11 +25,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
-    found = minhash.near_duplicates(docs.where("doc_id is not null"))
-    kept = found.where("kept").select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return chosen.union(docs.where("doc_id is null"))
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays, null last."""
+    digested = docs.withColumn("__digest", F.xxhash64("text"))
+    blank = ~F.coalesce("text", F.lit("")).rlike(f"[^{SPACE}]")
+    found = minhash.near_duplicates(digested.where(~blank).select(F.col("__digest").alias("doc_id"), "text"))
+    component = found.groupBy(F.col("doc_id").alias("__digest")).agg(F.min("component_id").alias("component"))
+    of_text = digested.where(~blank).groupBy("__digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "__digest")).alias("first"))
+    first = of_text.join(component, "__digest").groupBy("component").agg(F.min("first").alias("first"))
+    first = first.select(F.col("first.doc_id").alias("__of"), F.col("first.__digest").alias("__text"))
+    chosen = digested.where(~blank).join(first, (F.col("__digest") == F.col("__text")) & F.col("doc_id").eqNullSafe(F.col("__of")), "left_semi")
+    blanks = digested.where(blank)
+    single = chosen.union(blanks.where("doc_id is not null")).dropDuplicates(["doc_id", "__digest"])
+    return single.union(blanks.where("doc_id is null")).select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

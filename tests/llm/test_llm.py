@@ -488,6 +488,13 @@ def test_pipeline_stages(spark):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
+def test_dedup_decides_by_text(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, one), (1, two), (2, two + " end"), (None, one), (None, three), (None, three), (5, one), (6, ""), (7, " "), (6, ""), (None, None), (None, "")]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter([(1, one), (1, two), (None, three), (6, ""), (7, " "), (None, None), (None, "")])
+
+
 def test_pipeline_takes_odd_rows(spark, odd):
     table = odd.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"))
     for _, stage in corpus_pipeline.STAGES:
