@@ -37,7 +37,7 @@ def rolling_ic(daily: DataFrame, window: int = 60, least: int = 20) -> DataFrame
 
 
 def pooled_ic(rows: DataFrame, factor: str, target: str, valid: str) -> DataFrame:
-    """ic and rank_ic over all valid cells at once."""
+    """ic (Pearson's) and n_cells over all valid cells at once."""
     fine = rows.where(F.col(valid)).select(F.col(factor).alias("x"), F.col(target).alias("y"))
     return fine.agg(guarded_corr(F.col("x"), F.col("y")).alias("ic"), F.count("*").alias("n_cells"))
 
