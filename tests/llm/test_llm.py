@@ -179,7 +179,41 @@ def test_bpe_round_trip(odd, empty):
 def test_parts_keep_ids(docs):
     encoder = bpe.encoding(queries.tokenizer("byte_bpe_multi_50k.tiktoken"), queries.pattern())
     for text in [r["text"] for r in docs.limit(40).collect()] + ["a  b   c's d\n\n e " * 40, "x" * 500]:
-        assert [i for p in bpe.parts(text, 50) for i in encoder.encode_ordinary(p)] == encoder.encode_ordinary(text)
+        assert [i for p, _ in bpe.parts(text, 50) for i in encoder.encode_ordinary(p)] == encoder.encode_ordinary(text)
+
+
+def by_pretokens(text, encoder):
+    """Ids of each match of the pattern by itself."""
+    import regex
+
+    space = bpe.BLANK
+    pattern = queries.pattern().replace(r"[^\s\p{L}", rf"[^{space}\p{{L}}").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]")
+    return [i for match in regex.findall(pattern, text) for i in encoder._encode_single_piece(match)]
+
+
+def test_parts_of_mixed_signs():
+    encoder = bpe.encoding(queries.tokenizer("byte_bpe_multi_50k.tiktoken"), queries.pattern())
+    rng = np.random.default_rng(0)
+    signs = np.array([*"ab1 2\n\t 'st.!漢字、é\u3000🙂,_-\xa0", "'s", "  "])
+    for _ in range(1500):
+        text = "".join(rng.choice(signs, rng.integers(0, 60)))
+        want = encoder.encode_ordinary(text)
+        assert by_pretokens(text, encoder) == want
+        assert [i for p, _ in bpe.parts(text, int(rng.integers(2, 9))) for i in encoder.encode_ordinary(p)] == want
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "\xa0" * 1_000_001 + " y\t\t", "漢字。仮名" * 400_000, " \n" * 600_000 + "'s", "x" * 1_000_000])
+def test_bpe_of_long_texts(text):
+    encoder = bpe.encoding(queries.tokenizer("byte_bpe_multi_50k.tiktoken"), queries.pattern())
+    packed = bpe.packed_ids(text, encoder)
+    assert np.frombuffer(packed, "<u4").tolist() == by_pretokens(text, encoder)
+    assert bpe.unpacked_bytes(packed, encoder) == text.encode()
+
+
+def test_bpe_query_takes_long_white_space(spark):
+    docs = spark.createDataFrame([(1, "a" + " " * 1_500_000 + "b"), (None, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in queries.op3_byte_bpe(spark, SF, docs).collect()}
+    assert got[1]["decoded_sha256"] == hashlib.sha256(b"a" + b" " * 1_500_000 + b"b").hexdigest() and got[None]["n_tokens"] == 0
 
 
 def test_token_counts(odd, docs, empty):
