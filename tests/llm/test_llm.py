@@ -112,6 +112,29 @@ def test_discovered_identifiers_bring_patterns_until_none_is_added(spark):
     assert not more["ring ringer lunch Q9X00001 again"]
 
 
+@pytest.mark.parametrize("one", ["1.2.3.{}", "write to u{}@ex.org,", "+1 (555) 010-77{} and"])
+def test_pii_of_a_text_with_many_identifiers(spark, one):
+    text = " ".join(one.format(i % 256) for i in range(20_000)) + " ü🙂 end"
+    df = spark.createDataFrame([(1, text, 5, "kept", 6, 7, 8)], "doc_id long, text string, base int, spans string, digest int, more int, masked int")
+    r = pii.find(df).first()
+    assert [tuple(s) for s in r["base"]] == base(text) and (r["digest"], r["more"], r["masked"]) == (6, 7, 8)
+    redacted = pii.redact(df).first()
+    assert (redacted["base"], redacted["spans"], redacted["digest"]) == (5, "kept", 6)
+    at, want = 0, []
+    for a, k, b in base(text):
+        if a >= at:
+            want += [text[at:a], f"<{pii.KINDS[k].upper()}>"]
+        at = max(at, b)
+    assert redacted["text"] == "".join(want) + text[at:]
+
+
+def test_words_of_a_pattern_may_be_far_and_long(spark):
+    cards = [c for c in (f"41111111111{i:05d}" for i in range(400)) if luhn(c)][:6]
+    far, long = " " * 5000, "w" * 700
+    rows = [f"{long} charge{far}{c} now" for c in cards] + [f"x {long} charge 4111111111119998x now"]
+    assert discovered(spark, rows)[rows[-1]] == [("card", "4111111111119998x")]
+
+
 def test_pii_query(spark, docs):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in queries.op1_pii(spark, SF).collect():
