@@ -2,11 +2,11 @@
 
 Method: sizes are summed per source, every source's repetition rate is derived from its target, and a document
 is emitted floor(rate) times, plus one Bernoulli copy whose chance is the fraction and whose draw is a hash of
-doc_id and a seed: reruns and retried tasks agree.
+doc_id, text and a seed: reruns and retried tasks agree.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a source of size
-0 has target 0 and rate 0; repeated rows with one doc_id share their draw; extra columns pass through unless
-they bear a name of an added column, which then wins.
+0 has target 0 and rate 0; rows that agree in doc_id and text share their draw, others, such as those with a null doc_id,
+don't; mix() keeps all columns and their values, plan_mix() puts its own in place of those of the same names.
 """
 
 from __future__ import annotations
@@ -47,25 +47,26 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return levels.select("source", "source_size", F.least("cap", F.max("level").over(whole) * F.col("weight")).alias("target"))
 
 
-def draw(doc_id: Column, seed: str) -> Column:
+def draw(doc_id: Column, text: Column, seed: str) -> Column:
     """A number in [0, 1) from 52 bits of a hash."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    parts = F.concat_ws("|", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(parts.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def plan_mix(docs: DataFrame, seed: str = "", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+def plan_mix(docs: DataFrame, seed: str = "mix", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """docs with size, source_size, target and copies (how often the mix takes the row)."""
     sized = docs.drop("size", "source_size", "target", "copies").withColumn("size", size_of(F.col("text")))
     targets = source_targets(sized.select("source", "size"), weights, share, most)
-    targets = targets.withColumnRenamed("source", "of_source")
-    joined = sized.join(targets, sized["source"].eqNullSafe(targets["of_source"]), "left").drop("of_source")
+    targets = targets.withColumnRenamed("source", "__of_source")
+    joined = sized.join(targets, sized["source"].eqNullSafe(targets["__of_source"]), "left").drop("__of_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    copies = F.floor(rate) + (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
+    copies = F.floor(rate) + (draw(F.col("doc_id"), F.col("text"), seed) < rate - F.floor(rate)).cast("long")
     return joined.withColumn("copies", F.coalesce(copies, F.lit(0)).cast("long"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the columns of docs, each row as often as it is taken."""
-    planned = plan_mix(docs, **options)
-    repeats = F.array_repeat(F.lit(1), F.col("copies").cast("int"))
-    return planned.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(repeats).alias("__copy")).drop("__copy")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    planned = plan_mix(docs.select("doc_id", "text", "source", row.alias("__row")), **options)
+    taken = planned.select("__row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
