@@ -16,9 +16,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is configured."""
+    """The folder that the driver and all executors share; a temporary one only on a local master without one: on a cluster, its machines wouldn't see it."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all machines of the cluster share")
         known = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(known)
     return known
@@ -31,11 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, *keys: str) -> DataFrame:
-    """Writes a table as compressed Parquet into the shared folder and reads it again; used where a table is large."""
+    """Writes a table as compressed Parquet into the shared folder and reads it again; used where a table is large.
+
+    Like checkpoints, tables outlive the query, whose result is read from them later: those of an application are in one folder, which may go when it has ended.
+    """
     import uuid
 
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stored-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,8 +5,9 @@ weight for each pair of consecutive states. Forward-backward gives each line's m
 good, and a document's score is their mean weighted by the lines' lengths. The weights maximise the penalised
 likelihood of a bounded sample of labelled documents, whose lines bear the document's label.
 
-The sample (SAMPLE documents at most, those with the smallest hashes of their ids) is the only bound: scoring reads
-whole texts of all rows. Labels, languages, sources and ids are not inputs of a score.
+The sample is the only bound: SAMPLE labelled documents, those with the smallest hashes of their ids, and of these as many,
+in that order, as have LINES lines together, whose features (FEATURES bytes a line) go to the driver. Scoring reads whole
+texts of all rows. Labels, languages, sources and ids are not inputs of a score.
 
 Defined results: null, empty and blank texts are one empty line; without labelled rows every weight is 0 and
 every score 0.5; null labels are ignored; repeated rows count as often; extra columns are ignored.
@@ -19,10 +20,12 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE, STEPS, RATE, PENALTY = 4000, 150, 0.2, 1.0
+from panelforge.llm.common import cut
+
+SAMPLE, LINES, STEPS, RATE, PENALTY = 4000, 200_000, 150, 0.2, 1.0
 SYMBOLS = "#$%&*@^~_=<>\\/{}[]+"
 #: Names of a line's own features; flags come again for the lines before and after.
 OWN = ("bias", "empty", "short", "long", "open_end", "shared_words", "seldom_new", "all_same")
@@ -149,32 +152,34 @@ def document_score(text: str | None, w: np.ndarray, step: np.ndarray) -> float:
     return float(min(1.0, max(0.0, math.fsum(good * sizes) / sizes.sum())))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -> tuple[np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES, **options) -> tuple[np.ndarray, np.ndarray]:
     """Learns from labels (doc_id, quality) of docs (doc_id, text)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     few = known.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
 
     def run(batches):
         for batch in batches:
-            found = [line_features(x)[0] for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in found], pa.binary()), batch.column(1)], names=["x", "quality"])
-
-    joined = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "quality")  # sample rows at most
-    rows = joined.mapInArrow(run, "x binary, quality int").collect()
-    chains = [(np.frombuffer(r["x"]).reshape(-1, len(FEATURES)), r["quality"]) for r in sorted(rows, key=lambda r: (bytes(r["x"]), r["quality"]))]
+            found = [line_features(x)[0] for x in batch.column(1).to_pylist()]  # ones and zeros
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.astype(np.uint8).tobytes() for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64())], names=["doc_id", "quality", "x", "n"])
+
+    joined = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "quality")  # sample rows at most
+    each = cut(joined.mapInArrow(run, "doc_id long, quality int, x binary, n long"))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").rowsBetween(Window.unboundedPreceding, 0)  # a row per labelled document of the sample
+    rows = each.withColumn("reach", F.sum("n").over(order)).where(F.col("reach") <= lines).select("x", "quality").collect()
+    chains = [(np.frombuffer(r["x"], np.uint8).reshape(-1, len(FEATURES)).astype(float), r["quality"]) for r in sorted(rows, key=lambda r: (bytes(r["x"]), r["quality"]))]
     return train(chains, **options)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """docs with score, in place of a column of that name."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], into: str = "score") -> DataFrame:
+    """docs with the score as a column called into, in place of one of that name."""
     w, step = model
-    kept = [c for c in docs.columns if c != "score"]
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("score", F.lit(0.0)).schema
+    kept = [c for c in docs.columns if c != into]
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(into, F.lit(0.0)).schema
     at = kept.index("text")
 
     def run(batches):
         for batch in batches:
             scores = pa.array([document_score(x.as_py(), w, step) for x in batch.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, into])
 
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
