@@ -290,9 +290,75 @@ def test_mix(spark, odd, docs, empty):
     assert one == other
 
 
+def test_mix_keeps_values_of_clashing_columns_and_null_ids_apart(spark):
+    rows = [(None, f"w{i} " * 10, "s", -7, "x", 3, 9) for i in range(400)] + [(i, "b " * 10, "t", -7, "x", 3, 9) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, target string, source_size int, copies int")
+    got = mixing.mix(docs).collect()
+    assert {tuple(r)[3:] for r in got} == {(-7, "x", 3, 9)} and set(r["doc_id"] for r in got) <= {None, *range(50)}
+    taken = mixing.plan_mix(docs).where("source = 's'").groupBy().agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).first()
+    assert taken["taken"] == pytest.approx(taken["target"], rel=0.1)
+
+
 # -- 5
 
 
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(1)
+    chains = [(rng.integers(0, 2, (n, 3)).astype(float), y) for n, y in ((4, 1), (3, 0), (1, 1), (7, 0))]
+    w, step = rng.normal(size=3), rng.normal(size=(2, 2))
+
+    def likelihood(w, step):
+        total = 0.0
+        for x, y in chains:
+            emit = np.stack([np.zeros(len(x)), x @ w], 1)
+            of = lambda p: sum(emit[i, s] for i, s in enumerate(p)) + sum(step[a, b] for a, b in itertools.pairwise(p))
+            total += of([y] * len(x)) - math.log(sum(math.exp(of(p)) for p in itertools.product((0, 1), repeat=len(x))))
+        return total
+
+    of_w, of_step = np.zeros(3), np.zeros((2, 2))
+    for part in quality.batches_of(chains):
+        a, b = quality.gradient(*part, w, step)
+        of_w, of_step = of_w + a, of_step + b
+    for i in range(3):
+        move = np.eye(3)[i] * 1e-5
+        assert (likelihood(w + move, step) - likelihood(w - move, step)) / 2e-5 == pytest.approx(of_w[i], abs=1e-6)
+    for i in range(4):
+        move = np.eye(4)[i].reshape(2, 2) * 1e-5
+        assert (likelihood(w, step + move) - likelihood(w, step - move)) / 2e-5 == pytest.approx(of_step.ravel()[i], abs=1e-6)
+
+
+def test_document_scores_are_those_of_all_paths():
+    rng = np.random.default_rng(2)
+    w, step = rng.normal(size=len(quality.FEATURES)), rng.normal(size=(2, 2))
+    text = "One line of words.\nTWO ||| # $\n\nthree three three three\nlast 12345 678"
+    x, sizes = quality.line_features(text)
+    paths = list(itertools.product((0, 1), repeat=len(x)))
+    weight = np.array([math.exp(sum(s * (x[i] @ w) for i, s in enumerate(p)) + sum(step[a, b] for a, b in itertools.pairwise(p))) for p in paths])
+    good = [(weight * np.array([p[i] == 1 for p in paths])).sum() / weight.sum() for i in range(len(x))]
+    assert len(x) == 4 and quality.document_score(text, w, step) == pytest.approx((good * sizes).sum() / sizes.sum())
+
+
+def test_quality_query(spark, docs):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    got = queries.op5_quality(spark, SF).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1
+    assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in got if r["held_out"] and r["doc_id"] in labels]) > 0.8  # 19 documents; test_quality holds more
+
+
+def test_the_fitting_sample_has_bounded_lines(spark):
+    docs = spark.createDataFrame([(i, "a line.\n" * 50) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    seen = []
+    train, quality.train = quality.train, lambda chains, **_: seen.append(chains)
+    try:
+        quality.fit(docs, labels, lines=120)
+    finally:
+        quality.train = train
+    assert [len(x) for x, _ in seen[0]] == [50, 50]
+
+
 def test_crf_marginals_and_gradient():
     rng = np.random.default_rng(0)
     emit, step = rng.normal(size=(5, 2)), rng.normal(size=(2, 2))
@@ -552,6 +618,15 @@ def test_dedup_decides_by_text(spark):
     assert collections.Counter(map(tuple, got)) == collections.Counter([(1, one), (1, two), (None, three), (6, ""), (7, " "), (None, None), (None, "")])
 
 
+def test_stages_keep_values_of_clashing_columns(spark, docs):
+    names = ("base", "spans", "digest", "more", "size", "target", "score", "copies", "component", "key")
+    table = docs.limit(80).withColumns({name: F.lit(i) for i, name in enumerate(names)})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, table, SF)
+        assert got.columns == table.columns, name
+        assert {tuple(r[c] for c in names) for r in got.select(*names).collect()} == {tuple(range(len(names)))}, name
+
+
 def test_pipeline_takes_odd_rows(spark, odd):
     table = odd.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"))
     for _, stage in corpus_pipeline.STAGES:
