@@ -13,15 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import minhash, mixing, pii, queries, quality
-from panelforge.llm.common import SPACE, read
+from panelforge.llm.common import SPACE, read, stored
 
 ORACLE_SQL = None
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    scored = quality.score(docs, queries.quality_model(spark, sf_dir))
-    return scored.where(F.col("score") >= 0.3).select(*docs.columns)
+    scored = quality.score(docs, queries.quality_model(spark, sf_dir), "__score")
+    return scored.where(F.col("__score") >= 0.3).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +65,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another; what each keeps is stored, so that none is computed again for a later one."""
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
