@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from panelforge.llm.common import slices
+
 #: Texts longer than this many characters are encoded in parts; runs of white space longer than RUN are parts of their own.
 PART, RUN = 50_000, 10_000
 #: Unicode's white space, as the pattern's \s has it.
@@ -63,10 +65,6 @@ def parts(text: str, longest: int = PART) -> Iterator[tuple[str, bool]]:
         yield text[a:b], False
 
 
-#: Rows that a task holds and returns at a time.
-ROWS = 256
-
-
 def packed_ids(text: str | None, encoder) -> bytes:
     import numpy as np
 
@@ -79,12 +77,6 @@ def unpacked_bytes(ids: bytes, encoder) -> bytes:
     return encoder.decode_bytes(np.frombuffer(ids, dtype="<u4").tolist())
 
 
-def slices(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            yield batch.slice(at, ROWS)
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (binary: the ids as little-endian unsigned 32-bit integers)."""
 

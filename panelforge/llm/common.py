@@ -45,6 +45,16 @@ def stored(df: DataFrame, *keys: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a task's Python holds and returns at a time.
+ROWS = 256
+
+
+def slices(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def words(text):
     """Column: the lower-cased (A-Z only) words of a text; null gives an empty array."""
     lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,14 +1,24 @@
 """Main text of web pages by removal of site templates.
 
-Method: every element's subtree is hashed (names, class, id and role, and text); Spark counts, per host, the pages
-on which a subtree occurs; subtrees that recur across many pages of their host are deleted. Beside the counts,
-elements whose name, role or class says that they are no main text (menus, footers, forms, ...) go on any page,
-and if a page marks its article or main part, only that is kept. Inside a marked article, a recurring subtree
-goes only if it is a block that is no text block, holds none and is in none: a passage that many articles of a host
-share is still text, and so are links and marks inside of passages. Elsewhere, no inline element goes out of the
-middle of running text either.
-
-Templates of a host are at most (subtrees of a page) / SHARE, however many pages it has.
+Method: every element's subtree is hashed; Spark counts, per host, the pages on which a subtree occurs; subtrees that
+recur across many pages of their host are deleted. A hash has the names, class, id and role of a subtree's elements, and
+its text where it holds running text or nothing but its tag tells what it is. Of other elements (menus, adverts, footers:
+named, and without a paragraph or a heading of their own words) the text is left out and repeated children count once, so
+that one slot of a site's layout is one subtree, whatever it shows on a page. A slot goes only if on average it holds less
+than MOST of the text of the pages that have it: the slot with the story, where stories have no paragraphs, stays.
+
+Many pages are PAGES of a host, and SHARE of them for a slot; for a subtree with its text, a share that falls with the
+square root of the host's pages. Inside a marked article only a recurring block that is no text block, holds none and is
+in none goes: a passage that many articles of a host share is still text, and so are links and marks inside of passages.
+Elsewhere no inline element goes out of the middle of running text.
+
+Counts can't tell on hosts of fewer than PAGES pages, nor of what only few pages have, such as comments. So, beside them
+(unless names=False), elements whose name, role or class says that they are no main text (menus, footers, forms, ...)
+go on any page, and if a page marks its article or main part, only that is kept. Inside an article a class tells only as a
+whole word, and words with other meanings (search, related, social, ...) only where there is no running text.
+
+Templates of a host are at most (subtrees of a page) / SHARE plus those with text, of which a page has few; they
+are sent to each task that has pages of the host.
 
 Defined results: null or empty html gives an empty text; an url without a host belongs to the host ""; unclosed and
 misnested tags are closed where HTML would; an unfinished tag or comment at the end is dropped; repeated rows
@@ -24,8 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A subtree is a template if it is on this share of its host's pages at least, and on so many pages.
-SHARE, PAGES = 0.3, 4
+from panelforge.llm.common import slices
+
+#: A subtree is a template if it is on so many pages of its host, and on this share of them (see many()); a slot only if it has less than MOST of their text.
+SHARE, PAGES, MOST = 0.3, 4, 0.35
 SALTS = 64
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,6 +50,12 @@ TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th tr table cap
 #: An element whose start closes an open one of these, up to a boundary.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th")}
 BOUNDARY = frozenset("ul ol dl table article section div main body nav aside footer header form blockquote".split())
+#: Elements that say nothing of what they hold.
+PLAIN = frozenset("html body div span section main article center table tbody tr td ul ol dl b i em strong a font small u".split())
+#: Elements whose text is never read: markup, not text.
+MARKUP = frozenset("head script style textarea title noscript template svg math canvas object audio video map iframe xmp noembed noframes".split())
+#: Whole classes that are no main text even in an article.
+CHROME = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent gdpr notice notices newsletter subscribe subscription signup share sharing comment comments respond discussion disqus breadcrumb breadcrumbs nav navbar navigation menu sidebar footer pagination pager".split())
 #: Parts of a class, id or role that mark what is no main text.
 HINTS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar footer ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup share sharing social related recommended comment comments respond discussion disqus popup modal overlay widget pagination pager login search complementary contentinfo".split())
 
@@ -48,24 +66,28 @@ WORD = re.compile(r"[^\W_]")
 
 
 class Node:
-    __slots__ = ("digest", "drop", "marked", "parts", "tag", "text", "text_blocks")
+    __slots__ = ("digest", "doubtful", "drop", "marked", "named", "parts", "running", "size", "slot", "tag", "text_blocks")
 
-    def __init__(self, tag: str, signature: str, drop: bool, marked: bool):
-        self.tag, self.drop, self.marked = tag, drop, marked
+    def __init__(self, tag: str, signature: str, drop: bool, marked: bool, named: bool = False, doubtful: bool = False):
+        self.tag, self.drop, self.marked, self.named, self.doubtful = tag, drop, marked, named, doubtful
         self.parts: list = [signature]  # then text and nodes, in order
-        self.text = self.text_blocks = False
+        self.text_blocks = self.running = self.slot = False
+        self.size = 0
 
 
-def signature(tag: str, raw: str, in_article: bool) -> tuple[str, bool, bool]:
-    """What an element's hash starts with, whether it is no main text by itself, whether it marks the main part."""
+def signature(tag: str, raw: str, in_article: bool) -> tuple[str, bool, bool, bool, bool]:
+    """What an element's hash starts with, whether it is no main text by itself, whether it marks the main part, whether it has a name of its own, and whether it is no main text unless it has running text."""
     if not raw.strip():
-        return tag, tag in NEVER or (tag == "header" and not in_article), tag in ("article", "main")
+        return tag, tag in NEVER or (tag == "header" and not in_article), tag in ("article", "main"), tag not in PLAIN, False
     found = {name.lower(): a or b or c for name, a, b, c in ATTRIBUTE.findall(raw)}
     known = [found.get(x, "") for x in ("class", "id", "role")]
-    named = set(re.split(r"[^a-z0-9]+", " ".join(known).lower()))
+    words = " ".join(known).lower()
+    named = set(re.split(r"[^a-z0-9]+", words))
+    whole = set(words.split()) & CHROME
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    drop = tag in NEVER or hidden or (bool(named & HINTS) and tag not in ("html", "body", "article", "main") or tag == "article" and bool(named & {"comment", "comments", "ad", "ads"})) or (not in_article and (tag == "header" or (known[2] == "banner")))
-    return f"{tag} {known}", drop, tag in ("article", "main") or known[2] in ("main", "article")
+    hinted = bool(named & HINTS) and tag not in ("html", "body", "article", "main")
+    drop = tag in NEVER or hidden or (hinted and (bool(whole) or not in_article)) or (tag == "article" and bool(named & {"comment", "comments", "ad", "ads"})) or (not in_article and (tag == "header" or (known[2] == "banner")))
+    return f"{tag} {known}", drop, tag in ("article", "main") or known[2] in ("main", "article"), tag not in PLAIN or any(known), hinted and in_article
 
 
 def parse(html: str) -> Node:
@@ -110,8 +132,8 @@ def parse(html: str) -> Node:
                 break
             if stack[i].tag in BOUNDARY:
                 break
-        signed, drop, marked = signature(tag, m.group(3), articles > 0)
-        node = Node(tag, signed, drop, marked)
+        signed, drop, marked, named, doubtful = signature(tag, m.group(3), articles > 0)
+        node = Node(tag, signed, drop, marked, named, doubtful)
         stack[-1].parts.append(node)
         if tag in RAW:
             stop = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
@@ -126,27 +148,40 @@ def parse(html: str) -> Node:
 
 
 def hashed(root: Node) -> None:
-    """Sets digest, text (whether it has any) and text_blocks (whether it is or holds a text block) of all nodes."""
+    """Sets digest, size (characters of text), text_blocks (whether it is or holds a text block), running (whether a text block in it has text outside of links) and slot (whether its digest leaves text out) of all nodes; drops what is doubtful and has no running text."""
     from xxhash import xxh3_64
 
-    todo = [(root, False)]
+    todo = [(root, False, False, False)]
     while todo:
-        node, ready = todo.pop()
+        node, ready, linked, article = todo.pop()
+        linked, article = linked or node.tag == "a", article or node.marked
         if not ready:
-            todo.append((node, True))
-            todo += [(x, False) for x in node.parts[1:] if isinstance(x, Node)]
+            todo.append((node, True, linked, article))
+            todo += [(x, False, linked, article) for x in node.parts[1:] if isinstance(x, Node)]
             continue
-        digest = xxh3_64(node.parts[0].encode("utf-8", "surrogatepass"))
+        exact, shapes, own = xxh3_64(node.parts[0].encode("utf-8", "surrogatepass")), set(), False
         node.text_blocks = node.tag in TEXT
         for x in node.parts[1:]:
             if isinstance(x, Node):
-                digest.update(b"<%d>" % x.digest)
-                node.text |= x.text
+                exact.update(b"<%d>" % x.digest)
+                if x.size or x.named:
+                    shapes.add(x.digest if x.slot else b"text" if x.running else x.parts[0])
                 node.text_blocks |= x.text_blocks
+                own |= x.running
+                if x.tag not in MARKUP:
+                    node.size += x.size
             elif words := " ".join(x.split()):
-                digest.update(words.encode("utf-8", "surrogatepass"))
-                node.text = True
-        node.digest = digest.intdigest() - (1 << 63)
+                exact.update(words.encode("utf-8", "surrogatepass"))
+                if node.tag not in MARKUP:
+                    node.size += len(words)
+                own |= not linked
+        # text of inline elements counts for the text block that they are in
+        node.running = own and (node.text_blocks or node.tag not in BLOCK)
+        node.slot = node.named and not article and not node.running
+        if node.slot:
+            exact = xxh3_64(node.parts[0].encode("utf-8", "surrogatepass") + repr(sorted(map(str, shapes))).encode("utf-8", "surrogatepass"))
+        node.digest = exact.intdigest() - (1 << 63)
+        node.drop |= node.doubtful and not node.running
 
 
 def main_parts(root: Node) -> list[Node]:
@@ -156,7 +191,7 @@ def main_parts(root: Node) -> list[Node]:
         node = todo.pop()
         if node.drop:
             continue
-        if node.marked and node.text:
+        if node.marked and node.size:
             found.append(node)
         else:
             todo += [x for x in reversed(node.parts[1:]) if isinstance(x, Node)]
@@ -176,7 +211,7 @@ def deletable(root: Node, parts: list[Node]) -> list[Node]:
         node, inside, below, beside = todo.pop()
         part, text, block = id(node) in marked, node.tag in TEXT, node.tag in BLOCK or node.tag in TEXT
         kept = inside and (below or node.text_blocks or not block) or not block and (below or beside)
-        if node.text and node.tag and node.tag not in ("html", "body") and not part and not kept:
+        if node.size and node.tag and node.tag not in ("html", "body") and not part and not kept:
             found.append(node)
         inside, below, beside = inside or part, not part and (below or text), beside and not block
         if not inside and not below:
@@ -185,18 +220,33 @@ def deletable(root: Node, parts: list[Node]) -> list[Node]:
     return found
 
 
-def subtrees(html: str | None) -> set[int]:
-    """Digests of the element subtrees of a page that may be templates."""
+def parts_of(root: Node, names: bool) -> list[Node]:
+    return main_parts(root) if names else [root]
+
+
+def subtrees(html: str | None, names: bool = True) -> dict[int, tuple[bool, float]]:
+    """By digest, the element subtrees of a page that may be templates: whether it is a slot, and its share of the page's text."""
     root = parse(html or "")
     hashed(root)
-    return {x.digest for x in deletable(root, main_parts(root))}
+    found: dict[int, tuple[bool, float]] = {}
+    for x in deletable(root, parts_of(root, names)):
+        slot, share = found.get(x.digest, (x.slot, 0.0))
+        found[x.digest] = slot, share + x.size / max(root.size, 1)
+    return found
 
 
-def main_text(html: str | None, templates: set[int]) -> str:
+def main_text(html: str | None, templates: set[int], names: bool = True) -> tuple[str, int]:
+    """The main text, and how many subtrees, not counting those in others, are templates."""
     root = parse(html or "")
     hashed(root)
-    parts = main_parts(root)
+    parts = parts_of(root, names)
     gone = {id(x) for x in deletable(root, parts) if x.digest in templates} if templates else set()
+    deleted, todo = 0, [root] if gone else []
+    while todo:
+        node = todo.pop()
+        deleted += id(node) in gone
+        todo += [x for x in node.parts[1:] if isinstance(x, Node)] if id(node) not in gone else []
+    dropped = lambda x: x.drop if names else x.tag in MARKUP
     blocks: list[str] = []
     current: list[str] = []
 
@@ -213,7 +263,7 @@ def main_text(html: str | None, templates: set[int]) -> str:
                 flush()
             elif isinstance(x, str):
                 current.append(x)
-            elif x is not part and (x.drop or id(x) in gone):
+            elif x is not part and (dropped(x) or id(x) in gone):
                 if x.tag in BLOCK:
                     flush()
             elif x.tag in VOID:
@@ -227,41 +277,47 @@ def main_text(html: str | None, templates: set[int]) -> str:
                     todo.append(" ")
                 todo += x.parts[:0:-1]
         flush()
-    return "\n".join(blocks)
+    return "\n".join(blocks), deleted
 
 
 def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def site_templates(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:
+def many(pages, slot, share: float, least: int):
+    """On how many of a host's pages a template is: least, and share of them if it is a slot; with its text, a share that falls from that of least pages as their number rises."""
+    return F.greatest(F.lit(least), F.when(slot, share * pages).otherwise(share * F.sqrt(F.lit(float(least)) * pages)))
+
+
+def site_templates(pages: DataFrame, share: float = SHARE, least: int = PAGES, most: float = MOST, names: bool = True) -> DataFrame:
     """host, templates (array<long>)."""
 
     def run(batches):
-        for batch in batches:
-            digests = [sorted(subtrees(x.as_py())) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.list_(pa.int64()))], names=["host", "digests"])
-
-    # the null digest stands for the page itself
-    found = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, digests array<long>")
-    counted = found.select("host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "digests")).alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n"))
+        for batch in slices(batches):
+            found = [subtrees(x.as_py(), names) for x in batch.column(1)]
+            # the null digest stands for the page itself
+            rows = [[{"digest": None, "slot": False, "share": 1.0}, *({"digest": d, "slot": slot, "share": of} for d, (slot, of) in sorted(x.items()))] for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.struct([("digest", pa.int64()), ("slot", pa.bool_()), ("share", pa.float64())])))], names=["host", "found"])
+
+    found = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, found array<struct<digest:long,slot:boolean,share:double>>")
+    counted = found.select("host", F.inline("found")).groupBy("host", "digest", "slot").agg(F.count("*").alias("n"), F.avg("share").alias("share"))
     total = counted.where("digest is null").select("host", F.col("n").alias("of"))
-    often = counted.where(F.col("digest").isNotNull() & (F.col("n") >= least)).join(total, "host").where(F.col("n") >= share * F.col("of"))
+    often = counted.where(F.col("digest").isNotNull() & (F.col("n") >= least) & (~F.col("slot") | (F.col("share") < most))).join(total, "host").where(F.col("n") >= many(F.col("of"), F.col("slot"), share, least))
     return often.groupBy("host").agg(F.collect_list("digest").alias("templates"))
 
 
-def extract(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:
-    """page_id, url, text."""
+def extract(pages: DataFrame, share: float = SHARE, least: int = PAGES, most: float = MOST, names: bool = True) -> DataFrame:
+    """page_id, url, text, n_deleted (template subtrees of the page, not counting those in others)."""
     pages = pages.select("page_id", "url", "html")
-    templates = site_templates(pages, share, least)
+    templates = site_templates(pages, share, least, most, names)
     # a host may have a third of all pages: its pages are dealt to SALTS places, each with the host's templates
     templates = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = pages.withColumns({"host": host_of(F.col("url")), "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")})
     joined = salted.join(templates, ["host", "salt"], "left").select("page_id", "url", "html", "templates")
 
     def run(batches):
-        for batch in batches:
-            texts = [main_text(x.as_py(), set(t.as_py() or ())) for x, t in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+        for batch in slices(batches):
+            found = [main_text(x.as_py(), set(t.as_py() or ()), names) for x, t in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["page_id", "url", "text", "n_deleted"])
 
-    return joined.mapInArrow(run, "page_id long, url string, text string")
+    return joined.mapInArrow(run, "page_id long, url string, text string, n_deleted long")

@@ -152,9 +152,9 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 
 def test_main_text():
-    assert html.main_text(PAGE, set()) == "Head & more\nOne two bold.\nThree <3"
+    assert html.main_text(PAGE, set())[0] == "Head & more\nOne two bold.\nThree <3"
     for page, text in ((None, ""), ("", ""), ("<p", ""), ("a < b", "a < b"), ("<div>x" * 3000, "\n".join(["x"] * 3000)), ("<!-- x", ""), ("<ul><li>a<li>b</ul>", "a\nb")):
-        assert html.main_text(page, set()) == text
+        assert html.main_text(page, set())[0] == text
 
 
 def test_site_templates_go(spark):
@@ -174,16 +174,39 @@ def test_inline_elements_of_running_text_stay(spark):
         assert got[10 + i] == f"Story {10 + i} is None.\nBare {10 + i} text"
 
 
+def article_lines(page):
+    import html as entities
+
+    inside = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S).group(1)
+    blocks = [" ".join(entities.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>|<br>", inside)]
+    return [b for b in blocks if b]
+
+
 def test_html_query(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = queries.op2_html_text(spark, SF).collect()
     assert len(got) == len(pages)
     for r in got:
-        inside = re.search(r"<article>(.*?)(?:</article>|\Z)", pages[r["page_id"]], re.S).group(1)
-        import html as entities
-
-        blocks = [" ".join(entities.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>|<br>", inside)]
-        assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
+        assert r["text"] == "\n".join(article_lines(pages[r["page_id"]])) and r["n_chars"] == len(r["text"])
+
+
+def test_counted_templates_alone_leave_the_articles(spark):
+    """Neither names nor the article's mark: what recurs on a host goes, the rest stays. Hosts have four pages at least."""
+    table = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("page_id < 700").withColumn("host", html.host_of(F.col("url")))
+    table = table.join(table.groupBy("host").count().where("count >= 4"), "host").cache()
+    pages = {r["page_id"]: article_lines(r["html"]) for r in table.collect()}
+    got = {r["page_id"]: r for r in html.extract(table, names=False).collect()}
+    assert len(got) == len(pages) and all(r["n_deleted"] >= 3 for r in got.values())
+    assert all(not set(r["text"].split("\n")) - set(pages[i]) - {""} for i, r in got.items())
+    assert np.mean([r["text"].split("\n") == pages[i] for i, r in got.items()]) > 0.9  # the others lose passages that their host's articles share
+
+
+def test_slots_and_words_in_classes(spark):
+    shell = "<body><div class='menu-{1}'><a href=/>m{0}</a></div><div class=body>{0} story without blocks, long enough to be most of the page's text<br>and more {0}</div><div class=tail>Tail {0}</div></body>"
+    rows = [(i, "http://s.example/x", shell.format(i, "top")) for i in range(8)]
+    inside = "<article><p class=search>A</p><div class=related-work><p>B</p></div><div class=related><a href=/>C</a></div><section id=alert><h2>D</h2></section><div class='ad'>E</div><ol class=comments><li>F</li></ol><p>G</p></article>"
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame([*rows, (9, "http://t.example", inside)], "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"{i} story without blocks, long enough to be most of the page's text and more {i}" for i in range(8)}, 9: "A\nB\nD\nG"}
 
 
 # -- 3, 6
