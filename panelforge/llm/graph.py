@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import cut
+from panelforge.llm.common import stored
+
+
+#: A node with more than this share of the links is one of few: at most 2 / HOT, which are broadcast.
+HOT = 1 / 400
+
+
+def with_least(links: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """links (u, v) with m of least (u, m, n: number of links). What hot nodes have stays where it is; all else meets by u."""
+    hot = F.broadcast(least.where(F.col("n") > HOT * total).select("u", F.col("m").alias("hot")))
+    marked = links.join(hot, "u", "left")
+    cold = marked.where("hot is null").select("u", "v").join(least.select("u", "m"), "u")
+    return cold.select("u", "v", "m").union(marked.where("hot is not null").select("u", "v", F.col("hot").alias("m")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,20 +25,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014) until the links no longer change; they
     then join every node to the smallest of its component. Both steps take minima, which Spark combines before the
-    exchange, and joins whose large partitions adaptive execution splits: no group is gathered in one task.
+    exchange, and join them to the links, where the links of hot nodes aren't exchanged: no group is gathered in one task.
+    Each step's table is written and read again: a checkpoint's plan would keep the constraints of all steps before it.
     """
-    links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    links, known = cut(links), None
-    while True:
+    links = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    known, total = None, links.count()
+    while total:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        links = cut(small.select("u", F.col("m").alias("v")).union(small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        pulled = with_least(both.where("v > u"), least.select("u", F.least("u", "m").alias("m"), "n"), total)
+        large = stored(pulled.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = with_least(large, least, total)
+        links = stored(small.select("u", F.col("m").alias("v")).union(small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
         seen = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == known:
             break
-        known = seen
+        known, total = seen, seen[0]
     roots = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return roots.union(links.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
