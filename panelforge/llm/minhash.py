@@ -7,9 +7,9 @@ are candidates; links are confirmed on the whole sets.
 
 Rows with equal sets are one class, kept by a 64-bit digest of its set (and words, pairs and sets by 64-bit hashes
 likewise: with 10**6 different sets, the chance that any two digests meet is about 10**-7). Classes joined by keys
-are a group. In a group that is small, or whose buckets hold most of its pairs, all pairs are compared, in blocks
-by matrix products, and a spanning forest of the links is kept; in a large loose group, the pairs that share a
-key are. Either way every candidate pair is compared on its whole sets.
+are a group. Its classes are dealt to blocks, those that share a smallest neighbour to the same one, and any two blocks
+that share a key are compared as a whole, by matrix products; a spanning forest of the links is kept. So every pair
+that shares a key is compared on its whole sets, whatever the size and the shape of its group.
 
 A pair of similarity s shares a key with probability (1 - (1 - s ** ROWS) ** HALVES) ** 2: 0.9994 at 0.8, over
 0.99993 from 0.85.
@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import cut, stored
+from panelforge.llm.common import cut, slices, stored
 from panelforge.llm.graph import components
 
 ROWS, HALVES, PERCENT, WORDS, BLOCK = 2, 8, 80, 5, 1024
+#: Places that the classes of a large group, or of a frequent neighbour, meet its size in.
+SALTS = 64
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Bits of the filter of candidate ids that goes to all tasks: 1 MB, whatever the input.
 FILTER_BITS = 1 << 23
@@ -86,7 +88,7 @@ def sketch(docs: DataFrame, width: int, rows: int, halves: int) -> DataFrame:
     def run(batches):
         from xxhash import xxh3_64_intdigest
 
-        for batch in batches:
+        for batch in slices(batches):
             n, cls, keys = [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, width)
@@ -121,7 +123,7 @@ def sets_of(docs: DataFrame, representatives: DataFrame, width: int) -> DataFram
     def run(batches):
         from xxhash import xxh3_64_intdigest
 
-        for batch in batches:
+        for batch in slices(batches):
             place = batch.column(2).to_numpy()
             chosen = np.flatnonzero((sent.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
             ids, cls, sets = [], [], []
@@ -139,23 +141,6 @@ def sets_of(docs: DataFrame, representatives: DataFrame, width: int) -> DataFram
     return joined.dropDuplicates(["cls"])
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their sets."""
-    ones, others = sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b"))
-    sized = F.least(F.length("set_a"), F.length("set_b")) * 100 >= percent * F.greatest(F.length("set_a"), F.length("set_b"))
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for one, other in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(other.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(ones, "a").join(others, "b").where(sized).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
-
-
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections of some sets."""
     n = len(sets)
@@ -191,16 +176,36 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-def confirm_blocks(grouped: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within groups, as many as keep their components. grouped: cls, set, g, blocks.
+def salted(rows: DataFrame, few: DataFrame, key: str, value: str) -> DataFrame:
+    """rows (cls, key, ...) with the value that few (key, value) have, null for others. Rows of one key meet few in SALTS places."""
+    spread = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(spread, [key, "__salt"], "left").drop("__salt")
+
+
+def in_blocks(members: DataFrame, groups: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """cls, block (long), alone (whether its group is one block); and the pairs (i, j) of blocks that share a key, i <= j, of other groups."""
+    homes = members.groupBy("cls").agg(F.min("low").alias("home"))
+    placed = groups.join(homes, "cls")
+    large = groups.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > block).select("g", F.ceil(F.col("n") / block).alias("bins"))
+    frequent = placed.groupBy("home").agg(F.count("*").alias("n")).where(F.col("n") > block).select("home", F.ceil(F.col("n") / block).alias("places"))
+    sized = salted(salted(placed, large, "g", "bins"), frequent, "home", "places")
+    place = F.xxhash64("g", F.pmod(F.xxhash64("home"), F.coalesce("bins", F.lit(1))), F.pmod(F.xxhash64("cls", F.lit(1)), F.coalesce("places", F.lit(1))))
+    placed = cut(sized.select("cls", place.alias("block"), F.col("bins").isNull().alias("alone")))
+    held = members.join(placed.where("not alone").select("cls", "block"), "cls").select("key", "block").distinct()
+    pairs = held.withColumnRenamed("block", "i").join(held.withColumnRenamed("block", "j"), "key").where("i <= j").select("i", "j").distinct()
+    return placed, cut(pairs)
+
+
+def confirm_blocks(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b), as many as keep their components. sets: cls, set, block, alone; pairs: i, j.
 
-    A group falls into blocks, and any two of its blocks meet in one place, where all intersections are counted by
-    matrix products over what at least two sets hold.
+    The sets of two blocks meet in one place, where all intersections are counted by matrix products over what at
+    least two sets hold.
     """
-    own = F.pmod(F.xxhash64("cls"), F.col("blocks"))
-    dealt = grouped.select("cls", "set", "g", own.alias("own"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
-    dealt = dealt.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "set")
-    dealt = dealt.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    ends = pairs.select(F.col("i").alias("block"), "i", "j").union(pairs.where("i <> j").select(F.col("j").alias("block"), "i", "j"))
+    single = sets.where("alone").select(F.col("block").alias("i"), F.col("block").alias("j"), "block", "cls", "set")
+    dealt = single.union(sets.where("not alone").join(ends, "block").select("i", "j", "block", "cls", "set"))
+    dealt = dealt.repartition("i", "j").sortWithinPartitions("i", "j")
 
     def links(key, rows):
         if len(rows) < 2:
@@ -212,7 +217,7 @@ def confirm_blocks(grouped: DataFrame, percent: int) -> DataFrame:
         for at in range(0, len(rows), 256):  # exact in doubles, a few rows at a time
             part = both[at : at + 256].astype(float)
             linked = np.triu(100 * part >= percent * (size[at : at + 256, None] + size[None, :] - part), at + 1)
-            if key[1] != key[2]:
+            if key[0] != key[1]:
                 linked &= block[at : at + 256, None] != block[None, :]
             a, b = np.nonzero(linked)
             ends.append((a + at, b))
@@ -222,13 +227,13 @@ def confirm_blocks(grouped: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         key, rows = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in range(5)]
-            raw = batch.column(5)
+            columns = [batch.column(c).to_pylist() for c in range(4)]
+            raw = batch.column(4)
             found = []
-            for at, (g, i, j, own, cls) in enumerate(zip(*columns, strict=True)):
-                if (g, i, j) != key:
+            for at, (i, j, own, cls) in enumerate(zip(*columns, strict=True)):
+                if (i, j) != key:
                     found += links(key, rows)
-                    key, rows = (g, i, j), []
+                    key, rows = (i, j), []
                 rows.append((own, cls, raw[at].as_py()))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
@@ -239,25 +244,14 @@ def confirm_blocks(grouped: DataFrame, percent: int) -> DataFrame:
 
 
 def confirmed(members: DataFrame, candidates: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, block: int) -> DataFrame:
-    """Links of the classes that share keys. members: key, cls; candidates: pairs that join all classes of a key; classes: cls, doc_id.
+    """Links of the classes that share keys. members: key, cls, low; candidates: pairs that join all classes of a key; classes: cls, doc_id.
 
-    Groups are known before the sets are made, so that a set is exchanged with its group and then dealt to blocks.
+    Groups and blocks are known before the sets are made, so that a set is exchanged with its block and then dealt to those that it meets.
     """
     groups = cut(components(candidates).select(F.col("node").alias("cls"), F.col("component").alias("g")))
-    buckets = members.join(groups, "cls").groupBy("key").agg(F.min("g").alias("g"), F.count("*").alias("n"))
-    pairs = buckets.groupBy("g").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
-    sizes = groups.groupBy("g").agg(F.count("*").alias("size")).join(pairs, "g")
-    dense = (F.col("size") <= 2 * block) | (F.col("size") * F.col("size") <= 8 * F.col("pairs"))
-    sizes = cut(sizes.select("g", dense.alias("dense"), F.ceil(F.col("size") / block).alias("blocks")))
-    chosen = cut(classes.join(groups, "cls").join(sizes, "g"))
-    links = cut(confirm_blocks(sets_of(docs, chosen.where("dense").select("doc_id", "cls", "g", "blocks"), width), percent))
-    thin = chosen.where("not dense")
-    if thin.isEmpty():
-        return links
-    open_ones = members.join(thin.select("cls"), "cls").select("key", "cls")
-    left, right = open_ones.withColumnRenamed("cls", "a"), open_ones.withColumnRenamed("cls", "b")
-    found = left.join(right, "key").where("a < b").select("a", "b").distinct()
-    return links.union(cut(confirm(found, stored(sets_of(docs, thin.select("doc_id", "cls"), width)), percent)))
+    placed, pairs = in_blocks(members, groups, block)
+    chosen = cut(classes.join(placed, "cls"))
+    return cut(confirm_blocks(sets_of(docs, chosen, width), pairs, percent))
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, rows: int = ROWS, halves: int = HALVES, block: int = BLOCK) -> DataFrame:
@@ -270,7 +264,7 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, percent: int = PERCENT,
     shared = filed.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").drop("high")
     members = stored(filed.join(shared, "key"))
     pairs = members.where("cls <> low").select(F.col("cls").alias("a"), F.col("low").alias("b")).distinct()
-    links = confirmed(members.select("key", "cls"), pairs, classes.select("cls", "doc_id"), docs, width, percent, block)
+    links = confirmed(members, pairs, classes.select("cls", "doc_id"), docs, width, percent, block)
     known = components(links)
     return labelled(rows_of, classes.select("cls", "doc_id"), known)
 

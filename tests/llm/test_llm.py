@@ -473,9 +473,9 @@ def test_links_in_few_directions_are_all_found(spark):
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (5, 4)]
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(999, i) for i in range(1000, 2200)] + [(7, 7), (5, 4)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 140), 100)}
+    assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 140), 100), **dict.fromkeys(range(999, 2200), 999)}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -591,7 +591,32 @@ def test_near_duplicates(spark, docs, width, options):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_loose_groups_are_compared_by_pairs(spark):
+def test_recall_of_the_tables(spark):
+    """Pairs of a known similarity that share a key, against the share that the tensored tables promise."""
+    rng = np.random.default_rng(0)
+    for similarity, least in ((0.8, 0.995), (0.85, 0.999)):
+        common, own = round(200 * similarity), round(200 * (1 - similarity) / 2)
+        shared = 0
+        for _ in range(400):
+            x = rng.integers(0, 2**63, common + 2 * own).astype(np.uint64)
+            one, other = (set(minhash.table_keys(np.sort(part), 2, 8).tolist()) for part in (x[: common + own], np.concatenate([x[:common], x[common + own :]])))
+            shared += bool(one & other)
+        assert shared / 400 >= least
+
+
+def test_blocks_of_a_group_with_a_frequent_neighbour(spark):
+    """More copies of one text than a block holds, and another group: all links are found in several blocks."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(w if k != i % 120 else f"n{i}" for k, w in enumerate(words))) for i in range(300)]
+    rows += [(1000 + i, " ".join(f"z{k}" for k in range(i, i + 60))) for i in range(0, 120, 3)]
+    _, component = jaccard_components(rows, 2)
+    for block in (7, 64, 1024):
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2, block=block).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == component
+
+
+def test_loose_groups(spark):
     """A chain of sets, each like the next only: a group much larger than its buckets."""
     texts = [" ".join(f"v{k}" for k in range(i * 3, i * 3 + 40)) for i in range(80)]
     rows = list(enumerate(texts))
