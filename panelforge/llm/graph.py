@@ -26,21 +26,20 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps of Kiveris et al. (2014) until the links no longer change; they
     then join every node to the smallest of its component. Both steps take minima, which Spark combines before the
     exchange, and join them to the links, where the links of hot nodes aren't exchanged: no group is gathered in one task.
-    Each step's table is written and read again: a checkpoint's plan would keep the constraints of all steps before it.
+    The links of a round are written and read again: a checkpoint's plan would keep the constraints of all rounds before it.
     """
     links = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    known, total = None, links.count()
-    while total:
+    digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+    known = digest(links)
+    while known[0]:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        pulled = with_least(both.where("v > u"), least.select("u", F.least("u", "m").alias("m"), "n"), total)
-        large = stored(pulled.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        small = with_least(large, least, total)
-        links = stored(small.select("u", F.col("m").alias("v")).union(small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
-        seen = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = with_least(both.where("v > u"), least, known[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        small = with_least(large, large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), known[0])
+        links = stored(small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+        seen = digest(links)
         if seen == known:
             break
-        known, total = seen, seen[0]
+        known = seen
     roots = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return roots.union(links.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
