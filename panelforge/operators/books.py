@@ -38,32 +38,37 @@ def rebalanced(weights: DataFrame, step: int) -> DataFrame:
     return weights.select("t", "n", F.coalesce(held, F.lit(0.0)).alias("weight"))
 
 
-def buffered(rows: DataFrame, target: float = 0.2, leave: float = 0.3, schema: str = "strategy string, t int, n int, weight double") -> DataFrame:
-    """Weights with hysteresis: a stock held stays while it is among the best leave, and the best others fill up to target.
+def buffered(rows: DataFrame, target: float = 0.2, leave: float = 0.3) -> DataFrame:
+    """strategy, t, n, weight with hysteresis: every stock held stays while it is among the best leave, and the best others come while fewer than target are held.
 
-    rows: strategy, t, n, score, valid. What is held depends on the date before: one ordered pass per strategy.
+    rows: strategy, t, n, score, valid; a score that isn't finite doesn't take part, ties go to the larger n. The ranked stocks of the
+    zone, of each date, are found first; what is held depends on the date before: one ordered pass over them per strategy.
     """
+    if leave < target:
+        raise ValueError(f"the zone that stocks leave, {leave}, is at least the target, {target}")
+    fine = F.col("valid") & F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
+    part = Window.partitionBy("strategy", "t", "__fine")
+    ranked = rows.withColumn("__fine", F.coalesce(fine, F.lit(False))).withColumns({"__place": F.row_number().over(part.orderBy(F.round("score", 9).desc(), F.col("n").desc())), "__count": F.count("*").over(part)})
+    number = lambda share: F.greatest(F.lit(1), F.ceil(F.col("__count") * share - 1e-9))
+    sized = ranked.withColumn("__wanted", number(target)).withColumn("__zone", F.greatest("__wanted", number(leave)))
+    inside = F.when(F.col("__fine") & (F.col("__place") <= F.col("__zone")), F.struct("__place", "n"))
+    zones = sized.groupBy("strategy", "t").agg(F.max(F.when(F.col("__fine"), F.col("__wanted"))).alias("wanted"), F.array_sort(F.collect_list(inside)).alias("zone"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         held: set[int] = set()
         out = []
-        for t, day in pdf.sort_values(["t", "n"]).groupby("t", sort=True):
-            fine = day[day["valid"]].sort_values(["score", "n"], ascending=[False, False])["n"].tolist()
-            wanted, allowed = max(1, int(np.ceil(len(fine) * target - 1e-9))), max(1, int(np.ceil(len(fine) * leave - 1e-9)))
-            if not fine:
-                held = set()
-                continue
-            stay = [n for n in fine[:allowed] if n in held][:wanted]
-            for n in fine:
-                if len(stay) >= wanted:
+        for day in pdf.sort_values("t").itertuples():
+            zone = [x["n"] for x in day.zone]
+            held &= set(zone)
+            for n in zone:
+                if len(held) >= day.wanted:
                     break
-                if n not in stay:
-                    stay.append(n)
-            held = set(stay)
-            out += [(day["strategy"].iloc[0], int(t), n, 1.0 / len(held)) for n in sorted(held)]
+                held.add(n)
+            out += [(day.strategy, day.t, n, 1.0 / len(held)) for n in sorted(held)]
         return pd.DataFrame(out, columns=["strategy", "t", "n", "weight"])
 
-    return rows.select("strategy", "t", "n", "score", "valid").groupBy("strategy").applyInPandas(walk, schema)
+    kept = zones.groupBy("strategy").applyInPandas(walk, "strategy string, t int, n int, weight double")
+    return rows.select("strategy", "t", "n").join(kept, ["strategy", "t", "n"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
 def backtest(weights: DataFrame, returns: DataFrame, costs_bps: float = 5.0) -> DataFrame:
@@ -85,26 +90,32 @@ def cost_grid(weights: DataFrame, returns: DataFrame, levels=(0.0, 7.0, 15.0, 30
     return base.select("*", grid.alias("bps")).select(F.concat_ws(" @ ", "strategy", F.format_string("%.2f_bps", "bps")).alias("strategy"), "t", "gross", (F.col("cost") * F.col("bps")).alias("cost"), "turnover", (F.col("gross") - F.col("cost") * F.col("bps")).alias("net"))
 
 
-def ic_weighted_score(rows: DataFrame, factors: list[str], target: str, valid: str, lookback: int = 60) -> DataFrame:
-    """t, n, score: factors weighted by their pooled correlation with the target over the lookback dates before.
+def ic_weighted_score(rows: DataFrame, factors: list[str], target: str, valid: str, lookback: int = 60, step: int = 1) -> DataFrame:
+    """t, n, score: factors weighted by their pooled correlation with the target over the lookback dates before (20 at least).
 
-    Sums of products per date are the sufficient statistics; a window over dates adds them up, and never sees its own date.
+    There is a score on every step-th date from the 20th on whose history has max(100, 30 * factors) valid cells, for valid cells with
+    all factors; elsewhere it is null. A factor with fewer than 30 pairs, or no spread, has weight 0. Sums of products per
+    date are the sufficient statistics; a window over dates adds them up, and never sees its own date.
     """
-    fine = rows.where(F.col(valid))
-    sums = [F.sum(e).alias(f"{k}_{f}") for f in factors for k, e in (("x", F.col(f)), ("xx", F.col(f) * F.col(f)), ("xy", F.col(f) * F.col(target)))]
-    daily = fine.groupBy("t").agg(F.count("*").alias("k"), F.sum(target).alias("y"), F.sum(F.col(target) * F.col(target)).alias("yy"), *sums)
+    lookback = max(20, lookback)
+    usable = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+    fine = rows.where(F.col(valid)).select("t", usable(target).alias("y"), *[usable(f).alias(f) for f in factors])
+    pair = lambda f, e: F.when(F.col(f).isNotNull() & F.col("y").isNotNull(), e)
+    sums = [F.sum(pair(f, e)).alias(f"{k}_{f}") for f in factors for k, e in (("k", F.lit(1.0)), ("x", F.col(f)), ("y", F.col("y")), ("xx", F.col(f) * F.col(f)), ("yy", F.col("y") * F.col("y")), ("xy", F.col(f) * F.col("y")))]
+    daily = rows.select("t").distinct().join(fine.groupBy("t").agg(F.count("*").alias("cells"), *sums), "t", "left")
     past = Window.orderBy("t").rangeBetween(-lookback, -1)  # a row per date: a calendar
     s = lambda c: F.coalesce(F.sum(c).over(past), F.lit(0.0))
-    weights = {}
+    weights = {"__cells": s("cells")}
     for f in factors:
-        n = F.greatest(s("k"), F.lit(1.0))
-        cov = s(f"xy_{f}") / n - s(f"x_{f}") / n * s("y") / n
-        spread = F.sqrt(F.greatest(s(f"xx_{f}") / n - F.pow(s(f"x_{f}") / n, 2), F.lit(0.0)) * F.greatest(s("yy") / n - F.pow(s("y") / n, 2), F.lit(0.0)))
-        weights[f"w_{f}"] = F.when((s("k") >= max(100, 30 * len(factors))) & (spread > 1e-12), cov / F.greatest(spread, F.lit(1e-300))).otherwise(0.0)
+        n = F.greatest(s(f"k_{f}"), F.lit(1.0))
+        cov = s(f"xy_{f}") / n - s(f"x_{f}") / n * s(f"y_{f}") / n
+        spread = F.sqrt(F.greatest(s(f"xx_{f}") / n - F.pow(s(f"x_{f}") / n, 2), F.lit(0.0)) * F.greatest(s(f"yy_{f}") / n - F.pow(s(f"y_{f}") / n, 2), F.lit(0.0)))
+        weights[f"w_{f}"] = F.when((s(f"k_{f}") >= 30) & (spread * n > 1e-12), cov / F.greatest(spread, F.lit(1e-300))).otherwise(0.0)
     table = daily.select("t", *[w.alias(name) for name, w in weights.items()])
-    size = F.greatest(sum((F.abs(f"w_{f}") for f in factors), F.lit(0.0)), F.lit(1e-12))
-    mixed = sum((F.col(f"w_{f}") * F.coalesce(F.col(f), F.lit(0.0)) for f in factors), F.lit(0.0))
-    return rows.join(table, "t").select("t", "n", (mixed / size).alias("score"))
+    size = sum((F.abs(f"w_{f}") for f in factors), F.lit(0.0))
+    mixed = sum((F.col(f"w_{f}") * usable(f) for f in factors), F.lit(0.0))
+    scored = (F.col("t") >= 20) & (F.col("t") % step == 0) & (F.col("__cells") >= max(100, 30 * len(factors))) & (size > 1e-12) & F.col(valid)
+    return rows.join(table, "t").select("t", "n", F.when(scored, mixed / F.greatest(size, F.lit(1e-12))).alias("score"))
 
 
 def capped(raw: np.ndarray, cap: float) -> np.ndarray:
@@ -188,14 +199,70 @@ def optimised(rows: DataFrame, aversions=(1.0,), cap: float = 0.05, lookback: in
     return history.groupBy("at").applyInPandas(solve, "aversion double, t int, n int, weight double, expected double, variance double")
 
 
-def block_bootstrap(curve: DataFrame, samples: int = 200, block: int = 20, seed: int = 0) -> DataFrame:
-    """strategy, low, high: percentile bounds of the mean net return over resampled blocks of dates. Starts are hashes: reruns agree."""
-    size = curve.groupBy("strategy").agg(F.count("*").alias("size"), F.min("t").alias("first"))
-    draws = size.select("strategy", "size", "first", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / block).cast("int") - 1)))
-    start = F.col("first") + F.pmod(F.xxhash64("strategy", "sample", "piece", F.lit(seed)), F.greatest(F.col("size") - block + 1, F.lit(1)))
-    picked = draws.select("strategy", "sample", F.explode(F.sequence(start, start + F.least(F.lit(block), F.col("size")) - 1)).alias("t"))
-    means = picked.join(curve.select("strategy", "t", "net"), ["strategy", "t"]).groupBy("strategy", "sample").agg(F.avg("net").alias("mean"))
-    return means.groupBy("strategy").agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
+def diagonal_weights(scores: np.ndarray, history: np.ndarray, cap: float = 0.05, aversion: float = 1.0) -> np.ndarray:
+    """Weights of candidates by their standardised scores over the deviations of their shrunk covariance, from the least of them on, capped; equal ones where there is nothing to tell them by."""
+    equal = np.full(len(scores), 1 / max(1, len(scores)))
+    mu = scores - scores.mean() if len(scores) else scores
+    if len(scores) < 2 or not np.isfinite(mu).all() or mu.std() <= 1e-12:
+        return equal
+    variance = np.maximum(np.diag(shrunk_covariance(history)), 1e-8)
+    raw = mu / mu.std() / np.sqrt(variance * max(aversion, 1e-8))
+    raw -= raw.min()
+    return capped(raw, max(cap, 1 / len(raw))) if np.isfinite(raw).all() and raw.sum() > 1e-12 else equal
+
+
+def candidate_weights(rows: DataFrame, candidates: int = 50, window: int = 60, step: int = 20, cap: float = 0.05, aversion: float = 1.0) -> DataFrame:
+    """t, n, weight: on every step-th date from window on, but for the last, the best candidates by diagonal_weights of their returns in the window before; held in between.
+
+    rows: t, n, score, ret, valid. A date's candidates are chosen before their histories are joined, so that a task has candidates * window
+    returns, whatever the number of stocks.
+    """
+    candidates, window, step = max(2, candidates), max(5, window), max(1, step)
+    last = rows.agg(F.max("t").alias("last"))
+    fine = F.col("valid") & F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
+    dates = rows.where(fine & (F.col("t") % step == 0) & (F.col("t") >= window)).join(F.broadcast(last)).where("t < last")  # one row is broadcast
+    place = F.row_number().over(Window.partitionBy("t").orderBy(F.round("score", 9).desc(), F.col("n").desc()))
+    chosen = dates.select(F.col("t").alias("at"), "n", "score", place.alias("place")).where(F.col("place") <= candidates).drop("place")
+    first, until = F.floor(F.col("t") / step).cast("int") * step + step, F.floor((F.col("t") + window) / step).cast("int") * step
+    returns = F.when(F.isnan("ret") | F.col("ret").isNull() | (F.abs("ret") == float("inf")), 0.0).otherwise(F.col("ret"))
+    reach = rows.select("t", "n", returns.alias("ret"), F.when(until >= first, F.sequence(first, until, F.lit(step))).alias("ats")).select("t", "n", "ret", F.explode("ats").alias("at"))
+    history = reach.join(chosen, ["at", "n"]).groupBy("at", "n", "score").agg(F.array_sort(F.collect_list(F.struct("t", "ret"))).alias("past"))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n")
+        x = np.array([[day["ret"] for day in past] for past in pdf["past"]]).T
+        w = diagonal_weights(pdf["score"].to_numpy(float), x, cap, aversion)
+        return pd.DataFrame({"at": pdf["at"], "n": pdf["n"], "weight": w})
+
+    solved = history.groupBy("at").applyInPandas(solve, "at int, n int, weight double")
+    marks = rows.select("t", "n").join(chosen.select(F.col("at").alias("t")).distinct().withColumn("turn", F.lit(True)), "t", "left")
+    placed = marks.join(solved.withColumnRenamed("at", "t"), ["t", "n"], "left")
+    held = F.last(F.when(F.col("turn"), F.coalesce("weight", F.lit(0.0))), ignorenulls=True).over(over_time())
+    return placed.select("t", "n", F.coalesce(held, F.lit(0.0)).alias("weight"))
+
+
+def block_bootstrap(curve: DataFrame, samples: int = 200, block: int = 20, seed: int = 0, periods: int = 252) -> DataFrame:
+    """strategy and percentile bounds of the annualised return and of the Sharpe ratio, over resampled blocks of dates, cut to the length of the series. Starts are hashes: reruns agree."""
+    size = curve.groupBy("strategy").agg(F.count("*").alias("size"), F.min("t").alias("first")).where("size >= 2").withColumn("block", F.least(F.lit(block), F.col("size")))
+    draws = size.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / F.col("block")).cast("int") - 1)))
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", "strategy", "sample", "piece", F.lit(seed)).cast("binary")), 1, 8), 16, 10).cast("long")
+    start = F.pmod(number, F.col("size") - F.col("block") + 1)
+    picked = draws.select("strategy", "sample", "size", "first", (F.col("piece") * F.col("block")).alias("before"), F.posexplode(F.sequence(start, start + F.col("block") - 1)))
+    cut = picked.where("before + pos < size").select("strategy", "sample", "size", (F.col("first") + F.col("col")).cast("int").alias("t"))
+    rows = cut.join(curve.select("strategy", "t", "net"), ["strategy", "t"])
+    each = rows.groupBy("strategy", "sample").agg((F.exp(F.sum(F.log1p(F.greatest("net", F.lit(-0.999999999)))) * periods / F.count("*")) - 1).alias("ann_return"), F.avg("net").alias("m"), F.stddev_samp("net").alias("s"))
+    each = each.withColumn("sharpe", F.when(F.coalesce("s", F.lit(0.0)) < 1e-12, 0.0).otherwise(F.col("m") / F.greatest("s", F.lit(1e-300)) * F.sqrt(F.lit(float(periods)))))
+    bounds = [F.percentile(c, p).alias(f"{c}_{name}") for c in ("ann_return", "sharpe") for name, p in (("low", 0.025), ("high", 0.975))]
+    return each.groupBy("strategy").agg(*bounds)
+
+
+def gated_equity(days: DataFrame, window: int = 3, least: float = 0.5) -> DataFrame:
+    """t, ret, gate, equity of days (t, ret, level): a day counts if its level's share of rank among the last window rows is at least least."""
+    w = Window.orderBy("t")  # a row per date: a calendar
+    seen = F.collect_list("level").over(w.rowsBetween(1 - window, 0))
+    gate = F.when(F.size(seen) == window, F.size(F.filter(seen, lambda v: v <= F.col("level"))) / float(window))
+    gated = days.withColumn("gate", gate).withColumn("ret", F.when(F.col("gate") < least, 0.0).otherwise(F.col("ret")))
+    return gated.select("t", "ret", "gate", F.exp(F.sum(F.log1p(F.greatest("ret", F.lit(-0.999999999)))).over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("equity"))
 
 
 def walk_forward(n_dates: int, train: int, test: int, step: int) -> list[tuple[int, int, int, int]]:

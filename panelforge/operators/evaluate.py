@@ -37,9 +37,44 @@ def rolling_ic(daily: DataFrame, window: int = 60, least: int = 20) -> DataFrame
 
 
 def pooled_ic(rows: DataFrame, factor: str, target: str, valid: str) -> DataFrame:
-    """ic (Pearson's) and n_cells over all valid cells at once."""
-    fine = rows.where(F.col(valid)).select(F.col(factor).alias("x"), F.col(target).alias("y"))
-    return fine.agg(guarded_corr(F.col("x"), F.col("y")).alias("ic"), F.count("*").alias("n_cells"))
+    """ic (Pearson's), rank_ic (Spearman's) and n_cells over all valid cells at once.
+
+    Ranks of all cells need no window over all of them: cells are counted per distinct value, values fall into ranges by
+    quantiles, and ranks are counted within a range and carried on by the ranges' totals.
+    """
+    fine = rows.where(F.col(valid)).select(F.round(factor, 9).alias("a"), F.round(target, 9).alias("b"), F.col(factor).alias("x"), F.col(target).alias("y"))
+    ranked = pooled_rank(pooled_rank(fine, "a"), "b")
+    return ranked.agg(guarded_corr(F.col("x"), F.col("y")).alias("ic"), guarded_corr(F.col("a"), F.col("b")).alias("rank_ic"), F.count("*").alias("n_cells"))
+
+
+def pooled_rank(rows: DataFrame, column: str, ranges: int = 64) -> DataFrame:
+    """rows with the column's average ranks among all of them in its place."""
+    counted = rows.groupBy(column).agg(F.count("*").alias("__k"))
+    bounds = counted.agg(F.percentile_approx(column, [i / ranges for i in range(1, ranges)], 1000).alias("__bounds"))
+    placed = counted.join(F.broadcast(bounds)).withColumn("__range", F.size(F.filter(F.coalesce("__bounds", F.array().cast("array<double>")), lambda v: v < F.col(column)))).drop("__bounds")  # one row is broadcast
+    totals = placed.groupBy("__range").agg(F.sum("__k").alias("__n"))  # at most as many rows as ranges
+    before = totals.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    within = F.sum("__k").over(Window.partitionBy("__range").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    ranks = placed.join(F.broadcast(before), "__range").select(column, (F.col("__before") + within - (F.col("__k") - 1) / 2.0).alias("__rank"))
+    return rows.join(ranks, column).drop(column).withColumnRenamed("__rank", column)
+
+
+def rank_ic_loss(rows: DataFrame, prediction: str, target: str, temperature: float = 1.0) -> DataFrame:
+    """t, rank_ic_loss: less the correlation of soft ranks, sums of sigmoids of differences, within each date. A date's rows are one array."""
+    p, y = F.col(prediction), F.col(target)
+    days = rows.where(p.isNotNull() & y.isNotNull()).groupBy("t").agg(F.collect_list(p).alias("p"), F.collect_list(F.struct(p.alias("p"), y.alias("y"))).alias("pairs"))
+    soft = lambda pairs, field: F.transform(pairs, lambda a: F.aggregate(pairs, F.lit(0.0), lambda s, b: s + sigmoid((a[field] - b[field]) / temperature)))
+    ranked = days.select("t", F.explode(F.arrays_zip(soft(F.col("pairs"), "p").alias("a"), soft(F.col("pairs"), "y").alias("b"))).alias("r"))
+    return ranked.groupBy("t").agg((-guarded_corr(F.col("r")["a"], F.col("r")["b"])).alias("rank_ic_loss"))
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def gelu(x: Column) -> Column:
+    """x times the normal distribution at x, by the usual approximation with tanh."""
+    return x / 2 * (1 + F.tanh((x + 0.044715 * x * x * x) * 0.7978845608028654))
 
 
 def metrics(curve: DataFrame, periods: int = 252, by: str = "strategy") -> DataFrame:
@@ -61,6 +96,20 @@ def metrics(curve: DataFrame, periods: int = 252, by: str = "strategy") -> DataF
     )
 
 
+def backtest_summary(curve: DataFrame, benchmark: str | None = None, periods: int = 252) -> DataFrame:
+    """metrics() of curve (strategy, t, gross, cost, turnover, net) with turnover (the mean after the first date), cost_drag_cumulative, gross figures and, with a strategy as benchmark, info_ratio and alpha_ann of what is earned over it."""
+    year = F.sqrt(F.lit(float(periods)))
+    annual = lambda r: F.exp(F.sum(F.log1p(F.greatest(r, F.lit(-0.999999999)))) * periods / F.count(r)) - 1
+    ratio = lambda r: F.when(F.coalesce(F.stddev_samp(r), F.lit(0.0)) < 1e-12, 0.0).otherwise(F.avg(r) / F.greatest(F.stddev_samp(r), F.lit(1e-300)) * year)
+    more = [F.coalesce(F.avg(F.when(F.col("t") > 0, F.col("turnover"))), F.lit(0.0)).alias("turnover"), F.sum("cost").alias("cost_drag_cumulative"), annual(F.col("gross")).alias("gross_ann_return"), ratio(F.col("gross")).alias("gross_sharpe")]
+    rows = curve
+    if benchmark is not None:
+        rows = curve.join(curve.where(F.col("strategy") == benchmark).select("t", F.col("net").alias("__base")), "t")
+        active = F.col("net") - F.col("__base")
+        more += [ratio(active).alias("info_ratio"), annual(active).alias("alpha_ann")]
+    return metrics(curve, periods).join(rows.groupBy("strategy").agg(*more), "strategy")
+
+
 def adjusted_mse(rows: DataFrame, prediction: str, target: str, gamma: float = 0.1) -> DataFrame:
     """Mean squared error, weighted by gamma where the signs agree and by 1 + gamma where they don't."""
     if gamma <= 0:

@@ -83,3 +83,20 @@ def leaderboard(reports: DataFrame) -> DataFrame:
     """source, preset, strategy and figures of report documents (metadata, results), best first, unknown Sharpe ratios last."""
     flat = reports.select("metadata.source", "metadata.preset", F.explode("results").alias("r")).select("source", "preset", "r.*")
     return flat.orderBy(F.col("sharpe").desc_nulls_last(), "strategy", "source")
+
+
+def with_dimension(rows: DataFrame, dimension: DataFrame, keys: list[str]) -> DataFrame:
+    """Every row of a dimension with the rows that have its keys: the right outer join."""
+    return rows.join(dimension, keys, "right")
+
+
+def before_row(rows: DataFrame, column: str, window: int) -> DataFrame:
+    """rows with the mean, deviation, sum and least of a column over the window rows before, without the row itself; of those there are."""
+    w = Window.partitionBy("n").orderBy("t").rowsBetween(-window, -1)
+    return rows.withColumns({f"{column}_{name}": f(column).over(w) for name, f in (("mean", F.avg), ("std", F.stddev_samp), ("sum", F.sum), ("min", F.min))})
+
+
+def rolling_apply(rows: DataFrame, column: str, window: int | None, function, least: int = 1) -> DataFrame:
+    """rows with applied: function (an array Column to a Column) of the known values among the last window rows, all of them for None, null for fewer than least."""
+    w = Window.partitionBy("n").orderBy("t").rowsBetween(Window.unboundedPreceding if window is None else 1 - window, 0)
+    return rows.withColumn("__seen", F.collect_list(column).over(w)).withColumn("applied", F.when(F.size("__seen") >= least, function(F.col("__seen")))).drop("__seen")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from panelforge.plans import compiler, expr
+
 
 def over_time() -> WindowSpec:
     return Window.partitionBy("n").orderBy("t")
@@ -19,17 +21,19 @@ def forward_return(panel: DataFrame, horizon: int = 1) -> DataFrame:
     return out.withColumn("target", F.when(F.col("target__m"), F.col("__later") / F.greatest("close", F.lit(1e-9)) - 1).otherwise(0.0)).drop("__later")
 
 
+def previous_close(panel: DataFrame) -> Column:
+    """last_close where the panel has it, else the close of the row before, in the first row its own."""
+    return F.col("last_close") if "last_close" in panel.columns else F.coalesce(F.lag("close").over(over_time()), F.col("close"))
+
+
 def limit_move_mask(panel: DataFrame, limit: float = 0.098, eps: float = 1e-3) -> DataFrame:
-    """panel with free: valid cells whose close did not touch a price limit; by the limits where the panel has them, else by the size of the move."""
-    before = F.lag("close", 1, 0.0).over(over_time())
-    by_move = F.abs(F.col("close") / F.greatest(before, F.lit(1e-9)) - 1) <= limit
+    """panel with free: valid cells, but for the first row's, whose close did not touch a price limit; by the limits where the panel has them, else by the size of the move from the previous close, valid or not."""
+    free = F.abs(F.col("close") / F.greatest(previous_close(panel), F.lit(1e-9)) - 1) <= limit
     if "limit_up" in panel.columns and "limit_down" in panel.columns:
         banded = (F.col("limit_up") > 0) & (F.col("limit_down") > 0)
         by_band = (F.col("close") < F.col("limit_up") - eps) & (F.col("close") > F.col("limit_down") + eps)
-        free = F.when(banded, by_band).otherwise(by_move)
-    else:
-        free = by_move & F.lag("mask", 1, False).over(over_time())
-    return panel.withColumn("free", free & F.col("mask") & (F.col("t") > 0))
+        free = F.when(banded, by_band).otherwise(free)
+    return panel.withColumn("__free", free).withColumn("free", F.col("__free") & F.col("mask") & (F.col("t") > 0)).drop("__free")
 
 
 def neutralise_industry(rows: DataFrame, value: str, industry: str, mask: str = "mask", size: str | None = None) -> DataFrame:
@@ -53,23 +57,42 @@ def neutralise_industry(rows: DataFrame, value: str, industry: str, mask: str =
 
 def bucket(ret: Column, truncate: bool = False) -> Column:
     """Per cent of a return, to the nearest even (or toward zero), within -10 to 10."""
-    percent = (ret * 100).cast("int") if truncate else F.bround(ret * 100).cast("int")
-    return F.greatest(F.least(percent, F.lit(10)), F.lit(-10))
+    percent = F.greatest(F.least(ret * 100, F.lit(1e6)), F.lit(-1e6))
+    whole = percent.cast("int") if truncate else F.bround(percent).cast("int")
+    return F.greatest(F.least(whole, F.lit(10)), F.lit(-10))
 
 
-def breadth(panel: DataFrame) -> DataFrame:
-    """t, family (CR: close returns, OR: opening gaps), bucket (-10 to 10), frac: the share of valid stocks."""
-    before, valid_before = F.lag("close", 1, 0.0).over(over_time()), F.lag("mask", 1, False).over(over_time())
-    base = panel.withColumns({"__before": before, "__ok": valid_before})
-    close_ret = F.when(F.col("__ok"), F.col("close") / F.greatest("__before", F.lit(1e-9)) - 1).otherwise(0.0)
-    open_ret = F.col("open") / F.greatest("__before", F.lit(1e-9)) - 1
-    rows = base.where("mask").select("t", F.inline(F.array(F.struct(F.lit("CR").alias("family"), bucket(close_ret).alias("bucket")), F.struct(F.lit("OR").alias("family"), F.when(F.col("__ok"), bucket(open_ret)).alias("bucket")))))
+def breadth(panel: DataFrame, truncate: bool = False) -> DataFrame:
+    """t, family (CR: close returns, OR: opening gaps), bucket (-10 to 10), frac: the share of valid stocks.
+
+    A close return without a valid previous close is 0. An opening gap counts unless there is no previous close: in the first
+    row, or where last_close, if the panel has it, isn't over 0.
+    """
+    known = F.col("last_close") > 0 if "last_close" in panel.columns else F.col("t") > 0
+    base = panel.withColumns({"__before": F.greatest(previous_close(panel), F.lit(1e-9)), "__ok": F.col("last_close") > 0 if "last_close" in panel.columns else F.lag("mask", 1, False).over(over_time())})
+    close_ret = F.when(F.col("__ok"), F.col("close") / F.col("__before") - 1).otherwise(0.0)
+    open_ret = F.col("open") / F.col("__before") - 1
+    rows = base.where("mask").select("t", F.inline(F.array(F.struct(F.lit("CR").alias("family"), bucket(close_ret, truncate).alias("bucket")), F.struct(F.lit("OR").alias("family"), F.when(known, bucket(open_ret, truncate)).alias("bucket")))))
     counted = rows.where("bucket is not null").groupBy("t", "family", "bucket").agg(F.count("*").alias("k"))
     return counted.select("t", "family", "bucket", (F.col("k") / F.sum("k").over(Window.partitionBy("t", "family"))).alias("frac"))
 
 
+def breadth_names() -> list[tuple[str, int, str]]:
+    """Family, bucket and column (a minus sign as m) of the distributions."""
+    return [(f, b, f"{f}_{'m' if b < 0 else ''}{abs(b)}") for f in ("CR", "OR") for b in range(-10, 11)]
+
+
 def breadth_columns(panel: DataFrame) -> DataFrame:
-    """A row per date with a column for every family and bucket (CR_-10 .. OR_10, minus signs as m)."""
-    names = [(f, b) for f in ("CR", "OR") for b in range(-10, 11)]
+    """A row per date with a column for every family and bucket."""
     found = breadth(panel)
-    return found.groupBy("t").agg(*[F.coalesce(F.max(F.when((F.col("family") == f) & (F.col("bucket") == b), F.col("frac"))), F.lit(0.0)).alias(f"{f}_{'m' if b < 0 else ''}{abs(b)}") for f, b in names])
+    return found.groupBy("t").agg(*[F.coalesce(F.max(F.when((F.col("family") == f) & (F.col("bucket") == b), F.col("frac"))), F.lit(0.0)).alias(name) for f, b, name in breadth_names()])
+
+
+def market_breadth(panel: DataFrame) -> DataFrame:
+    """t, n and 48 columns: descending ranks of close, open, high, low, the mean price and the amount, null where the cell isn't valid, and the distributions of its date. A date is a row of a dimension, so that its columns are joined to the cells as such."""
+    ranks = {"close": "close", "open": "open", "high": "high", "low": "low", "avg": "vwap", "amount": "amount"}
+    values = {f"cs_rank_{name}": expr.cs_rank(expr.field(field), descending=True) for name, field in ranks.items()}
+    ranked = compiler.evaluate(panel, values, 0)
+    shares = breadth_columns(panel)
+    zero = [F.coalesce(name, F.lit(0.0)).alias(name) for _, _, name in breadth_names()]
+    return ranked.join(shares, "t", "left").select("t", "n", *values, *zero)

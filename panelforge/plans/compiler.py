@@ -240,3 +240,23 @@ def evaluate(panel: DataFrame, values: dict[str, Value], n_dates: int, masks: bo
 
 def joint_mask(values: dict[str, Value]) -> Node:
     return both(*(v.under() for v in values.values()))
+
+
+def evaluate_wide(panel: DataFrame, values: dict[str, Value], n_dates: int, width: int = 18, joint: bool = True, store=None, keep: tuple[str, ...] = ("t", "n")) -> DataFrame:
+    """evaluate() of any number of values, width of them in one plan; with joint, all are null where one isn't valid. store: what a part is written and read again by, so that no plan holds all windows."""
+    names, whole = list(values), None
+    for at in range(0, len(names), width):
+        part = evaluate(panel, {name: values[name] for name in names[at : at + width]}, n_dates, keep=keep)
+        part = store(part) if store else part
+        whole = part if whole is None else whole.join(part, list(keep))
+    if not joint:
+        return whole
+    every = both_known(names)
+    return whole.select(*keep, *[F.when(every, F.col(name)).alias(name) for name in names])
+
+
+def both_known(names: list[str]) -> Column:
+    found = F.lit(True)
+    for name in names:
+        found = found & F.col(name).isNotNull()
+    return found

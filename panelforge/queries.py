@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge import oracle
-from panelforge.functions.factors import FAMILIES, REGISTRY
-from panelforge.operators import books, evaluate, relate, section
+from panelforge.functions.factors import ALPHA_SET, FAMILIES, REGISTRY
+from panelforge.operators import books, evaluate, learn, relate, section
 from panelforge.plans import compiler, expr, sql
 from panelforge.sources import panel as panels
 from panelforge.streaming import bars as stream
@@ -25,7 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def weekly_panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    return panels.densify(panels.trade_bars(table(spark, sf_dir, "lineitem")))
+    lineitem = table(spark, sf_dir, "lineitem")
+    return panels.densify(panels.trade_bars(lineitem), keys=panels.trade_keys(lineitem))
 
 
 def rounded(df: DataFrame, decimals: int = DECIMALS, keep: tuple[str, ...] = ("t", "n")) -> DataFrame:
@@ -75,6 +76,19 @@ for name, value in PRIMITIVES.items():
     QUERIES[f"primitive_{name}"], ORACLE[f"primitive_{name}"] = panel_query({"value": value})
 SIX = ["best_001", "best_002", "original_001", "stock_001", "add_015", "old_042"]
 QUERIES["factor_set_six"], ORACLE["factor_set_six"] = panel_query(joint_set(factor_set(SIX)))
+#: The nine alphas by their other names: not cleaned of what isn't finite, under their joint mask.
+QUERIES["alpha_set"], ORACLE["alpha_set"] = panel_query(joint_set({name: expr.cs_zscore(REGISTRY[ALPHA_SET[name]]) for name in ALPHA_SET}))
+
+
+def whole_set(panel, n_dates: int, names: list[str] | None = None, standardise: bool = True, store=None):
+    """t, n and the registered factors, by default all of them, cleaned and standardised, under their joint mask."""
+    return compiler.evaluate_wide(panel, factor_set(names or list(REGISTRY), standardise), n_dates, WIDEST, store=store)
+
+
+#: More factors than one plan has, under their joint mask.
+SPREAD = [*FAMILIES["alpha"], *FAMILIES["change"], *FAMILIES["best"][:12]]
+QUERIES["joint_factor_set"] = lambda spark, sf_dir: rounded(whole_set(*weekly_panel(spark, sf_dir), SPREAD))
+ORACLE["joint_factor_set"] = sql.query(oracle.BARS, "panel", joint_set(factor_set(SPREAD)), decimals=DECIMALS)
 
 
 # -- operators: queries over the weekly panel, with hand-written SQL
@@ -107,11 +121,26 @@ register("panel_returns", over_panel(lambda p, n: panels.with_returns(p).select(
 register("panel_coverage", over_panel(lambda p, n: panels.coverage(p)), f"final AS (SELECT n, count(*) AS cells, count(*) FILTER (mask) AS valid, {near('avg(mask::INT)')} AS share, min(t) FILTER (mask) AS first_t, max(t) FILTER (mask) AS last_t FROM panel GROUP BY n) SELECT * FROM final")
 register("panel_violations", over_panel(lambda p, n: panels.violations(p).groupBy().agg(F.count("*").alias("n_violations"))), "final AS (SELECT count(*) AS n_violations FROM panel WHERE mask AND (high < greatest(open, low, close) OR low > least(open, high, close))) SELECT * FROM final")
 register("forward_return", over_panel(lambda p, n: section.forward_return(p).select("t", "n", "target", "target__m")), f"{TARGETS}, final AS (SELECT t, n, {near('target')} AS target, ok AS target__m FROM targets) SELECT * FROM final")
-register("limit_move_mask", over_panel(lambda p, n: section.limit_move_mask(p, 0.5).select("t", "n", "free")), f"{TARGETS}, final AS (SELECT t, n, mask AND t > 0 AND before_ok AND abs(close / greatest(before, 1e-9) - 1) <= 0.5 AS free FROM targets) SELECT * FROM final")
-BREADTH = f"""{TARGETS}, cells AS (SELECT t, 'CR' AS family, CASE WHEN before_ok THEN close / greatest(before, 1e-9) - 1 ELSE 0 END AS r FROM targets WHERE mask UNION ALL SELECT t, 'OR', open / greatest(before, 1e-9) - 1 FROM targets WHERE mask AND before_ok),
-binned AS (SELECT t, family, CAST(greatest(least(round_even(r * 100, 0), 10), -10) AS INTEGER) AS bucket FROM cells),
-final AS (SELECT t, family, bucket, {near("count(*) / (sum(count(*)) OVER (PARTITION BY t, family))::DOUBLE")} AS frac FROM binned GROUP BY t, family, bucket) SELECT * FROM final"""
-register("market_breadth", over_panel(lambda p, n: section.breadth(p)), BREADTH)
+register("limit_move_mask", over_panel(lambda p, n: section.limit_move_mask(p, 0.5).select("t", "n", "free")), f"{TARGETS}, final AS (SELECT t, n, mask AND t > 0 AND abs(close / greatest(before, 1e-9) - 1) <= 0.5 AS free FROM targets) SELECT * FROM final")
+BUCKET = "CAST(greatest(least(round_even(greatest(least(r * 100, 1e6), -1e6), 0), 10), -10) AS INTEGER) AS bucket"
+SHARES = f"""binned AS (SELECT t, family, {BUCKET} FROM cells), shares AS (SELECT t, family, bucket, count(*) / (sum(count(*)) OVER (PARTITION BY t, family))::DOUBLE AS frac FROM binned GROUP BY t, family, bucket)"""
+CELLS = f"""{TARGETS}, cells AS (SELECT t, 'CR' AS family, CASE WHEN before_ok THEN close / greatest(before, 1e-9) - 1 ELSE 0 END AS r FROM targets WHERE mask UNION ALL SELECT t, 'OR', open / greatest(before, 1e-9) - 1 FROM targets WHERE mask AND t > 0), {SHARES}"""
+register("market_breadth", over_panel(lambda p, n: section.breadth(p)), f"{CELLS}, final AS (SELECT t, family, bucket, {near('frac')} AS frac FROM shares) SELECT * FROM final")
+RANK = "CASE WHEN mask THEN (rank() OVER (PARTITION BY t, mask ORDER BY round({0}, 9) DESC) + (count(*) OVER (PARTITION BY t, mask, round({0}, 9)) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY t, mask) END"
+RANKS = ", ".join(f"{near(RANK.format(field))} AS cs_rank_{name}" for name, field in (("close", "close"), ("open", "open"), ("high", "high"), ("low", "low"), ("avg", "vwap"), ("amount", "amount")))
+WIDE = ", ".join(f"{near(f'coalesce(max(frac) FILTER (family = {f!r} AND bucket = {b}), 0)')} AS {name}" for f, b, name in section.breadth_names())
+register("market_breadth_columns", over_panel(lambda p, n: section.market_breadth(p)), f"{CELLS}, wide AS (SELECT t, {WIDE} FROM shares GROUP BY t), ranks AS (SELECT t, n, {RANKS} FROM panel), final AS (SELECT r.*, {', '.join(f'coalesce({name}, 0) AS {name}' for _, _, name in section.breadth_names())} FROM ranks r LEFT JOIN wide w ON w.t = r.t) SELECT * FROM final")
+
+
+def with_last_close(panel: DataFrame, n_dates: int) -> DataFrame:
+    """The panel with the last valid close before each cell as last_close, 0 where there is none."""
+    before = F.last(F.when(F.col("mask"), F.col("close")), ignorenulls=True).over(section.over_time().rowsBetween(-(10**9), -1))
+    return panel.withColumn("last_close", F.coalesce(before, F.lit(0.0)))
+
+
+LAST = "known AS (SELECT *, coalesce(last_value(CASE WHEN mask THEN close END IGNORE NULLS) OVER (PARTITION BY n ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS last_close FROM panel)"
+register("limit_move_mask_last_close", over_panel(lambda p, n: section.limit_move_mask(with_last_close(p, n), 0.5).select("t", "n", "free")), f"{LAST}, final AS (SELECT t, n, mask AND t > 0 AND abs(close / greatest(last_close, 1e-9) - 1) <= 0.5 AS free FROM known) SELECT * FROM final")
+register("market_breadth_last_close", over_panel(lambda p, n: section.breadth(with_last_close(p, n))), f"{LAST}, cells AS (SELECT t, 'CR' AS family, CASE WHEN last_close > 0 THEN close / greatest(last_close, 1e-9) - 1 ELSE 0 END AS r FROM known WHERE mask UNION ALL SELECT t, 'OR', open / greatest(last_close, 1e-9) - 1 FROM known WHERE mask AND last_close > 0), {SHARES}, final AS (SELECT t, family, bucket, {near('frac')} AS frac FROM shares) SELECT * FROM final")
 
 
 def industries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +187,10 @@ daily_ic = lambda p, n: evaluate.daily_rank_ic(scored(p, n), "score", "target",
 register("rank_ic_daily", over_panel(daily_ic), f"{IC}, final AS (SELECT t, {near('ic')} AS ic FROM ic) SELECT * FROM final")
 register("ic_summary", over_panel(lambda p, n: evaluate.ic_summary(daily_ic(p, n))), f"{IC}, final AS (SELECT {near('avg(ic)')} AS mean_ic, {near('median(ic)')} AS median_ic, {near('stddev_samp(ic)')} AS std_ic, {near('avg(CASE WHEN ic > 0 THEN 1.0::DOUBLE ELSE 0 END)')} AS positive_rate, count(ic) AS n_dates FROM ic) SELECT * FROM final")
 register("rolling_ic", over_panel(lambda p, n: evaluate.rolling_ic(daily_ic(p, n))), f"{IC}, final AS (SELECT t, {near('ic')} AS ic, {near('CASE WHEN count(ic) OVER w >= 20 THEN avg(ic) OVER w END')} AS rolling_ic FROM ic WINDOW w AS (ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)) SELECT * FROM final")
-register("pooled_ic", over_panel(lambda p, n: evaluate.pooled_ic(scored(p, n), "score", "target", "known")), f"{SCORED}, final AS (SELECT {near('covar_pop(score, target) / (stddev_pop(score) * stddev_pop(target))')} AS ic, count(*) AS n_cells FROM scored WHERE known) SELECT * FROM final")
+ORDERED = "rank() OVER (ORDER BY round({0}, 9)) + (count(*) OVER (PARTITION BY round({0}, 9)) - 1) / 2.0::DOUBLE"
+register("pooled_ic", over_panel(lambda p, n: evaluate.pooled_ic(scored(p, n), "score", "target", "known")), f"{SCORED}, pooled AS (SELECT score, target, {ORDERED.format('score')} AS a, {ORDERED.format('target')} AS b FROM scored WHERE known), final AS (SELECT {near('covar_pop(score, target) / (stddev_pop(score) * stddev_pop(target))')} AS ic, {near('covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b))')} AS rank_ic, count(*) AS n_cells FROM pooled) SELECT * FROM final")
+register("rank_ic_loss", over_panel(lambda p, n: evaluate.rank_ic_loss(scored(p, n).where("known"), "score", "target", 0.05), 3), f"""{SCORED}, soft AS (SELECT x.t, x.n, sum(1 / (1 + exp(-(x.score - y.score) / 0.05::DOUBLE))) AS a, sum(1 / (1 + exp(-(x.target - y.target) / 0.05::DOUBLE))) AS b FROM scored x JOIN scored y ON x.t = y.t WHERE x.known AND y.known GROUP BY x.t, x.n),
+final AS (SELECT t, {near('-CASE WHEN count(*) >= 2 AND stddev_pop(a) * stddev_pop(b) > 1e-12 THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) ELSE 0 END', 3)} AS rank_ic_loss FROM soft GROUP BY t) SELECT * FROM final""")
 register("adjusted_mse", over_panel(lambda p, n: evaluate.adjusted_mse(scored(p, n).where("known"), "score", "target")), f"{SCORED}, final AS (SELECT {near('avg((score - target) * (score - target) * CASE WHEN score * target > 0 THEN 0.1 ELSE 1.1 END)')} AS adjusted_mse, {near('-covar_pop(score, target) / (stddev_pop(score) * stddev_pop(target))')} AS ic_loss FROM scored WHERE known) SELECT * FROM final")
 
 
@@ -178,10 +210,14 @@ register("rebalanced_weights", over_panel(lambda p, n: books.rebalanced(books.to
 curve_of = lambda p, n: books.backtest(two_books(p, n), scored(p, n))
 register("backtest", over_panel(curve_of), f"{BACKTEST}, final AS (SELECT strategy, t, {', '.join(f'{near(c)} AS {c}' for c in ('gross', 'cost', 'turnover', 'net'))} FROM curve) SELECT * FROM final")
 register("cost_grid", over_panel(lambda p, n: books.cost_grid(two_books(p, n), scored(p, n)).groupBy("strategy").agg(F.sum("net").alias("net"), F.sum("cost").alias("cost"))), f"{BACKTEST}, final AS (SELECT printf('%s @ %.2f_bps', strategy, bps) AS strategy, {near('sum(gross - traded * bps * 1e-4)')} AS net, {near('sum(traded * bps * 1e-4)')} AS cost FROM days2, (SELECT unnest([0.0::DOUBLE, 7.0, 15.0, 30.0]) AS bps) GROUP BY strategy, bps) SELECT * FROM final")
-register("metrics", over_panel(lambda p, n: evaluate.metrics(curve_of(p, n), 52)), f"""{BACKTEST}, eq AS (SELECT *, exp(sum(ln(1 + greatest(net, -0.999999999))) OVER (PARTITION BY strategy ORDER BY t ROWS UNBOUNDED PRECEDING)) AS equity FROM curve),
+METRICS = f"""{BACKTEST}, eq AS (SELECT *, exp(sum(ln(1 + greatest(net, -0.999999999))) OVER (PARTITION BY strategy ORDER BY t ROWS UNBOUNDED PRECEDING)) AS equity FROM curve),
 fall AS (SELECT *, 1 - equity / max(equity) OVER (PARTITION BY strategy ORDER BY t ROWS UNBOUNDED PRECEDING) AS fall FROM eq),
 m AS (SELECT strategy, count(*) AS n_periods, arg_max(equity, t) AS fe, avg(net) AS mean, coalesce(stddev_samp(net), 0) AS sd, coalesce(stddev_samp(net) FILTER (net < 0), 0) AS ld, max(fall) AS dd FROM fall GROUP BY strategy),
-final AS (SELECT strategy, n_periods, {near('fe')} AS final_equity, {near('pow(fe, 52.0::DOUBLE / n_periods) - 1')} AS ann_return, {near('sd * sqrt(52.0)')} AS ann_vol, {near('mean / sd * sqrt(52.0)')} AS sharpe, {near('mean / ld * sqrt(52.0)')} AS sortino, {near('dd')} AS max_drawdown, {near('(pow(fe, 52.0::DOUBLE / n_periods) - 1) / dd')} AS calmar FROM m) SELECT * FROM final""")
+figures AS (SELECT strategy, n_periods, {near('fe')} AS final_equity, {near('pow(fe, 52.0::DOUBLE / n_periods) - 1')} AS ann_return, {near('sd * sqrt(52.0)')} AS ann_vol, {near('mean / sd * sqrt(52.0)')} AS sharpe, {near('mean / ld * sqrt(52.0)')} AS sortino, {near('dd')} AS max_drawdown, {near('(pow(fe, 52.0::DOUBLE / n_periods) - 1) / dd')} AS calmar FROM m)"""
+register("metrics", over_panel(lambda p, n: evaluate.metrics(curve_of(p, n), 52)), f"{METRICS}, final AS (SELECT * FROM figures) SELECT * FROM final")
+ANNUAL, RATIO = "exp(sum(ln(1 + greatest({0}, -0.999999999))) * 52.0::DOUBLE / count(*)) - 1", "CASE WHEN coalesce(stddev_samp({0}), 0) < 1e-12 THEN 0 ELSE avg({0}) / stddev_samp({0}) * sqrt(52.0) END"
+register("backtest_summary", over_panel(lambda p, n: evaluate.backtest_summary(curve_of(p, n), "equal", 52)), f"""{METRICS}, more AS (SELECT c.strategy, {near('avg(c.turnover) FILTER (c.t > 0)')} AS turnover, {near('sum(c.cost)')} AS cost_drag_cumulative, {near(ANNUAL.format('c.gross'))} AS gross_ann_return, {near(RATIO.format('c.gross'))} AS gross_sharpe,
+{near(RATIO.format('(c.net - b.net)'))} AS info_ratio, {near(ANNUAL.format('(c.net - b.net)'))} AS alpha_ann FROM curve c JOIN curve b ON b.strategy = 'equal' AND b.t = c.t GROUP BY c.strategy), final AS (SELECT figures.*, more.* EXCLUDE (strategy) FROM figures JOIN more USING (strategy)) SELECT * FROM final""")
 register("head_per_date", over_panel(lambda p, n: relate.head_per_date(scored(p, n).where("known"), "score", "target")), f"{SCORED}, placed AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY round(score, 9) DESC, n) AS place FROM scored WHERE known), final AS (SELECT size, {near('avg(target)')} AS mean, {near('avg(CASE WHEN target > 0 THEN 1.0::DOUBLE ELSE 0 END)')} AS hit_rate, count(*) AS rows FROM placed, (SELECT unnest([1, 5, 10]) AS size) WHERE place <= size GROUP BY size) SELECT * FROM final")
 register("threshold_sweep", over_panel(lambda p, n: relate.threshold_sweep(scored(p, n).where("known"), "score", "target", (0.0, 0.1, 0.2))), f"{SCORED}, final AS (SELECT level, count(*) AS rows, {near('avg(target)')} AS mean FROM scored, (SELECT unnest([0.0::DOUBLE, 0.1, 0.2]) AS level) WHERE known AND score > level GROUP BY level) SELECT * FROM final")
 
@@ -220,14 +256,42 @@ seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp")).alias(c)  # noqa:
 register("event_bars", lambda s, d: rounded(stream.event_bars(table(s, d, "events")).withColumn("start", seconds("start"))), f"SELECT user_id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, {near('arg_min(value, row(ts, event_id))')} AS open, {near('max(value)')} AS high, {near('min(value)')} AS low, {near('arg_max(value, row(ts, event_id))')} AS close, count(*) AS n, {near('sum(value)')} AS total FROM events GROUP BY user_id, date_trunc('day', ts)")
 register("event_sessions", lambda s, d: rounded(stream.sessions(table(s, d, "events")).select("user_id", seconds("start"), "n", "total")), f"WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), h AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, {EPOCH.format('min(ts)')} AS start, count(*) AS n, {near('sum(value)')} AS total FROM h GROUP BY user_id, s")
 
-# -- what SQL can't express: rows only
+# -- stateful and resampled books
 
 
 def buffered_book(p: DataFrame, n: int) -> DataFrame:
     return books.buffered(scored(p, n).withColumn("strategy", F.lit("buffered")))
 
 
-register("buffered_weights", over_panel(buffered_book, 6))
+ZONES = f"""{SCORED}, placed AS (SELECT t, n, row_number() OVER (PARTITION BY t ORDER BY round(score, 9) DESC, n DESC) AS place, count(*) OVER (PARTITION BY t) AS k FROM scored WHERE valid),
+sized AS (SELECT *, greatest(1, ceil(k * 0.2::DOUBLE - 1e-9)) AS wanted, greatest(1, ceil(k * 0.2::DOUBLE - 1e-9), ceil(k * 0.3::DOUBLE - 1e-9)) AS size FROM placed),
+zones AS MATERIALIZED (SELECT t, max(wanted) AS wanted, list(n ORDER BY place) FILTER (place <= size) AS zone FROM sized GROUP BY t),
+dates AS MATERIALIZED (SELECT d.t, wanted, coalesce(zone, []) AS zone FROM (SELECT DISTINCT t FROM scored) d LEFT JOIN zones ON zones.t = d.t),
+walk(t, held) AS (SELECT -1, CAST([] AS INTEGER[]) UNION ALL SELECT d.t, list_concat(list_filter(d.zone, lambda x: list_contains(w.held, x)), list_filter(d.zone, lambda x: NOT list_contains(w.held, x))[1:CAST(greatest(0, d.wanted - len(list_filter(d.zone, lambda x: list_contains(w.held, x)))) AS BIGINT)]) FROM walk w JOIN dates d ON d.t = w.t + 1)"""
+register("buffered_weights", over_panel(buffered_book, 6), f"WITH RECURSIVE {oracle.BARS.strip()}, {ZONES}, final AS (SELECT 'buffered' AS strategy, s.t, s.n, {near('CASE WHEN list_contains(held, s.n) THEN 1.0::DOUBLE / len(held) ELSE 0 END', 6)} AS weight FROM scored s JOIN walk w ON w.t = s.t) SELECT * FROM final")
+register("block_bootstrap", over_panel(lambda p, n: books.block_bootstrap(curve_of(p, n), periods=52), 3), f"""{BACKTEST}, sizes AS (SELECT strategy, count(*) AS size, min(t) AS first, least(20, count(*)) AS block FROM curve GROUP BY strategy),
+draws AS (SELECT *, unnest(range(CAST(ceil(size / block::DOUBLE) AS BIGINT))) AS piece FROM (SELECT *, unnest(range(200)) AS sample FROM sizes)),
+starts AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', strategy, sample, piece, 0)), 1, 8) AS BIGINT) % (size - block + 1) AS start FROM draws),
+picked AS (SELECT strategy, sample, first + start + pos AS t FROM (SELECT *, unnest(range(block)) AS pos FROM starts) WHERE piece * block + pos < size),
+samples AS (SELECT p.strategy, sample, {ANNUAL.format('net')} AS a, {RATIO.format('net')} AS s FROM picked p JOIN curve c ON c.strategy = p.strategy AND c.t = p.t GROUP BY p.strategy, sample),
+final AS (SELECT strategy, {near('quantile_cont(a, 0.025)', 3)} AS ann_return_low, {near('quantile_cont(a, 0.975)', 3)} AS ann_return_high, {near('quantile_cont(s, 0.025)', 3)} AS sharpe_low, {near('quantile_cont(s, 0.975)', 3)} AS sharpe_high FROM samples GROUP BY strategy) SELECT * FROM final""")
+PAIRED = "count(*) FILTER (known) AS k_{0}, sum({0}) FILTER (known) AS x_{0}, sum({0} * {0}) FILTER (known) AS xx_{0}, sum({0} * target) FILTER (known) AS xy_{0}"
+PAST = ", ".join(f"coalesce(sum({c}) OVER w, 0) AS {c}" for c in ("cells", "y", "yy", *(f"{k}_{f}" for f in ("score", "ret") for k in ("x", "xx", "xy"))))
+CORR = "CASE WHEN cells >= 30 AND sqrt(greatest(xx_{0} / cells - pow(x_{0} / cells, 2), 0) * greatest(yy / cells - pow(y / cells, 2), 0)) * cells > 1e-12 THEN (xy_{0} / cells - x_{0} / cells * y / cells) / sqrt(greatest(xx_{0} / cells - pow(x_{0} / cells, 2), 0) * greatest(yy / cells - pow(y / cells, 2), 0)) ELSE 0 END AS w_{0}"
+register("ic_weighted_score", over_panel(lambda p, n: books.ic_weighted_score(scored(p, n), ["score", "ret"], "target", "known", 60, 5)), f"""{SCORED}, sums AS (SELECT t, count(*) FILTER (known) AS cells, sum(target) FILTER (known) AS y, sum(target * target) FILTER (known) AS yy, {PAIRED.format('score')}, {PAIRED.format('ret')} FROM scored GROUP BY t),
+past AS (SELECT t, {PAST} FROM sums WINDOW w AS (ORDER BY t RANGE BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+mixed AS (SELECT t, cells, {CORR.format('score')}, {CORR.format('ret')} FROM past),
+final AS (SELECT s.t, n, {near('CASE WHEN s.t >= 20 AND s.t % 5 = 0 AND cells >= 100 AND abs(w_score) + abs(w_ret) > 1e-12 AND known THEN (w_score * score + w_ret * ret) / (abs(w_score) + abs(w_ret)) END')} AS score FROM scored s JOIN mixed USING (t)) SELECT * FROM final""")
+register("excluding_current_row", over_panel(lambda p, n: relate.before_row(scored(p, n), "ret", 5).select("t", "n", "ret_mean", "ret_std", "ret_sum", "ret_min")), f"{SCORED}, final AS (SELECT t, n, {near('avg(ret) OVER w')} AS ret_mean, {near('stddev_samp(ret) OVER w')} AS ret_std, {near('sum(ret) OVER w')} AS ret_sum, {near('min(ret) OVER w')} AS ret_min FROM scored WINDOW w AS (PARTITION BY n ORDER BY t ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) SELECT * FROM final")
+register("gated_equity", over_panel(lambda p, n: books.gated_equity(curve_of(p, n).where("strategy = 'momentum'").select("t", F.col("net").alias("ret"), F.round("gross", 9).alias("level")))), f"""{BACKTEST}, gates AS (SELECT t, net, CASE WHEN t >= 2 THEN (1 + CASE WHEN lag(round(gross, 9)) OVER w <= round(gross, 9) THEN 1 ELSE 0 END + CASE WHEN lag(round(gross, 9), 2) OVER w <= round(gross, 9) THEN 1 ELSE 0 END) / 3.0::DOUBLE END AS gate FROM curve WHERE strategy = 'momentum' WINDOW w AS (ORDER BY t)),
+gated AS (SELECT t, gate, CASE WHEN gate < 0.5 THEN 0 ELSE net END AS ret FROM gates), final AS (SELECT t, {near('ret')} AS ret, {near('gate')} AS gate, {near('exp(sum(ln(1 + greatest(ret, -0.999999999))) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING))')} AS equity FROM gated) SELECT * FROM final""")
+register("right_outer_join", lambda s, d: rounded(relate.with_dimension(bars_of(s, d).groupBy("stock").agg(F.sum("amount").alias("amount")), table(s, d, "part").select(F.col("p_partkey").alias("stock"), "p_brand"), ["stock"])), f"final AS (SELECT p_partkey AS stock, {near('amount')} AS amount, p_brand FROM (SELECT stock, sum(amount) AS amount FROM bars GROUP BY stock) b RIGHT JOIN part ON p_partkey = stock) SELECT * FROM final")
+register("demeaned", over_panel(lambda p, n: relate.demean(scored(p, n).where("known"), "score").select("t", "n", "score")), f"{SCORED}, final AS (SELECT t, n, {near('score - avg(score) OVER (PARTITION BY t)')} AS score FROM scored WHERE known) SELECT * FROM final")
+register("yearly_figures", over_panel(lambda p, n: relate.yearly(curve_of(p, n).join(p.select("t", "date").distinct(), "t"))), f"{BACKTEST}, dated AS (SELECT strategy, year(date) AS year, net FROM curve JOIN days USING (t)), final AS (SELECT strategy, CAST(year AS INTEGER) AS year, count(*) AS n, {near('exp(sum(ln(1 + net))) - 1')} AS ret, {near('CASE WHEN coalesce(stddev_samp(net), 0) < 1e-12 THEN 0 ELSE avg(net) / stddev_samp(net) * sqrt(count(*)) END')} AS sharpe FROM dated GROUP BY strategy, year) SELECT * FROM final")
+
+# -- what SQL can't express: rows only, and tests against brute force
+
 register("optimised_frontier", over_panel(lambda p, n: books.optimised(scored(p, n), (1.0, 10.0))))
-register("block_bootstrap", over_panel(lambda p, n: books.block_bootstrap(curve_of(p, n))))
-register("ic_weighted_score", over_panel(lambda p, n: books.ic_weighted_score(compiler.evaluate(p, {"f": expr.cs_zscore(REGISTRY["alpha_101"]), "g": expr.cs_zscore(REGISTRY["old_042"])}, n).join(scored(p, n).select("t", "n", "target", "known"), ["t", "n"]), ["f", "g"], "target", "known")))
+register("candidate_weights", over_panel(lambda p, n: books.candidate_weights(scored(p, n)), 6))
+register("walk_forward_predictions", over_panel(lambda p, n: learn.walk_forward_predictions(scored(p, n), ["score", "ret"], "target", "known", books.walk_forward(n, 104, 52, 52)), 6))
+register("synthetic_returns", over_panel(lambda p, n: learn.gbm_augment(panels.with_returns(p).select("t", "n", F.log1p("ret").alias("ret"), F.col("ret__m").alias("mask"))).select("t", "n", "ret")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PRICES = ("open", "high", "low", "close", "volume", "vwap")
@@ -17,16 +17,16 @@ OPTIONAL = ("amount", "limit_up", "limit_down", "last_close")
 
 #: Names of a field in delimited inputs, in order of preference.
 ALIASES = {
-    "open": ("S_FWDS_ADJOPEN", "open", "OPEN"),
-    "close": ("S_FWDS_ADJCLOSE", "close", "CLOSE"),
-    "high": ("S_FWDS_ADJHIGH", "high", "HIGH"),
-    "low": ("S_FWDS_ADJLOW", "low", "LOW"),
-    "volume": ("S_DQ_VOLUME", "volume", "VOLUME"),
-    "vwap": ("S_DQ_AVGPRICE", "vwap", "VWAP"),
-    "amount": ("S_DQ_AMOUNT", "amount", "AMOUNT"),
-    "limit_up": ("LIMIT_UP", "limit_up"),
-    "limit_down": ("LIMIT_DOWN", "limit_down"),
-    "last_close": ("LAST_CLOSE", "last_close", "S_FWDS_PRECLOSE"),
+    "open": ("open", "S_FWDS_ADJOPEN", "OPEN"),
+    "high": ("high", "S_FWDS_ADJHIGH", "HIGH"),
+    "low": ("low", "S_FWDS_ADJLOW", "LOW"),
+    "close": ("close", "S_FWDS_ADJCLOSE", "CLOSE"),
+    "volume": ("volume", "S_DQ_VOLUME"),
+    "vwap": ("vwap", "S_DQ_AVGPRICE"),
+    "amount": ("amount", "S_DQ_AMOUNT", "AMOUNT"),
+    "limit_up": ("limit_up", "LIMIT_UP", "S_DQ_LIMIT"),
+    "limit_down": ("limit_down", "LIMIT_DOWN", "S_DQ_STOPPING"),
+    "last_close": ("last_close", "LAST_CLOSE", "S_DQ_PRECLOSE"),
 }
 
 
@@ -55,12 +55,25 @@ def order_bars(orders: DataFrame, customer: DataFrame, unit: str = "week") -> Da
     return bars.withColumn("vwap", F.col("amount") / F.col("volume"))
 
 
-def densify(bars: DataFrame, valid: str = "close is not null") -> tuple[DataFrame, int]:
-    """The panel of bars (date, stock, fields) and its number of dates. A calendar and a list of stocks are dimensions: both are small beside the bars."""
-    days = [r[0] for r in bars.select("date").distinct().orderBy("date").collect()]
+def trade_keys(lineitem: DataFrame, unit: str = "week") -> DataFrame:
+    """date, stock of the bars of line items, from two columns of the table."""
+    fine = lineitem.where((F.col("l_quantity") > 0) & F.col("l_shipdate").isNotNull())
+    return fine.select(F.date_trunc(unit, "l_shipdate").cast("date").alias("date"), F.col("l_suppkey").alias("stock"))
+
+
+def densify(bars: DataFrame, valid: str = "close is not null", keys: DataFrame | None = None, order: Sequence[str] | None = None) -> tuple[DataFrame, int]:
+    """The panel of bars (date, stock, fields) and its number of dates. A calendar and a list of stocks are dimensions: both are small beside the bars.
+
+    keys: what the dates and stocks are taken from, by default the bars; order: the stocks, by default all, by name.
+    """
+    keys = bars if keys is None else keys
+    days = [r[0] for r in keys.select("date").distinct().orderBy("date").collect()]
     spark = bars.sparkSession
     calendar = spark.createDataFrame([(i, d) for i, d in enumerate(days)], "t int, date date")
-    stocks = bars.select("stock").distinct().withColumn("n", (F.row_number().over(Window.orderBy("stock")) - 1).cast("int"))
+    if order is not None:
+        stocks = spark.createDataFrame(list(enumerate(order)), "n int, stock string")
+    else:
+        stocks = keys.select("stock").distinct().withColumn("n", (F.row_number().over(Window.orderBy("stock")) - 1).cast("int"))
     dates = F.array(*[F.lit(d) for d in days]) if len(days) <= 1000 else None
     if dates is not None and days:
         grid = stocks.select("n", "stock", F.posexplode(dates).alias("t", "date"))
@@ -84,6 +97,17 @@ def resolve(columns: Sequence[str], field: str, required: bool = True) -> str |
     return found
 
 
+def in_file() -> Column:
+    """Where a row of a delimited file stands."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+
+
+def first_of_each(rows: DataFrame) -> DataFrame:
+    """The first row, by at, of each date and stock."""
+    first = Window.partitionBy("date", "stock").orderBy("at")
+    return rows.withColumn("turn", F.row_number().over(first)).where("turn = 1").drop("turn", "at")
+
+
 def load_csv(spark: SparkSession, path: str, sep: str = "\t", universe: Sequence[str] | None = None, date: str = "TRADE_DT", code: str = "S_INFO_WINDCODE") -> tuple[DataFrame, int]:
     """Panel of a delimited file with a header. Repeated (date, ticker) rows: the first in the file stays."""
     raw = spark.read.csv(path, sep=sep, header=True)
@@ -93,19 +117,18 @@ def load_csv(spark: SparkSession, path: str, sep: str = "\t", universe: Sequence
     chosen = {f: resolve(raw.columns, f, f in PRICES) for f in (*PRICES, *OPTIONAL)}
     when = F.coalesce(F.try_to_timestamp(F.col(date), F.lit("yyyyMMdd")), F.try_to_timestamp(F.col(date), F.lit("yyyy-MM-dd"))).cast("date")
     fields = [F.expr(f"try_cast(`{c}` as double)").alias(f) for f, c in chosen.items() if c]
-    rows = raw.select(when.alias("date"), F.substring(F.col(code), 1, 6).alias("stock"), *fields, F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+    rows = raw.select(when.alias("date"), F.substring(F.col(code), 1, 6).alias("stock"), *fields, in_file().alias("at"))
     if universe is not None:
         rows = rows.where(F.col("stock").isin([u[:6] for u in universe]))
-    first = Window.partitionBy("date", "stock").orderBy("at")
-    return densify(rows.withColumn("turn", F.row_number().over(first)).where("turn = 1").drop("turn", "at"))
+    return densify(first_of_each(rows))
 
 
 def load_plain_csv(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """date, open, high, low, close, volume, optionally symbol and vwap; vwap is (high + low + close) / 3 where it is missing."""
     raw = spark.read.csv(path, header=True, schema=None, inferSchema=False)
     number = lambda c: F.expr(f"try_cast(`{c}` as double)")
-    rows = raw.select(F.to_date("date").alias("date"), (F.col("symbol") if "symbol" in raw.columns else F.lit("asset")).alias("stock"), *[number(c).alias(c) for c in ("open", "high", "low", "close", "volume")], (number("vwap") if "vwap" in raw.columns else F.lit(None).cast("double")).alias("vwap"))
-    return densify(rows.withColumn("vwap", F.coalesce("vwap", (F.col("high") + F.col("low") + F.col("close")) / 3)).dropDuplicates(["date", "stock"]))
+    rows = raw.select(F.to_date("date").alias("date"), (F.col("symbol") if "symbol" in raw.columns else F.lit("asset")).alias("stock"), *[number(c).alias(c) for c in ("open", "high", "low", "close", "volume")], (number("vwap") if "vwap" in raw.columns else F.lit(None).cast("double")).alias("vwap"), in_file().alias("at"))
+    return densify(first_of_each(rows.withColumn("vwap", F.coalesce("vwap", (F.col("high") + F.col("low") + F.col("close")) / 3))))
 
 
 #: The columns of headerless inputs.
@@ -114,8 +137,9 @@ HEADERLESS = ("date", "stock", "open", "close", "high", "low", "vwap", "volume",
 
 def load_headerless(spark: SparkSession, path: str, sep: str = "\t") -> tuple[DataFrame, int]:
     schema = ", ".join(f"{c} {'string' if c in ('date', 'stock') else 'double'}" for c in HEADERLESS)
-    raw = spark.read.csv(path, sep=sep, schema=schema).withColumn("date", F.to_date("date", "yyyyMMdd")).withColumn("amount", F.col("volume") * F.col("vwap"))
-    return densify(raw.dropDuplicates(["date", "stock"]))
+    raw = spark.read.csv(path, sep=sep, schema=schema).select(*HEADERLESS, in_file().alias("at"))
+    rows = raw.withColumn("date", F.to_date("date", "yyyyMMdd")).withColumn("amount", F.col("volume") * F.col("vwap"))
+    return densify(first_of_each(rows))
 
 
 def violations(panel: DataFrame) -> DataFrame:
@@ -153,7 +177,7 @@ def between(panel: DataFrame, first: int, last: int) -> DataFrame:
 def normalised_tickers(codes: DataFrame) -> DataFrame:
     """code, ticker, market of codes (code) in the shapes 600519, SH600519, sh.600519 and 600519.SH; ticker null where none fits."""
     text = F.lower(F.trim("code"))
-    ticker = F.regexp_extract(text, r"^(?:(?:sh|sz|bj)\.?)?([0-9]{6})(?:\.(?:sh|sz|bj))?$", 1)
+    ticker = F.regexp_extract(text, r"^(?:(?:sh|sz|bj)\.?)?([0-9]{6})(?:\.?(?:sh|sz|bj))?$", 1)
     market = F.regexp_extract(text, r"(sh|sz|bj)", 1)
     guess = F.when(market != "", market).when(ticker.rlike("^[69]"), "sh").when(ticker.rlike("^[48]"), "bj").otherwise("sz")
     return codes.select("code", F.when(ticker != "", ticker).alias("ticker"), F.when(ticker != "", guess).alias("market"))
