@@ -67,6 +67,10 @@ class EliasFano:
         value = self.words[bit >> 3] >> (bit & 7).astype(np.uint64)
         return value & np.uint64((1 << self.low_bits) - 1)
 
+    def value(self, i: np.ndarray) -> np.ndarray:
+        """The i-th values."""
+        return (np.searchsorted(self.starts, i, "right").astype(np.int64) - 1 << self.low_bits) | self.low(i).astype(np.int64)
+
     def successors(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each x, the place of the first value of at least x (n: none), and whether it equals x."""
         x = x.astype(np.uint64)

@@ -500,29 +500,34 @@ def test_lm(spark, odd, docs, parts):
     for table in (odd, docs.limit(60)):
         held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
         rows = [(r["doc_id"], [*ascii_words(r["text"]), None]) for r in table.collect()]
-        single, pair = collections.Counter(), collections.Counter()
+        grams = collections.Counter()
         for i, words in rows:
             if not held(i):
-                single.update(words)
-                pair.update(zip(["<s>", *words[:-1]], words, strict=True))
+                padded = ["<s>", *words]
+                grams.update((w,) for w in words)
+                for size in (2, 3):
+                    grams.update(tuple(padded[k : k + size]) for k in range(len(padded) - size + 1))
+        single = {g[0]: k for g, k in grams.items() if len(g) == 1}
         n, kinds = sum(single.values()), len(single)
         context, follow = collections.Counter(), collections.Counter()
-        for (v, _), k in pair.items():
-            context[v] += k
-            follow[v] += 1
+        for g, k in grams.items():
+            context[g[:-1]] += k
+            follow[g[:-1]] += 1
+
+        def p(history, w):
+            if not history:
+                return (single.get(w, 0) + 1) / (n + kinds + 1)
+            shorter = p(history[1:], w)
+            return (grams[*history, w] + follow[history] * shorter) / (context[history] + follow[history]) if context[history] else shorter
 
         def score(words):
-            total, plain = 0.0, 0.0
-            for v, w in zip(["<s>", *words[:-1]], words, strict=True):
-                p = (single[w] + 1) / (n + kinds + 1)
-                plain += math.log10(p)
-                total += math.log10((pair[v, w] + follow[v] * p) / (context[v] + follow[v]) if context[v] else p)
-            return plain, total
+            padded = ["<s>", *words]
+            return sum(math.log10(p((), w)) for w in words), sum(math.log10(p(tuple(padded[max(0, k - 2) : k]), padded[k])) for k in range(1, len(padded)))
 
         got = lm.score(table, ~F.coalesce(queries.remainder(F.col("doc_id"), 7) == 2, F.lit(False)), parts).collect()
         want = collections.defaultdict(list)
         for i, words in rows:
-            want[i].append((len(words), sum(single[w] > 0 for w in words), *score(words)))
+            want[i].append((len(words), sum(single.get(w, 0) > 0 for w in words), *score(words)))
         assert len(got) == len(rows)
         for r in got:
             n_tokens, n_known, plain, total = min(want[r["doc_id"]], key=lambda x: abs(x[2] - r["base_score"]))
@@ -531,6 +536,21 @@ def test_lm(spark, odd, docs, parts):
     assert lm.score(odd.limit(0), F.lit(True), parts).count() == 0
 
 
+def test_ngram_query(spark, docs):
+    texts = {r["doc_id"]: [*ascii_words(r["text"]), None] for r in docs.collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    single = collections.Counter(w for i, words in texts.items() if not held[i] for w in words)
+    n = sum(single.values())
+    got = queries.op8_ngram_score(spark, SF).collect()
+    assert {r["doc_id"] for r in got} == set(texts)
+    for r in got:
+        words = texts[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(words), sum(single[w] > 0 for w in words), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((single[w] + 1) / (n + len(single) + 1)) for w in words)) and r["score"] <= 0
+    better = [r["score"] > r["base_score"] for r in got if not r["held_out"] and r["n_tokens"] > 20]
+    assert np.mean(better) > 0.95
+
+
 # -- 9
 
 
