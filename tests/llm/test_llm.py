@@ -565,17 +565,36 @@ def test_top_k(spark):
             ranked = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in fine if i != q and len(y) == len(x))
             want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(ranked[:10])}
     df = spark.createDataFrame([(i, x, "c") for i, x in rows], "vec_id long, embedding array<double>, score string")
-    for options in ({}, {"candidates": 50, "queries": 2, "pivots": 3}):
+    for options in ({}, {"candidates": 50, "queries": 2, "pivots": 3}, {"sample": 20, "candidates": 100}):
         got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, **options).collect()}
         assert got == want
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_pivots_eliminate_candidates_where_vectors_form_groups(spark):
+    """Most candidates of grouped vectors are never evaluated; of vectors in random directions nearly all are, whatever the pivots."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 32))
+    grouped = centres[rng.integers(0, 40, 3000)] + 0.05 * rng.normal(size=(3000, 32))
+    for x, most in ((grouped, 0.1), (rng.normal(size=(3000, 32)), 1.0)):
+        x /= np.sqrt((x * x).sum(1, keepdims=True))
+        df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+        assert topk.evaluated_share(df, candidates=1000) < most
+        q = np.floor(1024 * x).astype(int)
+        got = {(r["query_id"], r["rank"]): r["score"] for r in topk.top_k(df, candidates=1000).collect()}
+        assert got == {(i, k + 1): s for i in range(0, 3000, 100) for k, s in enumerate(np.sort(np.delete(q @ q[i], i))[::-1][:10])}
+
+
 def test_top_k_stops_early_and_big_numbers():
     rng = np.random.default_rng(0)
     c = np.floor(1024 * np.concatenate([rng.normal(size=(3000, 4)) * 0.01, rng.normal(size=(20, 4)) * 50]))
-    *_, evaluated = topk.block_top(np.array([-1]), c[-1:] , np.arange(len(c)), c, 10, 32)
-    assert evaluated < len(c)
+    pivots = topk.far_apart(c, 32)
+    table = topk.distances(c, pivots)
+    q = c[-1:]
+    floor = topk.floors(np.array([-1]), q, np.arange(0, len(c), 7), c[::7], 10)
+    *_, evaluated = topk.block_top(np.array([-1]), q, np.array([topk.LEAST]), table[-1:], np.arange(len(c)), c, table, 10)
+    _, ids, found, fewer = topk.block_top(np.array([-1]), q, floor, table[-1:], np.arange(len(c)), c, table, 10)
+    assert fewer <= evaluated < len(c) / 4 and found == sorted((c @ q[0]).astype(int), reverse=True)[: len(found)] and len(found) == 10
     assert topk.exact_scores(np.array([2.0**40, 1.0]), np.array([[2.0**20, 3.0], [2.0**40, 0.0]])).tolist() == [2**60 + 3, 2**63 - 1]
 
 
