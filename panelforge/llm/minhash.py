@@ -161,19 +161,21 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return counts
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Fewer than n of the pairs that join what all of them join."""
-    parent, kept = list(range(n)), []
-    for u, v in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = u, v
+def stars(cls: list[int], a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """The classes of each component that the pairs (a, b) of places make, but the smallest, with the smallest."""
+    parent = list(range(len(cls)))
+
+    def root(x):
         while parent[x] != x:
             parent[x] = x = parent[parent[x]]
-        while parent[y] != y:
-            parent[y] = y = parent[parent[y]]
+        return x
+
+    for u, v in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = root(u), root(v)
         if x != y:
-            parent[x] = y
-            kept.append((u, v))
-    return kept
+            low, high = (x, y) if cls[x] < cls[y] else (y, x)
+            parent[high] = low
+    return [(c, cls[root(i)]) for i, c in enumerate(cls) if root(i) != i]
 
 
 def salted(rows: DataFrame, few: DataFrame, key: str, value: str) -> DataFrame:
@@ -222,7 +224,7 @@ def confirm_blocks(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame
             a, b = np.nonzero(linked)
             ends.append((a + at, b))
         a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
-        return [(rows[u][1], rows[v][1]) for u, v in forest(len(rows), a, b)]
+        return stars([cls for _, cls, _ in rows], a, b)
 
     def run(batches):
         key, rows = None, []
