@@ -13,6 +13,12 @@ from panelforge.plans.expr import SECTION, Node, Value, both, node, stages
 EQUAL_DECIMALS = 9
 
 
+def rounded(a: Column) -> Column:
+    """a to EQUAL_DECIMALS, by arithmetic: F.round goes by way of decimal numbers."""
+    scale = 10.0**EQUAL_DECIMALS
+    return F.when(F.abs(a) < 1e6, F.rint(a * scale) / scale).otherwise(a)
+
+
 class Compiler:
     """known: window columns that earlier steps have made."""
 
@@ -126,12 +132,11 @@ class Compiler:
         return F.coalesce(F.max(self.valid(m, a)).over(self.frame(x.params[0])), F.lit(0.0))
 
     def time_ts_rank(self, x, m, a):
+        # comparisons with each row before: no array is made, and no function runs over one
         k = x.params[0]
-        last = self.rounded(m, a)
-        return F.size(F.filter(F.collect_list(last).over(self.frame(k)), lambda v: v <= last)) / float(k)
-
-    def rounded(self, m, a):
-        return F.when(m, F.round(a, EQUAL_DECIMALS)).otherwise(-1.7e308)
+        last = F.when(m, rounded(a)).otherwise(-1.7e308)
+        at_most = [(F.lag(last, j).over(self.time) <= last).cast("int") for j in range(1, k)]
+        return sum((F.coalesce(one, F.lit(0)) for one in at_most), F.lit(1)) / float(k)
 
     def time_ts_corr(self, x, m, a, b):
         w = self.frame(x.params[0])
@@ -184,7 +189,7 @@ class Compiler:
     # -- over a date
 
     def section_cs_rank(self, x, m, a):
-        key = F.round(a, EQUAL_DECIMALS)
+        key = rounded(a)
         w = Window.partitionBy(self.t, m).orderBy(key.desc() if x.params[0] else key.asc())
         peers = F.count(F.lit(1)).over(w.rangeBetween(0, 0))
         n = F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
