@@ -6,8 +6,9 @@ other and with guests: vectors of other cells that may be within the linking ang
 visits every cell for which that is possible at all, which loses no link of any data (the bound is a plane's distance,
 see guests()). Given deviations, it only visits the cells whose centroid's cosine is below its home's by at most that
 many deviations of the cosine between linked vectors that differ in a random direction: far fewer comparisons, but
-links that differ in other directions get lost, and some are counted at one end only. No query does so. Equal vectors are collapsed first and counted; large cells fall into blocks,
-and every pair of blocks is a task of its own. Each returns counts and a spanning forest, not pairs.
+links that differ in other directions get lost, and some are counted at one end only. No query does so. Equal vectors are
+collapsed first and counted; large cells fall into blocks, and every pair of blocks is a task of its own. Each returns
+counts and stars of linked vectors, not pairs. A vector is copied to as many cells as it visits, at most SAMPLE / EACH.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing and
 are kept as their own components, as are rows with a null id; vectors of different length never link; repeated
@@ -27,6 +28,8 @@ from panelforge.llm.graph import components
 THRESHOLD = 0.95
 #: Vectors that the centroids are fitted on at most; vectors of a cell aimed at; rows of a block; deviations that find most links.
 SAMPLE, CELL, BLOCK, DEVIATIONS = 20_000, 1024, 2048, 2.5
+#: Vectors of the sample for each centroid at least: so many cells at most, of more than CELL vectors where there are very many. Vectors that are placed at a time.
+EACH, ROWS = 16, 512
 
 
 def usable(vec_id: Column, x: Column) -> Column:
@@ -55,7 +58,7 @@ def fit(sample: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Centroids of spherical k-means, started from evenly spaced rows of the sample."""
     centres = sample[np.linspace(0, len(sample) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        home = (sample @ centres.T).argmax(1)
+        home = np.concatenate([(sample[at : at + 2048] @ centres.T).argmax(1) for at in range(0, len(sample), 2048)])
         sums = np.zeros_like(centres)
         np.add.at(sums, home, sample)
         size = np.sqrt((sums * sums).sum(1, keepdims=True))
@@ -101,18 +104,18 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, deviati
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     takes_part = usable(F.col("vec_id"), F.col("embedding"))
     keyed = rows.where(takes_part).select("vec_id", F.col("embedding").cast("array<double>").alias("x")).withColumn("v", F.xxhash64("x"))
-    distinct = stored(keyed.groupBy("v").agg(F.any_value("x").alias("x"), F.count("*").alias("n"), F.min("vec_id").alias("first")))
+    distinct = stored(keyed.groupBy("v", "x").agg(F.count("*").alias("n"), F.min("vec_id").alias("first")))
     centres: dict[int, np.ndarray] = {}
     for dim, count in distinct.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n")).collect():
         of_dim = distinct.where(F.size("x") == dim)
         few = of_dim if count <= sample else of_dim.where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < int(1_000_000 * sample / count))
         fitted = np.stack([r[0] for r in few.select("x").orderBy("v").limit(sample).collect()] or [np.ones(dim)])
-        centres[dim] = fit(unit(fitted.astype(float)), min(len(fitted), max(1, round(count / cell))))
-    sent = spark.sparkContext.broadcast(centres)  # at most sample vectors
+        centres[dim] = fit(unit(fitted.astype(float)), min(max(1, len(fitted) // EACH), max(1, round(count / cell))))
+    sent = spark.sparkContext.broadcast(centres)  # at most sample / EACH vectors
 
     def deal(frames):
         for frame in frames:
-            for dim, part in frame.groupby(frame["x"].map(len)):
+            for dim, part in ((dim, rows[at : at + ROWS]) for dim, rows in frame.groupby(frame["x"].map(len)) for at in range(0, len(rows), ROWS)):
                 given = np.stack(part["x"].to_numpy()).astype(float)
                 x = unit(given)
                 home, visits = guests(x, sent.value[dim], threshold, deviations)
