@@ -34,7 +34,7 @@ START, END = np.uint64(1), np.uint64(2)
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 CODES = 255
 #: Bytes of text of a chunk, and the most chunks.
-CHUNK, MOST = 16 << 20, 4096
+CHUNK, MOST = 8 << 20, 4096
 
 
 def word_hashes(text: str | None) -> np.ndarray:
