@@ -176,12 +176,14 @@ def markowitz(mu: np.ndarray, cov: np.ndarray, aversion: float = 1.0, cap: float
     return w
 
 
-def optimised(rows: DataFrame, aversions=(1.0,), cap: float = 0.05, lookback: int = 60, step: int = 20, least: int = 5) -> DataFrame:
+def optimised(rows: DataFrame, aversions=(1.0,), cap: float = 0.05, lookback: int = 60, step: int = 20, least: int = 5, most: int = 200) -> DataFrame:
     """aversion, t, n, weight, expected, variance: a frontier of portfolios on every step-th date.
 
-    rows: t, n, score, ret, valid. A rebalance date's history is joined by ranges of dates, so dates are solved in parallel.
+    rows: t, n, score, ret, valid. A rebalance date's history is joined by ranges of dates, so dates are solved in parallel; each has
+    the best `most` stocks by score, whatever the number of stocks.
     """
-    chosen = rows.where(F.col("valid") & (F.col("t") % step == 0) & (F.col("t") >= lookback)).select(F.col("t").alias("at"), "n", "score")
+    place = F.row_number().over(Window.partitionBy("t").orderBy(F.round("score", 9).desc(), F.col("n").desc()))
+    chosen = rows.where(F.col("valid") & (F.col("t") % step == 0) & (F.col("t") >= lookback)).select(F.col("t").alias("at"), "n", "score", place.alias("place")).where(F.col("place") <= most).drop("place")
     reach = rows.select("t", "n", "ret", F.explode(F.sequence(F.floor(F.col("t") / step).cast("int") * step + step, F.floor((F.col("t") + lookback) / step).cast("int") * step, F.lit(step))).alias("at")).where("t < at and t >= at - %d" % lookback)
     history = reach.join(chosen, ["at", "n"]).groupBy("at", "n", "score").agg(F.array_sort(F.collect_list(F.struct("t", "ret"))).alias("past"))
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import math
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,17 +50,43 @@ def summary(metrics: DataFrame, folder: str, **metadata) -> dict:
     return report
 
 
-def equity_curves(curve: DataFrame) -> DataFrame:
-    """t with a net return column for each strategy. Their names are a dimension: few."""
+def equity_curves(curve: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """t (with dates (t, date): date) and two columns for each strategy: the return of the date and what one unit has become. Names of strategies are a dimension: few."""
     names = sorted(r[0] for r in curve.select("strategy").distinct().collect())
-    return curve.groupBy("t").pivot("strategy", names).agg(F.first("net"))
+    grown = F.exp(F.sum(F.log1p(F.greatest("net", F.lit(-0.999999999)))).over(Window.partitionBy("strategy").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
+    wide = curve.withColumn("__equity", grown).groupBy("t").pivot("strategy", names).agg(F.first("__equity").alias("equity"), F.first("net").alias("return"))
+    wide = wide.orderBy("t")
+    return wide if dates is None else dates.select("t", "date").distinct().join(wide, "t").drop("t").orderBy("date")
 
 
 def export_dataset(panel: DataFrame, folder: str) -> dict[str, str]:
-    """Compressed CSV of a panel by Spark's writer; the returned manifest has the digest of every file of a local folder."""
-    columns = ["date", F.col("stock").alias("asset_id"), "open", "high", "low", "close", "volume", "vwap", "amount", F.col("mask").alias("tradable")]
+    """Compressed CSV of a panel by Spark's writer, numbers with nine digits. The manifest, also written beside the parts, has the digest of every file: files are read as binary rows, each by one task, wherever the folder is."""
+    number = lambda c: F.format_string("%.9g", F.col(c)).alias(c)
+    columns = ["date", F.col("stock").alias("asset_id"), *map(number, ("open", "high", "low", "close", "volume", "vwap", "amount")), F.col("mask").alias("tradable")]
     panel.select(*columns).write.mode("overwrite").option("header", True).option("compression", "gzip").csv(folder)
-    return {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(Path(folder).glob("part-*"))}
+    spark = panel.sparkSession
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    digests = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+    manifest = {r["file"]: r["sha256"] for r in digests.orderBy("file").collect()}
+    spark.createDataFrame(list(manifest.items()) or [("", "")], "file string, sha256 string").coalesce(1).write.mode("overwrite").json(folder.rstrip("/") + "_manifest")
+    return manifest
+
+
+def cost_table(grid: DataFrame) -> list[dict]:
+    """Rows of a cost sensitivity: the figures of each strategy at each level, for a table or a report."""
+    return [r.asDict() for r in grid.orderBy("strategy").collect()]
+
+
+def validation_report(metrics: DataFrame, grid: DataFrame, folder: str, **metadata) -> dict:
+    """summary.json, summary.md, metadata.json, cost_sensitivity.json, cost_sensitivity.md and submission.md of a validation run."""
+    report = summary(metrics, folder, **metadata)
+    costs = strict(cost_table(grid))
+    Path(folder, "metadata.json").write_text(json.dumps(strict(metadata), indent=2, sort_keys=True, allow_nan=False))
+    Path(folder, "cost_sensitivity.json").write_text(json.dumps(costs, indent=2, allow_nan=False))
+    Path(folder, "cost_sensitivity.md").write_text(markdown_table(costs))
+    head = "".join(f"- {name}: {value}\n" for name, value in sorted(metadata.items()))
+    Path(folder, "submission.md").write_text(f"# Validation\n\n{head}\n{markdown_table(report['results'])}\n## Costs\n\n{markdown_table(costs)}")
+    return report
 
 
 #: Checks of a report: severity, what is wrong, and when.

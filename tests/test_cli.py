@@ -1,10 +1,13 @@
 """The synthetic panel, the demonstration and its reports."""
 
+import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from panelforge import cli
+from panelforge.operators import evaluate
 from panelforge.sources import panel as panels
 from panelforge.sources import sinks
 from panelforge.sources.synthetic import Market, synthetic_panel
@@ -29,9 +32,13 @@ def test_demo(spark, tmp_path):
     assert json.loads((tmp_path / "report/summary.json").read_text()) == report
     assert not [x for x in sinks.audit(report) if x[0] == "error"]
     curve = spark.read.parquet(str(tmp_path / "curve"))
-    assert set(sinks.equity_curves(curve).columns) == {"t", "equal_weight", "factor_mean"}
+    wide = sinks.equity_curves(curve, spark.read.parquet(str(tmp_path / "panel")))
+    assert wide.columns == ["date", "equal_weight_equity", "equal_weight_return", "factor_mean_equity", "factor_mean_return"]
+    assert wide.collect()[-1]["factor_mean_equity"] == pytest.approx(report["results"][1]["final_equity"])
+    sinks.validation_report(evaluate.metrics(curve), evaluate.metrics(curve), str(tmp_path / "validation"), source="synthetic", costs_bps=7)
+    assert {p.name for p in (tmp_path / "validation").iterdir()} == {"summary.json", "summary.md", "metadata.json", "cost_sensitivity.json", "cost_sensitivity.md", "submission.md"}
     manifest = sinks.export_dataset(spark.read.parquet(str(tmp_path / "panel")).where(F.col("t") < 3), str(tmp_path / "data"))
-    assert manifest and all(len(x) == 64 for x in manifest.values())
+    assert manifest == {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in (tmp_path / "data").glob("part-*")}
 
 
 def test_reports():
