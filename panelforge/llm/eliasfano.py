@@ -1,4 +1,8 @@
-"""Elias-Fano sequences in memory-mapped files."""
+"""Elias-Fano sequences in memory-mapped files.
+
+A file is in the temporary folder of the machine of one task, which alone reads it and leaves nothing behind: a retried task
+makes its own.
+"""
 
 from __future__ import annotations
 
