@@ -18,7 +18,8 @@ MOST, as the packed rows are chunks * shards; shards are as many. All triples of
 
 Defined results: null and empty texts are the end alone; a null id is never held out; repeated rows count as often;
 with no training text every count is 0 and P(w) = 1; extra columns are ignored. Words are equal if their 64-bit hashes are, and
-successors of one context if 32 bits of theirs are: of a context with n of them, n / 2**32 share another's count.
+successors of one context if 32 bits of theirs are, or 24 if it is a pair: of a word with n of them, n / 2**32 share another's
+count, of a pair n / 2**24.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ class Chunk:
         self.inner[self.starts] = False
         # the context of a token that isn't its text's first is the pair that ends before it
         self.pair_before = np.roll(self.pairs.of_token, 1)[self.inner]
-        self.triples = Successors(self.pair_before, tail[self.inner], learn[self.inner])
+        self.triples = Successors(self.pair_before, tail[self.inner] & 0xFFFFFF00, learn[self.inner])
         edge = np.searchsorted(words % np.uint64(shards), np.arange(shards + 1).astype(np.uint64))
         self.edges = list(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
 
@@ -81,8 +82,8 @@ class Chunk:
         """The packed request to each shard."""
         for low, high in self.edges:
             n, first, last, *pairs = self.pairs.of(low, high)
-            m, _, _, *triples = self.triples.of(first, last)
-            yield pack(self.words[low:high], self.counts[low:high], n, *pairs, m, *triples)
+            m, _, _, tails, counts = self.triples.of(first, last)
+            yield pack(self.words[low:high], self.counts[low:high], n, *pairs, m, (tails >> 16).astype(np.uint16), (tails >> 8).astype(np.uint8), counts)
 
 
 class Successors:
@@ -196,7 +197,8 @@ def merged(contexts: list[np.ndarray], n: list[np.ndarray], tails: list[np.ndarr
 
 def answers(requests: list[bytes]) -> list[bytes]:
     """A shard's answers to all chunks."""
-    parts = [unpack(x, "<u8", *["<u4"] * 7) for x in requests]
+    parts = [unpack(x, "<u8", *["<u4"] * 5, "<u2", "u1", "<u4") for x in requests]
+    parts = [(*p[:6], p[6].astype(np.uint32) << 16 | p[7].astype(np.uint32) << 8, p[8]) for p in parts]
     words, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     counts = np.bincount(inverse, np.concatenate([p[1] for p in parts]), minlength=len(words)).astype(np.int64)
     pairs, pair_counts, at = merged(np.split(inverse, np.cumsum([len(p[0]) for p in parts])[:-1]), *([p[i] for p in parts] for i in (2, 3, 4)))
