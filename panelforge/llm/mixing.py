@@ -55,13 +55,14 @@ def draw(doc_id: Column, text: Column, seed: str) -> Column:
 
 def plan_mix(docs: DataFrame, seed: str = "mix", weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """docs with size, source_size, target and copies (how often the mix takes the row)."""
-    sized = docs.drop("size", "source_size", "target", "copies").withColumn("size", size_of(F.col("text")))
+    # both are functions of the text, which then needn't be exchanged for them
+    sized = docs.drop("size", "source_size", "target", "copies").withColumns({"size": size_of(F.col("text")), "__draw": draw(F.col("doc_id"), F.col("text"), seed)})
     targets = source_targets(sized.select("source", "size"), weights, share, most)
     targets = targets.withColumnRenamed("source", "__of_source")
     joined = sized.join(targets, sized["source"].eqNullSafe(targets["__of_source"]), "left").drop("__of_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    copies = F.floor(rate) + (draw(F.col("doc_id"), F.col("text"), seed) < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("copies", F.coalesce(copies, F.lit(0)).cast("long"))
+    copies = F.floor(rate) + (F.col("__draw") < rate - F.floor(rate)).cast("long")
+    return joined.withColumn("copies", F.coalesce(copies, F.lit(0)).cast("long")).drop("__draw")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
