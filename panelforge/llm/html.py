@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import slices
+from panelforge.llm.common import cut, slices
 
 #: A subtree is a template if it is on so many pages of its host, and on this share of them (see many()); a slot only if it has less than MOST of their text.
 SHARE, PAGES, MOST = 0.3, 4, 0.35
@@ -301,8 +301,10 @@ def site_templates(pages: DataFrame, share: float = SHARE, least: int = PAGES, m
 
     found = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, found array<struct<digest:long,slot:boolean,share:double>>")
     counted = found.select("host", F.inline("found")).groupBy("host", "digest", "slot").agg(F.count("*").alias("n"), F.avg("share").alias("share"))
+    # cut, as the pages' own counts and the subtrees' would each parse all pages
+    counted = cut(counted.where(F.col("digest").isNull() | (F.col("n") >= least) & (~F.col("slot") | (F.col("share") < most))))
     total = counted.where("digest is null").select("host", F.col("n").alias("of"))
-    often = counted.where(F.col("digest").isNotNull() & (F.col("n") >= least) & (~F.col("slot") | (F.col("share") < most))).join(total, "host").where(F.col("n") >= many(F.col("of"), F.col("slot"), share, least))
+    often = counted.where("digest is not null").join(total, "host").where(F.col("n") >= many(F.col("of"), F.col("slot"), share, least))
     return often.groupBy("host").agg(F.collect_list("digest").alias("templates"))
 
 
