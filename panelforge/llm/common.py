@@ -45,6 +45,26 @@ def stored(df: DataFrame, *keys: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys with at least this share of all rows are hot: at most 1 / HOT of them.
+HOT = 0.001
+
+
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the other columns of groups, which has one row for each key (null too) and in n the number of its rows.
+
+    The groups of hot keys are broadcast, at most 1 / HOT rows; the others are joined by a shuffle in which no key has
+    more than HOT of all rows.
+    """
+    groups = cut(groups)
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    renamed = groups.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in groups.columns if c not in (*keys, "n")], "n")
+    hot, rest = (renamed.where((F.col("n") >= HOT * total) == which).drop("n") for which in (True, False))
+    same = lambda: [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    own = [f"__{k}" for k in keys]
+    few = F.broadcast(hot)
+    return rows.join(few, same()).drop(*own).unionByName(rows.join(few.select(own), same(), "left_anti").join(rest, same()).drop(*own))
+
+
 #: Rows that a task's Python holds and returns at a time.
 ROWS = 256
 
