@@ -100,7 +100,7 @@ class Writer:
         raise ValueError(f"{x.kind} has no SQL")
 
 
-def query(panel_ctes: str, panel: str, values: dict[str, Value], keep: tuple[str, ...] = ("t", "n"), decimals: int | None = None, masks: bool = False) -> str:
+def query(panel_ctes: str, panel: str, values: dict[str, Value], keep: tuple[str, ...] = ("t", "n"), decimals: int | None = None, masks: bool = False, joint: bool = False) -> str:
     """The SQL of compiler.evaluate over the relation panel, which panel_ctes (without WITH) define."""
     writer, ctes, last = Writer(), [panel_ctes], panel
     for i, (_, nodes) in enumerate(stages([r for v in values.values() for r in (v.value, v.under())])):
@@ -108,10 +108,14 @@ def query(panel_ctes: str, panel: str, values: dict[str, Value], keep: tuple[str
         ctes.append(f"step{i} AS (SELECT *, {made} FROM {last})")
         last = f"step{i}"
         writer.known.update(x.name for x in nodes)
+    every = " AND ".join(dict.fromkeys(writer.text(v.under()) for v in values.values())) if joint else ""
     out = []
     for name, v in values.items():
         mask, value = writer.text(v.under()), writer.text(v.value)
-        out.append(f"CASE WHEN {mask} THEN {f'round({value} + {OFF_TIES!r}::DOUBLE, {decimals}) + 0.0::DOUBLE' if decimals is not None else value} END AS {name}")
+        out.append(f"CASE WHEN {'together' if joint else mask} THEN {f'round({value} + {OFF_TIES!r}::DOUBLE, {decimals}) + 0.0::DOUBLE' if decimals is not None else value} END AS {name}")
         if masks:
             out.append(f"{mask} AS {name}__m")
+    if joint:
+        ctes.append(f"masked AS (SELECT *, {every} AS together FROM {last})")
+        last = "masked"
     return f"WITH {', '.join(ctes)} SELECT {', '.join([*keep, *out])} FROM {last}"

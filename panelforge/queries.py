@@ -11,6 +11,7 @@ from panelforge import oracle
 from panelforge.functions.factors import ALPHA_SET, FAMILIES, REGISTRY
 from panelforge.operators import books, evaluate, learn, relate, section
 from panelforge.plans import compiler, expr, sql
+from panelforge.plans.store import stored
 from panelforge.sources import panel as panels
 from panelforge.streaming import bars as stream
 
@@ -80,15 +81,16 @@ QUERIES["factor_set_six"], ORACLE["factor_set_six"] = panel_query(joint_set(fact
 QUERIES["alpha_set"], ORACLE["alpha_set"] = panel_query(joint_set({name: expr.cs_zscore(REGISTRY[ALPHA_SET[name]]) for name in ALPHA_SET}))
 
 
-def whole_set(panel, n_dates: int, names: list[str] | None = None, standardise: bool = True, store=None):
-    """t, n and the registered factors, by default all of them, cleaned and standardised, under their joint mask."""
-    return compiler.evaluate_wide(panel, factor_set(names or list(REGISTRY), standardise), n_dates, WIDEST, store=store)
+def whole_set(panel, n_dates: int, names: list[str] | None = None, standardise: bool = True, split: bool = False):
+    """t, n and the registered factors, by default all of them, cleaned and standardised, under their joint mask: one graph, a table after each pass."""
+    return compiler.evaluate(panel, factor_set(names or list(REGISTRY), standardise), n_dates, joint=True, store=stored, split=split)
 
 
-#: More factors than one plan has, under their joint mask.
+#: All factors in one graph, and some of them.
 SPREAD = [*FAMILIES["alpha"], *FAMILIES["change"], *FAMILIES["best"][:12]]
-QUERIES["joint_factor_set"] = lambda spark, sf_dir: rounded(whole_set(*weekly_panel(spark, sf_dir), SPREAD))
-ORACLE["joint_factor_set"] = sql.query(oracle.BARS, "panel", joint_set(factor_set(SPREAD)), decimals=DECIMALS)
+for label, names in (("joint_factor_set", SPREAD), ("joint_all_factors", list(REGISTRY))):
+    QUERIES[label] = lambda spark, sf_dir, names=names: rounded(whole_set(*weekly_panel(spark, sf_dir), names))
+    ORACLE[label] = sql.query(oracle.BARS, "panel", factor_set(names), decimals=DECIMALS, joint=True)
 
 
 # -- operators: queries over the weekly panel, with hand-written SQL

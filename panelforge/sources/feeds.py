@@ -1,17 +1,21 @@
-"""Panels of daily bars as data services return them, tickers and universes, and one way to any source.
+"""Panels of daily bars as data services return them, and one way to any source.
 
-The services themselves need a network, which is left to the caller: these functions take the rows they return, as tables.
+The services themselves need a network, which is left to the caller: these functions take the rows they return, as tables, or a
+function that fetches a ticker's rows, which the tasks call.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from panelforge.sources import panel as panels
+from panelforge.sources import universes
 from panelforge.sources.synthetic import Market, synthetic_panel
 
 #: What a service calls the columns of a bar.
@@ -44,48 +48,60 @@ def status_panel(rows: DataFrame, tickers: Sequence[str], proxy_vwap: bool = Tru
     """Panel of date, code, prices, volume, amount, preclose, tradestatus: valid where the status is 1, with preclose as last_close."""
     if not proxy_vwap:
         raise ValueError("prices are adjusted and amounts aren't: the mean price is the only vwap on one basis")
-    tickers = list(dict.fromkeys(dotted_tickers(tickers)))
+    tickers = listed(rows.sparkSession, tickers, universes.dotted)
     bars = bars_of(rows.withColumnRenamed("preclose", "last_close"), {}, ("amount", "last_close"))
     return panels.densify(wanted(bars, tickers), f"{WHOLE} and coalesce(tradestatus, '0') = '1'", order=tickers)
 
 
 def chinese_panel(rows: DataFrame, tickers: Sequence[str]) -> tuple[DataFrame, int]:
     """Panel of rows with Chinese column names and code."""
-    tickers = plain_tickers(tickers)
+    tickers = listed(rows.sparkSession, tickers, universes.six_digits)
     bars = wanted(bars_of(rows, CHINESE, ("amount",)), tickers)
     if bars.isEmpty():
         raise ValueError(f"no data for tickers {tickers}")
     return panels.densify(bars, WHOLE, order=tickers)
 
 
+def listed(spark: SparkSession, tickers: Iterable[str], form: Callable[[Column], Column]) -> list[str]:
+    """A caller's tickers in that form, in order, each once; what has none is an error."""
+    given = spark.createDataFrame([(i, str(t)) for i, t in enumerate(tickers)], "i long, code string")
+    found = given.where(F.trim("code") != "").select("i", "code", form(F.col("code")).alias("ticker")).orderBy("i").collect()
+    wrong = [r["code"] for r in found if r["ticker"] is None]
+    if wrong:
+        raise ValueError(f"no tickers of this service: {wrong[:5]}")
+    return list(dict.fromkeys(r["ticker"] for r in found))
+
+
 def wanted(bars: DataFrame, tickers: Sequence[str]) -> DataFrame:
     few = bars.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(tickers)], "stock string")
     return bars.join(few, "stock", "left_semi")
 
 
-def fetched(fetch: Callable[[str], DataFrame | None], tickers: Iterable[str], retries: int = 3, wait: float = 1.0) -> DataFrame:
-    """The tables that fetch returns for each ticker, with code, one below another. A ticker is tried again after wait, 2 * wait, ...; one that fails is left out."""
-    import time
+def downloaded(codes: DataFrame, fetch: Callable[[str], Iterable[dict]], schema: str, waits: Sequence[float] = (0.5, 1.0, 2.0)) -> DataFrame:
+    """code, the fields of schema and error: what fetch returns for each of codes (code), asked by the tasks.
+
+    A call that fails is made again after each of waits seconds. A code whose last call fails has one row with the error and null fields.
+    """
+    of_rows = to_arrow_schema(T.StructType.fromDDL(f"code string, {schema}, error string"))
 
-    found = []
-    for ticker in tickers:
-        for attempt in range(1, max(1, retries) + 1):
+    def rows_of(code: str) -> list[dict]:
+        import time
+
+        for wait in (*waits, None):
             try:
-                rows = fetch(ticker)
+                return [{**row, "code": code, "error": None} for row in fetch(code)]
             except Exception as error:  # noqa: BLE001 what a service raises isn't known
-                if attempt < max(1, retries):
-                    time.sleep(wait * attempt)
-                else:
-                    print(f"{ticker} is left out: {error}")
-            else:
-                found += [rows.withColumn("code", F.lit(ticker))] if rows is not None else []
-                break
-    if not found:
-        raise ValueError("no ticker has data")
-    out = found[0]
-    for rows in found[1:]:
-        out = out.unionByName(rows, allowMissingColumns=True)
-    return out
+                if wait is None:
+                    return [{"code": code, "error": f"{type(error).__name__}: {error}"}]
+            time.sleep(wait)
+        return []
+
+    def run(batches):
+        for batch in batches:
+            found = [row for code in batch.column(0).to_pylist() for row in rows_of(code)]
+            yield pa.RecordBatch.from_pylist(found, schema=of_rows)
+
+    return codes.select(F.col("code").cast("string")).mapInArrow(run, f"code string, {schema}, error string")
 
 
 def merged_downloads(bulk: DataFrame, retried: DataFrame) -> DataFrame:
@@ -94,66 +110,6 @@ def merged_downloads(bulk: DataFrame, retried: DataFrame) -> DataFrame:
     return bulk.join(known, "code", "left_semi").unionByName(retried.join(known, "code", "left_anti"), allowMissingColumns=True)
 
 
-def plain_tickers(tickers: Iterable[str]) -> list[str]:
-    """Six digits of each of 600519, SH600519, sh.600519, 600519.SH, in order, each once."""
-    found, wrong = [], []
-    for raw in tickers:
-        parts = re.split(r"[.\s:_-]+", str(raw).strip().upper())
-        code = next((m.group(1) for m in map(re.compile(r"(?:SH|SZ)?(\d{6})(?:SH|SZ)?").fullmatch, parts) if m), None)
-        if code:
-            found.append(code)
-        elif any(parts):
-            wrong.append(raw)
-    if wrong:
-        raise ValueError(f"no six digits as in 600519 or 000001: {wrong[:5]}")
-    return list(dict.fromkeys(found))
-
-
-def dotted_tickers(tickers: Iterable[str]) -> list[str]:
-    """Lower-cased tickers as sh.600000 and sz.000001."""
-    lowered = [str(t).lower() for t in tickers]
-    wrong = [t for t in lowered if not re.fullmatch(r"(sh|sz)\.[0-9]{6}", t)]
-    if wrong:
-        raise ValueError(f"not as sh.600000 or sz.000001: {wrong[:5]}")
-    return lowered
-
-
-def universe_codes(table: DataFrame, most: int = 100_000) -> list[str]:
-    """The valid codes of the column that has most of them; of at most `most` rows, as members of an index are few."""
-    best: list[str] = []
-    for row in zip(*([*(None if v is None else str(v) for v in r)] for r in table.limit(most).collect()), strict=True):
-        codes = []
-        for value in row:
-            try:
-                codes += plain_tickers([value]) if value else []
-            except ValueError:
-                continue
-        codes = list(dict.fromkeys(codes))
-        best = codes if len(codes) > len(best) else best
-    return best
-
-
-def resolved_universe(attempts: Sequence[Callable[[], DataFrame]]) -> list[str]:
-    """Codes of the first attempt that has any."""
-    errors = []
-    for attempt in attempts:
-        try:
-            codes = universe_codes(attempt())
-        except Exception as error:  # noqa: BLE001 what a service raises isn't known
-            errors.append(str(error))
-            continue
-        if codes:
-            return codes
-        errors.append("no column of six-digit codes")
-    raise RuntimeError(f"the universe can't be resolved: {'; '.join(errors)}")
-
-
-def selected_tickers(presets: dict[str, Sequence[str]], preset: str, tickers: str = "", most: int | None = None, plain: bool = False) -> list[str]:
-    """Tickers given by commas, else those of a preset; plain: as six digits."""
-    chosen = [t.strip().upper() for t in tickers.split(",") if t.strip()] or list(presets[preset])
-    return (plain_tickers(chosen) if plain else chosen)[:most]
-
-
 def reprojected(spark: SparkSession, path: str, columns: dict[str, str], sep: str = ",", to: str = "\t") -> DataFrame:
     """Named columns of a headerless wide file, by expressions over _c0, _c1, ..., as one delimited line each."""
     raw = spark.read.csv(path, sep=sep)

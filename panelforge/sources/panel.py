@@ -172,12 +172,3 @@ def universe(panel: DataFrame, members: DataFrame) -> DataFrame:
 def between(panel: DataFrame, first: int, last: int) -> DataFrame:
     """Rows with first <= t < last."""
     return panel.where((F.col("t") >= first) & (F.col("t") < last))
-
-
-def normalised_tickers(codes: DataFrame) -> DataFrame:
-    """code, ticker, market of codes (code) in the shapes 600519, SH600519, sh.600519 and 600519.SH; ticker null where none fits."""
-    text = F.lower(F.trim("code"))
-    ticker = F.regexp_extract(text, r"^(?:(?:sh|sz|bj)\.?)?([0-9]{6})(?:\.?(?:sh|sz|bj))?$", 1)
-    market = F.regexp_extract(text, r"(sh|sz|bj)", 1)
-    guess = F.when(market != "", market).when(ticker.rlike("^[69]"), "sh").when(ticker.rlike("^[48]"), "bj").otherwise("sz")
-    return codes.select("code", F.when(ticker != "", ticker).alias("ticker"), F.when(ticker != "", guess).alias("market"))

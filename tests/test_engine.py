@@ -9,6 +9,7 @@ from panelforge.functions.factors import FAMILIES, REGISTRY
 from panelforge.operators import books, evaluate, relate, section
 from panelforge.plans import compiler, expr
 from panelforge.sources import panel as panels
+from panelforge.sources import universes
 from panelforge.streaming import bars as stream
 
 T, N = 40, 6
@@ -208,7 +209,7 @@ def test_csv_panel(spark, tmp_path):
 
 def test_tickers(spark):
     codes = spark.createDataFrame([("600519",), ("SH600519",), ("sh.600519",), ("000001.SZ",), ("abc",)], "code string")
-    got = {r["code"]: (r["ticker"], r["market"]) for r in panels.normalised_tickers(codes).collect()}
+    got = {r["code"]: (r["ticker"], r["market"]) for r in universes.normalised_tickers(codes).collect()}
     assert got["SH600519"] == got["600519"] == got["sh.600519"] == ("600519", "sh") and got["000001.SZ"] == ("000001", "sz") and got["abc"] == (None, None)
 
 

@@ -11,7 +11,7 @@ from panelforge import queries
 from panelforge.functions.factors import FAMILIES, REGISTRY
 from panelforge.operators import books, evaluate, learn, relate, section
 from panelforge.plans import compiler
-from panelforge.sources import feeds
+from panelforge.sources import feeds, universes
 from panelforge.sources import panel as panels
 from panelforge.sources.synthetic import Market
 
@@ -60,38 +60,41 @@ def test_service_panels(spark):
 
 
 def test_tickers_and_universes(spark):
-    assert feeds.plain_tickers(["sh.600519", "000001.SZ", "600519", "SZ000002", " "]) == ["600519", "000001", "000002"]
-    assert feeds.dotted_tickers(["SH.600000"]) == ["sh.600000"]
-    for wrong in (lambda: feeds.plain_tickers(["AAPL"]), lambda: feeds.dotted_tickers(["600000"])):
+    codes = ["sh.600519", "000001.SZ", "600519", "SZ000002", "bj:430047", "AAPL", "sh.bad", "6005190", None]
+    got = {r["code"]: (r["ticker"], r["market"]) for r in universes.normalised_tickers(spark.createDataFrame([(c,) for c in codes], "code string")).collect()}
+    assert got == {"sh.600519": ("600519", "sh"), "000001.SZ": ("000001", "sz"), "600519": ("600519", "sh"), "SZ000002": ("000002", "sz"), "bj:430047": ("430047", "bj"), **dict.fromkeys(["AAPL", "sh.bad", "6005190", None], (None, None))}
+    assert feeds.listed(spark, ["SH.600000", " ", "sz.000001", "sh.600000"], universes.dotted) == ["sh.600000", "sz.000001"]
+    for wrong, form in (("AAPL", universes.six_digits), ("600000.SS", universes.dotted), ("sh.bad", universes.dotted)):
         with pytest.raises(ValueError):
-            wrong()
-    table = spark.createDataFrame([("x", "600519", "1"), ("600000", "000001", "2")], "a string, b string, c string")
-
-    def fails():
-        raise OSError("closed")
-
-    assert sorted(feeds.resolved_universe([fails, lambda: table.select("c"), lambda: table])) == ["000001", "600519"]
-    with pytest.raises(RuntimeError):
-        feeds.resolved_universe([fails])
-    assert feeds.selected_tickers({"few": ["a", "b", "c"]}, "few", most=2) == ["a", "b"] and feeds.selected_tickers({}, "", "600519.sh", plain=True) == ["600519"]
-
+            feeds.listed(spark, ["sh.600000", wrong], form)
+    table = spark.createDataFrame([("x", "600519", "1"), ("600000", "000001", "2"), (None, "000001", "3")], "a string, b string, c string")
+    assert sorted(r["stock"] for r in universes.members(table).collect()) == ["000001", "600519"]
+    assert universes.members(table.select("c")).count() == 0 and universes.members(table.limit(0)).count() == 0
+    found = universes.first_with_members({"one": table.select("c"), "two": table, "three": table.select("a")}).collect()
+    assert sorted(map(tuple, found)) == [("two", "000001"), ("two", "600519")]
+    stocks = lambda *args, **more: [r["stock"] for r in universes.universe(spark, *args, **more).orderBy("turn").collect()]
+    assert stocks("etf-50", most=2) == ["SPY", "QQQ"] and len(stocks("mixed-150")) == 150 and len(stocks("cn-large-25", form=universes.dotted)) == 25
+    assert stocks("", "600519.sh", form=universes.six_digits) == ["600519"] and stocks("csi-300", most=1, index=table) == ["000001"]
+    with pytest.raises(ValueError):
+        stocks("hs300")
 
-def test_fetches_are_repeated_and_merged(spark):
-    tries = []
 
-    def fetch(ticker):
-        tries.append(ticker)
-        if ticker == "bad" or (ticker == "b" and tries.count("b") < 2):
+def test_downloads_are_repeated_and_merged(spark, tmp_path):
+    def fetch(code):
+        tried = tmp_path / code
+        before = tried.exists()
+        tried.touch()
+        if code == "bad" or (code == "b" and not before):
             raise OSError("busy")
-        return spark.createDataFrame([("2024-01-02", 1.0)], "date string, close double")
+        return [{"date": "2024-01-02", "close": 1.0}] if code != "none" else []
 
-    got = feeds.fetched(fetch, ["a", "b", "bad"], 2, 0)
-    assert sorted(r["code"] for r in got.collect()) == ["a", "b"] and tries == ["a", "b", "b", "bad", "bad"]
+    codes = spark.createDataFrame([(c,) for c in ("a", "b", "bad", "none")], "code string")
+    rows = [r.asDict() for r in feeds.downloaded(codes, fetch, "date string, close double", waits=(0.0,)).collect()]
+    assert {(r["code"], r["close"], r["error"]) for r in rows} == {("a", 1.0, None), ("b", 1.0, None), ("bad", None, "OSError: busy")}
+    got = feeds.downloaded(codes, lambda c: [{"date": "2024-01-02", "close": 1.0}], "date string, close double").where("code in ('a', 'b')")
     bulk = got.withColumn("close", F.when(F.col("code") == "a", F.col("close")))
     again = spark.createDataFrame([("2024-01-02", 5.0, "a"), ("2024-01-02", 6.0, "b")], "date string, close double, code string")
     assert {(r["code"], r["close"]) for r in feeds.merged_downloads(bulk, again).collect()} == {("a", 1.0), ("b", 6.0)}
-    with pytest.raises(ValueError):
-        feeds.fetched(lambda t: None, ["a"])
 
 
 def grid(spark, rng, dates=70, stocks=12):
@@ -236,27 +239,6 @@ def test_losses_and_activations(spark):
     assert r["n_cells"] == 8 and r["rank_ic"] == pytest.approx(np.corrcoef(pd.Series(p).rank(), pd.Series(y).rank())[0, 1]) and r["ic"] == pytest.approx(np.corrcoef(p, y)[0, 1])
 
 
-def test_joint_set_of_all_factors_in_several_plans(spark):
-    panel, n_dates = feeds.make_panel(spark, "synthetic", stocks=4, dates=130)
-    panel = panel.cache()
-    names = [*FAMILIES["alpha"], *FAMILIES["best"][:3]]
-    seen = []
-
-    def store(df):
-        seen.append(1)
-        return df.cache()
-
-    got = queries.whole_set(panel, n_dates, names, store=store).toPandas()
-    single = compiler.evaluate(panel, queries.joint_set(queries.factor_set(names)), n_dates).toPandas()
-    assert len(seen) == 1 and len(REGISTRY) == 213
-    both = got.merge(single, on=["t", "n"])
-    narrow = compiler.evaluate_wide(panel, queries.factor_set(names), n_dates, 5).toPandas().merge(single, on=["t", "n"])
-    for table in (both, narrow):
-        for name in names:
-            np.testing.assert_allclose(table[f"{name}_x"], table[f"{name}_y"], rtol=1e-9)
-    assert got[names].notna().all(axis=1).sum() == got[names].notna().any(axis=1).sum() > 0
-
-
 def test_relations(spark):
     rows = spark.createDataFrame([(t, 0, float(t)) for t in range(6)], "t int, n int, x double")
     got = relate.before_row(rows, "x", 3).orderBy("t").collect()
