@@ -27,7 +27,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     panel, n_dates = queries.weekly_panel(spark, sf_dir)
-    panel = panel.repartition(int(cpus), "n").cache()
+    panel = panel.repartition(int(cpus), "n").sortWithinPartitions("n", "t").cache()
     panel.count()
     values = {
         "cs_rank": {"value": queries.PRIMITIVES["cs_rank"]},

@@ -47,27 +47,38 @@ def joined(kind: str, newer: tuple[Node, ...], older: tuple[Node, ...], rows: in
     return value, node("choose", older_is, before[1], newer[1])
 
 
+def window_count(m: Node, k: int) -> Node:
+    """How many of the last k rows are valid."""
+    whole = node("count_so_far", m, axis=TIME)
+    return node("counted", whole, node("shift", whole, axis=TIME, params=(k,)))
+
+
 _lowered: dict[int, Node] = {}
 
 
 def lowered(x: Node) -> Node:
-    """The same column by nodes that have a window each: extrema's places and products by doubling."""
+    """The same column by nodes that have a window each: counts by counts so far, extrema's places and products by doubling."""
     if id(x) not in _lowered:
         inputs = tuple(lowered(y) for y in x.inputs)
-        same = inputs == x.inputs
+        k = x.params[0] if x.params else None
+        m, a = (*inputs, None, None)[:2]
         if x.kind == "ts_product":
-            filled = node("fill", *inputs, params=(1.0,))
-            found = doubled("product", (filled,), x.params[0])[0]
+            found = doubled("product", (node("fill", m, a, params=(1.0,)),), k)[0]
         elif x.kind in ("ts_argmax", "ts_argmin"):
-            filled = node("fill", *inputs, params=(-LARGE if x.kind == "ts_argmax" else LARGE,))
-            place = doubled(x.kind[3:], (filled, node("date")), x.params[0])[1]
-            found = node("place", place, params=x.params)
+            filled = node("fill", m, a, params=(-LARGE if x.kind == "ts_argmax" else LARGE,))
+            found = node("place", doubled(x.kind[3:], (filled, node("date")), k)[1], params=x.params)
+        elif x.kind == "mask_window":
+            found = node("enough", window_count(m, k), params=x.params)
         else:
-            found = x if same else node(x.kind, *inputs, axis=x.axis, params=x.params)
+            found = x if inputs == x.inputs else node(x.kind, *inputs, axis=x.axis, params=x.params)
         _lowered[id(x)] = found
     return _lowered[id(x)]
 
 
+#: Kinds of one row each that are columns of their own: others read them more than once.
+KEPT = frozenset(("counted", "enough", "choose", "greatest", "least"))
+
+
 class Compiler:
     """known: window columns that earlier steps have made. Columns are SQL text, so that a step of many is one call."""
 
@@ -110,6 +121,13 @@ class Compiler:
         """The place in a window of k rows of the date a, from 1."""
         return f"CAST({a} - {self.t} + {x.params[0]} AS DOUBLE)"
 
+    def row_counted(self, x, whole, before):
+        return f"({whole} - coalesce({before}, 0))"
+
+    def row_enough(self, x, n):
+        k, rule = x.params
+        return f"({self.t} >= {k - 1} AND {n} >= {({'any': 1, 'two': 2, 'all': k})[rule]})"
+
     def row_add(self, x, a, b):
         return f"({a} + {b})"
 
@@ -167,10 +185,8 @@ class Compiler:
     def lag(self, a, rows, default="NULL"):
         return f"lag({a}, {rows}, {default}) OVER ({self.time})" if rows else a
 
-    def time_mask_window(self, x, m):
-        k, rule = x.params
-        need = {"any": 1, "two": 2, "all": k}[rule]
-        return f"({self.t} >= {k - 1} AND count(IF({m}, 1, NULL)) {self.frame(k)} >= {need})"
+    def time_count_so_far(self, x, m):
+        return f"count(IF({m}, 1, NULL)) OVER ({self.time} ROWS UNBOUNDED PRECEDING)"
 
     def time_mask_lag(self, x, m):
         return self.lag(m, x.params[0], "false")
@@ -207,6 +223,7 @@ class Compiler:
         return f"(1 + {' + '.join(at_most)}) / {float(k)!r}D" if at_most else "1D"
 
     def time_ts_corr(self, x, m, a, b):
+        # moments, not sums of products: a window of hardly any spread would lose it to rounding
         w = self.frame(x.params[0])
         a, b = self.valid(m, a), self.valid(m, b)
         n = f"count({a}) {w}"
@@ -243,12 +260,12 @@ class Compiler:
     # -- over a date
 
     def section_cs_rank(self, x, m, a):
-        key = rounded(a)
-        part = f"PARTITION BY {self.t}, {m}"
-        ordered = f"{part} ORDER BY {key} {'DESC' if x.params[0] else 'ASC'}"
-        peers = f"count(1) OVER ({ordered} RANGE BETWEEN CURRENT ROW AND CURRENT ROW)"
-        n = f"count(1) OVER ({ordered} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
-        return f"IF({m}, (rank() OVER ({ordered}) + ({peers} - 1) / 2D) / {n}, 0D)"
+        # what isn't valid comes last, so that all windows of a date share its exchange
+        ordered = f"PARTITION BY {self.t} ORDER BY {self.valid(m, rounded(a))} {'DESC' if x.params[0] else 'ASC'} NULLS LAST"
+        # the mean of an equal run's first and last rank: only frames that grow
+        last = f"count(1) OVER ({ordered} RANGE UNBOUNDED PRECEDING)"
+        n = f"count(IF({m}, 1, NULL)) OVER (PARTITION BY {self.t})"
+        return f"IF({m}, (rank() OVER ({ordered}) + {last}) / 2D / {n}, 0D)"
 
     def section_cs_zscore(self, x, m, a):
         w, v = f"OVER (PARTITION BY {self.t})", self.valid(m, a)
@@ -284,22 +301,54 @@ class Compiler:
 
     def step(self, panel: DataFrame, axis: str, nodes: list[Node]) -> DataFrame:
         """panel with a column for each of these window nodes, whose inputs are known."""
-        made, more = [], []
+        made, more = [], {}
         for x in nodes:
             prefix = "section" if axis == SECTION else "time"
             found = getattr(self, f"{prefix}_{x.kind}")(x, *(self.column(y) for y in x.inputs))
             found, after = found if isinstance(found, tuple) else (found, None)
             made.append(f"{found} AS {x.name}")
             if after:
-                more.append((x.name, after))
+                more[x.name] = F.expr(after)
         panel = panel.selectExpr("*", *made)
-        return panel.withColumns({name: F.expr(after) for name, after in more}) if more else panel
+        panel = panel.withColumns(more) if more else panel
+        self.known.update(x.name for x in nodes)
+        return self.kept(panel)
+
+    def plan(self, roots: list[Node]) -> list[tuple[str, list[Node]]]:
+        """The steps, and, for kept(), the row nodes that become columns, each after those it reads."""
+        found, seen = [], set()
+
+        def visit(x: Node) -> None:
+            if id(x) not in seen:
+                seen.add(id(x))
+                for y in x.inputs:
+                    visit(y)
+                if x.kind in KEPT:
+                    found.append(x)
+
+        for root in roots:
+            visit(root)
+        self.waiting = found
+        return stages(roots)
+
+    def kept(self, panel: DataFrame) -> DataFrame:
+        """panel with the waiting columns that can be made, those that read others one step later."""
+        while True:
+            ready = [x for x in self.waiting if all(self.readable(y) for y in x.inputs)]
+            if not ready:
+                return panel
+            panel = panel.selectExpr("*", *[f"{self.column(x)} AS {x.name}" for x in ready])
+            self.known.update(x.name for x in ready)
+            self.waiting = [x for x in self.waiting if x.name not in self.known]
+
+    def readable(self, x: Node) -> bool:
+        """x is a column, or by row from columns, none of which is waiting."""
+        return x.name in self.known or (x.axis == "row" and x.kind not in KEPT and all(self.readable(y) for y in x.inputs))
 
     def run(self, panel: DataFrame, roots: list[Node]) -> DataFrame:
         """panel with a column for every window node that roots need."""
-        for axis, nodes in stages(roots):
+        for axis, nodes in self.plan(roots):
             panel = self.step(panel, axis, nodes)
-            self.known.update(x.name for x in nodes)
         return panel
 
     def read_by(self, nodes: list[Node], known: set[str]) -> set[str]:
@@ -320,19 +369,20 @@ class Compiler:
 
     def run_stored(self, panel: DataFrame, roots: list[Node], store, keep: tuple[str, ...], split: bool) -> DataFrame:
         """As run(), but each pass ends in a table of what later ones read, so that no plan has more than a pass and nothing is computed twice."""
-        steps = stages(roots)
+        steps = self.plan(roots)
         last = len(steps) - 1
         if split:
             panel = store(panel)
         for i, (axis, nodes) in enumerate(steps):
             if split and axis == SECTION:
                 panel = self.split_section(panel, nodes, store)
+                self.known.update(x.name for x in nodes)
+                panel = self.kept(panel)
             else:
                 panel = self.step(panel, axis, nodes)
-            self.known.update(x.name for x in nodes)
             if i < last and (steps[i + 1][0] != axis or split):
                 later = [x for _, more in steps[i + 1 :] for x in more]
-                inputs = [y for x in later for y in x.inputs]
+                inputs = [y for x in (*later, *self.waiting) for y in x.inputs]
                 columns = self.read_by([*inputs, *roots], self.known) | set(keep) | {self.t, self.n}
                 panel = store(panel.select(*sorted(columns)))
         return panel
