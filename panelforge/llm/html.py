@@ -12,13 +12,15 @@ square root of the host's pages. Inside a marked article only a recurring block
 in none goes: a passage that many articles of a host share is still text, and so are links and marks inside of passages.
 Elsewhere no inline element goes out of the middle of running text.
 
-Counts can't tell on hosts of fewer than PAGES pages, nor of what only few pages have, such as comments. So, beside them
-(unless names=False), elements whose name, role or class says that they are no main text (menus, footers, forms, ...)
-go on any page, and if a page marks its article or main part, only that is kept. Inside an article a class tells only as a
-whole word, and words with other meanings (search, related, social, ...) only where there is no running text.
+On hosts whose pages share templates, what is left of the whole page is the text, but for what is hidden and what others write
+(comments, adverts by their class). Counts can't tell on hosts of fewer than PAGES pages, or where nothing recurs: there,
+elements whose name, role or class says that they are no main text (menus, footers, forms, ...) go, and if a page marks
+its article or main part, only that is kept. Inside an article a class tells only as a whole word, and words with other
+meanings (search, related, social, ...) only where there is no running text; nowhere does a class drop an element that
+holds most of its page's text.
 
-Templates of a host are at most (subtrees of a page) / SHARE plus those with text, of which a page has few; they
-are sent to each task that has pages of the host.
+Templates of a host are at most (subtrees of a page) / SHARE plus those with text, of which a page has few. They are sent
+once to each place that has pages of the host, ahead of these: a place takes about PLACE pages of the largest host.
 
 Defined results: null or empty html gives an empty text; an url without a host belongs to the host ""; unclosed and
 misnested tags are closed where HTML would; an unfinished tag or comment at the end is dropped; repeated rows
@@ -38,7 +40,8 @@ from panelforge.llm.common import cut, slices
 
 #: A subtree is a template if it is on so many pages of its host, and on this share of them (see many()); a slot only if it has less than MOST of their text.
 SHARE, PAGES, MOST = 0.3, 4, 0.35
-SALTS = 64
+#: Pages of a large host that one place takes, about.
+PLACE = 5_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed iframe noframes".split())
@@ -59,6 +62,9 @@ CHROME = frozenset("ad ads advert adverts advertisement advertising sponsor spon
 #: Parts of a class, id or role that mark what is no main text.
 HINTS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar footer ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup share sharing social related recommended comment comments respond discussion disqus popup modal overlay widget pagination pager login search complementary contentinfo".split())
 
+#: What is others' text, however long.
+OTHERS = frozenset("comment comments respond discussion disqus ad ads advert adverts advertisement advertising hidden".split())
+
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/a-zA-Z][^>]*\Z|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACES = re.compile(r"\s+")
@@ -66,12 +72,12 @@ WORD = re.compile(r"[^\W_]")
 
 
 class Node:
-    __slots__ = ("digest", "doubtful", "drop", "marked", "named", "parts", "running", "size", "slot", "tag", "text_blocks")
+    __slots__ = ("digest", "doubtful", "drop", "hinted", "marked", "named", "others", "parts", "running", "size", "slot", "tag", "text_blocks")
 
     def __init__(self, tag: str, signature: str, drop: bool, marked: bool, named: bool = False, doubtful: bool = False):
         self.tag, self.drop, self.marked, self.named, self.doubtful = tag, drop, marked, named, doubtful
         self.parts: list = [signature]  # then text and nodes, in order
-        self.text_blocks = self.running = self.slot = False
+        self.text_blocks = self.running = self.slot = self.hinted = self.others = False
         self.size = 0
 
 
@@ -87,7 +93,7 @@ def signature(tag: str, raw: str, in_article: bool) -> tuple[str, bool, bool, bo
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     hinted = bool(named & HINTS) and tag not in ("html", "body", "article", "main")
     drop = tag in NEVER or hidden or (hinted and (bool(whole) or not in_article)) or (tag == "article" and bool(named & {"comment", "comments", "ad", "ads"})) or (not in_article and (tag == "header" or (known[2] == "banner")))
-    return f"{tag} {known}", drop, tag in ("article", "main") or known[2] in ("main", "article"), tag not in PLAIN or any(known), hinted and in_article
+    return f"{tag} {known}{' hidden' if hidden else ''}", drop, tag in ("article", "main") or known[2] in ("main", "article"), tag not in PLAIN or any(known), hinted and in_article
 
 
 def parse(html: str) -> Node:
@@ -95,11 +101,22 @@ def parse(html: str) -> Node:
     root = Node("", "", False, False)
     stack, articles = [root], 0
     at, end = 0, len(html)
+    # where in the stack the open elements of a name, the blocks and the boundaries are: no tag searches the stack
+    places: dict[str, list[int]] = {}
+    blocks, bounds = [-1], [-1]
 
     def close(depth: int) -> None:
         nonlocal articles
         while len(stack) > depth:
-            articles -= stack.pop().marked
+            gone = stack.pop()
+            articles -= gone.marked
+            places[gone.tag].pop()
+            for kind in (blocks, bounds):
+                if kind[-1] == len(stack):
+                    kind.pop()
+
+    def last(tag: str) -> int:
+        return (places.get(tag) or [-1])[-1]
 
     while at < end:
         m = PIECE.match(html, at)
@@ -112,28 +129,17 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if m.group(1):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if stack[i].tag in BOUNDARY and tag not in BOUNDARY and tag not in ("html", "body"):
-                    break
+            if last(tag) > (-1 if tag in BOUNDARY or tag in ("html", "body") else bounds[-1]):
+                close(last(tag))
             continue
-        if tag in BLOCK:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    close(i)
-                    break
-                if stack[i].tag in BLOCK:
-                    break
-        for i in range(len(stack) - 1, 0, -1) if tag in CLOSES else ():
-            if stack[i].tag in CLOSES[tag]:
-                close(i)
-                break
-            if stack[i].tag in BOUNDARY:
-                break
+        if tag in BLOCK and last("p") > -1 and last("p") == blocks[-1]:
+            close(last("p"))
+        if tag in CLOSES and (nearest := max(map(last, CLOSES[tag]))) > bounds[-1]:
+            close(nearest)
         signed, drop, marked, named, doubtful = signature(tag, m.group(3), articles > 0)
         node = Node(tag, signed, drop, marked, named, doubtful)
+        node.others = drop and bool(OTHERS & set(re.split(r"[^a-z0-9]+", signed.lower())))
+        node.hinted = drop and not node.others and tag not in NEVER
         stack[-1].parts.append(node)
         if tag in RAW:
             stop = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
@@ -142,15 +148,20 @@ def parse(html: str) -> Node:
             else:
                 at = end
         elif tag not in VOID and not m.group(3).endswith("/"):
+            places.setdefault(tag, []).append(len(stack))
+            for kind, of in ((blocks, BLOCK), (bounds, BOUNDARY)):
+                if tag in of:
+                    kind.append(len(stack))
             stack.append(node)
             articles += marked
     return root
 
 
 def hashed(root: Node) -> None:
-    """Sets digest, size (characters of text), text_blocks (whether it is or holds a text block), running (whether a text block in it has text outside of links) and slot (whether its digest leaves text out) of all nodes; drops what is doubtful and has no running text."""
+    """Sets digest, size (characters of text), text_blocks (whether it is or holds a text block), running (whether a text block in it has text outside of links) and slot (whether its digest leaves text out) of all nodes; drops what is doubtful and has no running text, and keeps what only its name drops and holds most of the page's text."""
     from xxhash import xxh3_64
 
+    named: list[Node] = []
     todo = [(root, False, False, False)]
     while todo:
         node, ready, linked, article = todo.pop()
@@ -182,6 +193,10 @@ def hashed(root: Node) -> None:
             exact = xxh3_64(node.parts[0].encode("utf-8", "surrogatepass") + repr(sorted(map(str, shapes))).encode("utf-8", "surrogatepass"))
         node.digest = exact.intdigest() - (1 << 63)
         node.drop |= node.doubtful and not node.running
+        if node.hinted and node.text_blocks:
+            named.append(node)
+    for node in named:
+        node.drop &= 2 * node.size <= root.size
 
 
 def main_parts(root: Node) -> list[Node]:
@@ -220,33 +235,35 @@ def deletable(root: Node, parts: list[Node]) -> list[Node]:
     return found
 
 
-def parts_of(root: Node, names: bool) -> list[Node]:
-    return main_parts(root) if names else [root]
-
-
-def subtrees(html: str | None, names: bool = True) -> dict[int, tuple[bool, float]]:
+def subtrees(html: str | None) -> dict[int, tuple[bool, float]]:
     """By digest, the element subtrees of a page that may be templates: whether it is a slot, and its share of the page's text."""
     root = parse(html or "")
     hashed(root)
     found: dict[int, tuple[bool, float]] = {}
-    for x in deletable(root, parts_of(root, names)):
+    for x in deletable(root, main_parts(root)):
         slot, share = found.get(x.digest, (x.slot, 0.0))
         found[x.digest] = slot, share + x.size / max(root.size, 1)
     return found
 
 
-def main_text(html: str | None, templates: set[int], names: bool = True) -> tuple[str, int]:
-    """The main text, and how many subtrees, not counting those in others, are templates."""
+def main_text(html: str | None, templates: set[int] | None, names: bool = True) -> tuple[str, int]:
+    """The main text, and how many subtrees, not counting those in others, are templates.
+
+    templates: those of the page's host; what is left of the whole page is the text then, but for hidden elements and what
+    others write. None: the host has too few pages to tell; names and the article's mark decide (unless names is False).
+    """
     root = parse(html or "")
     hashed(root)
-    parts = parts_of(root, names)
-    gone = {id(x) for x in deletable(root, parts) if x.digest in templates} if templates else set()
+    marked = main_parts(root)
+    parts = marked if names and templates is None else [root]
+    gone = {id(x) for x in deletable(root, marked) if x.digest in templates} if templates else set()
     deleted, todo = 0, [root] if gone else []
     while todo:
         node = todo.pop()
         deleted += id(node) in gone
         todo += [x for x in node.parts[1:] if isinstance(x, Node)] if id(node) not in gone else []
-    dropped = lambda x: x.drop if names else x.tag in MARKUP
+    alone = names and templates is None
+    dropped = lambda x: x.drop if alone else x.tag in MARKUP or names and x.others
     blocks: list[str] = []
     current: list[str] = []
 
@@ -289,12 +306,12 @@ def many(pages, slot, share: float, least: int):
     return F.greatest(F.lit(least), F.when(slot, share * pages).otherwise(share * F.sqrt(F.lit(float(least)) * pages)))
 
 
-def site_templates(pages: DataFrame, share: float = SHARE, least: int = PAGES, most: float = MOST, names: bool = True) -> DataFrame:
-    """host, templates (array<long>)."""
+def site_templates(pages: DataFrame, share: float = SHARE, least: int = PAGES, most: float = MOST) -> DataFrame:
+    """host, of (its pages), digest: a row for each template of hosts with at least `least` pages, and one with a null digest for each of these hosts."""
 
     def run(batches):
         for batch in slices(batches):
-            found = [subtrees(x.as_py(), names) for x in batch.column(1)]
+            found = [subtrees(x.as_py()) for x in batch.column(1)]
             # the null digest stands for the page itself
             rows = [[{"digest": None, "slot": False, "share": 1.0}, *({"digest": d, "slot": slot, "share": of} for d, (slot, of) in sorted(x.items()))] for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.struct([("digest", pa.int64()), ("slot", pa.bool_()), ("share", pa.float64())])))], names=["host", "found"])
@@ -302,24 +319,37 @@ def site_templates(pages: DataFrame, share: float = SHARE, least: int = PAGES, m
     found = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, found array<struct<digest:long,slot:boolean,share:double>>")
     counted = found.select("host", F.inline("found")).groupBy("host", "digest", "slot").agg(F.count("*").alias("n"), F.avg("share").alias("share"))
     # cut, as the pages' own counts and the subtrees' would each parse all pages
-    counted = cut(counted.where(F.col("digest").isNull() | (F.col("n") >= least) & (~F.col("slot") | (F.col("share") < most))))
+    counted = cut(counted.where((F.col("n") >= least) & (F.col("digest").isNull() | ~F.col("slot") | (F.col("share") < most))))
     total = counted.where("digest is null").select("host", F.col("n").alias("of"))
     often = counted.where("digest is not null").join(total, "host").where(F.col("n") >= many(F.col("of"), F.col("slot"), share, least))
-    return often.groupBy("host").agg(F.collect_list("digest").alias("templates"))
+    return total.select("host", "of", F.lit(None).cast("long").alias("digest")).union(often.select("host", "of", "digest"))
 
 
-def extract(pages: DataFrame, share: float = SHARE, least: int = PAGES, most: float = MOST, names: bool = True) -> DataFrame:
-    """page_id, url, text, n_deleted (template subtrees of the page, not counting those in others)."""
+def extract(pages: DataFrame, share: float = SHARE, least: int = PAGES, most: float = MOST, names: bool = True, counts: bool = True) -> DataFrame:
+    """page_id, url, text, n_deleted (template subtrees of the page, not counting those in others). counts=False leaves the templates out."""
     pages = pages.select("page_id", "url", "html")
-    templates = site_templates(pages, share, least, most, names)
-    # a host may have a third of all pages: its pages are dealt to SALTS places, each with the host's templates
-    templates = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = pages.withColumns({"host": host_of(F.col("url")), "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")})
-    joined = salted.join(templates, ["host", "salt"], "left").select("page_id", "url", "html", "templates")
+    templates = cut(site_templates(pages, share, least, most))
+    known = templates if counts else templates.where("digest is null")
+    # a host may have a third of all pages: its pages are dealt to so many places that none has more than PLACE of such a host
+    salts = max(1, -(-(templates.where("digest is null").agg(F.max("of")).first()[0] or 0) // PLACE))
+    sent = known.select("host", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("turn"), "digest", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
+    salted = pages.select(host_of(F.col("url")).alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("turn"), F.lit(None).cast("long").alias("digest"), "page_id", "url", "html")
+    dealt = sent.union(salted).repartition("host", "salt").sortWithinPartitions("host", "salt", "turn")
 
     def run(batches):
+        place, of_host = None, None
         for batch in slices(batches):
-            found = [main_text(x.as_py(), set(t.as_py() or ()), names) for x, t in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["page_id", "url", "text", "n_deleted"])
-
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_deleted long")
+            out = []
+            for host, salt, turn, digest, page_id, url, html in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if (host, salt) != place:
+                    place, of_host = (host, salt), None
+                if turn == 0:
+                    of_host = set() if of_host is None else of_host
+                    of_host |= {digest} - {None}
+                else:
+                    # a host whose pages share nothing is as one of too few pages
+                    out.append((page_id, url, *main_text(html, of_host if of_host or not counts else None, names)))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_deleted"])
+
+    return dealt.mapInArrow(run, "page_id long, url string, text string, n_deleted long")

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -152,9 +153,25 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 
 
 def test_main_text():
-    assert html.main_text(PAGE, set())[0] == "Head & more\nOne two bold.\nThree <3"
+    assert html.main_text(PAGE, None)[0] == "Head & more\nOne two bold.\nThree <3"
     for page, text in ((None, ""), ("", ""), ("<p", ""), ("a < b", "a < b"), ("<div>x" * 3000, "\n".join(["x"] * 3000)), ("<!-- x", ""), ("<ul><li>a<li>b</ul>", "a\nb")):
-        assert html.main_text(page, set())[0] == text
+        assert html.main_text(page, None)[0] == text == html.main_text(page, set())[0]
+
+
+def test_names_keep_most_of_a_page():
+    long = f"<p>{'word ' * 200}</p>"
+    for mark in ('class="post related-work"', 'id="content" class="login-guide"', 'class="search results"', 'class="banner-history"'):
+        text, _ = html.main_text(f"<nav><a>x</a></nav><div {mark}>{long}</div><footer>f</footer>", None)
+        assert text == "word " * 199 + "word"
+    for mark in ('class="comments"', 'class="ad"', "hidden", 'style="display: none"'):
+        assert html.main_text(f"<p>story</p><div {mark}>{long}</div>", None)[0] == "story" == html.main_text(f"<p>story</p><div {mark}>{long}</div>", set())[0]
+
+
+def test_broken_markup_takes_linear_time():
+    for broken in ("<font>" * 20_000 + "</i>" * 20_000, "<font>" * 20_000 + "<div></div>" * 20_000, "<p><b>" * 20_000, "<li><i>" * 20_000 + "</ul>" * 20_000, "<table>" * 20_000 + "<td>" * 20_000):
+        start = time.perf_counter()
+        assert html.main_text(broken + "<p>end</p>", None)[0].endswith("end")
+        assert time.perf_counter() - start < 5  # a second on an idle core
 
 
 def test_site_templates_go(spark):
@@ -190,15 +207,26 @@ def test_html_query(spark):
         assert r["text"] == "\n".join(article_lines(pages[r["page_id"]])) and r["n_chars"] == len(r["text"])
 
 
-def test_counted_templates_alone_leave_the_articles(spark):
-    """Neither names nor the article's mark: what recurs on a host goes, the rest stays. Hosts have four pages at least."""
+def test_templates_decide(spark):
+    """With them the text is the articles', by names or without; without them no page has its text. Hosts have four pages at least."""
     table = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("page_id < 700").withColumn("host", html.host_of(F.col("url")))
     table = table.join(table.groupBy("host").count().where("count >= 4"), "host").cache()
-    pages = {r["page_id"]: article_lines(r["html"]) for r in table.collect()}
-    got = {r["page_id"]: r for r in html.extract(table, names=False).collect()}
-    assert len(got) == len(pages) and all(r["n_deleted"] >= 3 for r in got.values())
-    assert all(not set(r["text"].split("\n")) - set(pages[i]) - {""} for i, r in got.items())
-    assert np.mean([r["text"].split("\n") == pages[i] for i, r in got.items()]) > 0.9  # the others lose passages that their host's articles share
+    want = {r["page_id"]: "\n".join(article_lines(r["html"])) for r in table.collect()}
+    for options, right in (({}, 1.0), ({"names": False}, 1.0), ({"counts": False}, 0.0)):
+        got = {r["page_id"]: r for r in html.extract(table, **options).collect()}
+        assert len(got) == len(want) and np.mean([r["text"] == want[i] for i, r in got.items()]) == right
+        assert all(r["n_deleted"] >= 3 for r in got.values()) or not right
+
+
+def test_pages_of_a_large_host_are_dealt_out(spark, monkeypatch):
+    shell = "<div class=top>Top</div><div class=x><p>{0}</p></div><div class=y>Tail</div>"
+    rows = [(i % 50, "http://h.example/x", shell.format(f"story {i % 50}")) for i in range(60)] + [(None, None, None), (3, None, shell.format("alone"))]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit(1), "turn": F.lit("clash")})
+    for place in (5_000, 7):
+        monkeypatch.setattr(html, "PLACE", place)
+        got = sorted(((r["page_id"], r["text"]) for r in html.extract(table).collect()), key=repr)
+        assert got == sorted([(i % 50, f"story {i % 50}") for i in range(60)] + [(None, ""), (3, "Top\nalone\nTail")], key=repr)
+    assert html.extract(table.limit(0)).count() == 0
 
 
 def test_slots_and_words_in_classes(spark):
