@@ -284,6 +284,16 @@ def test_bpe_of_long_texts(text):
     assert bpe.unpacked_bytes(packed, encoder) == text.encode()
 
 
+def test_runs_of_some_thousand_blanks_take_linear_time():
+    text = ("\t" * 9_999 + "x") * 50
+    encoder = bpe.encoding(queries.tokenizer("byte_bpe_multi_50k.tiktoken"), queries.pattern())
+    start = time.perf_counter()
+    ids = bpe.packed_ids(text, encoder)
+    assert time.perf_counter() - start < 10 and bpe.unpacked_bytes(ids, encoder) == text.encode()
+    short = ("\t" * 999 + "x") * 3
+    assert bpe.packed_ids(short, encoder) == np.array(encoder.encode_ordinary(short), "<u4").tobytes()
+
+
 def test_bpe_query_takes_long_white_space(spark):
     docs = spark.createDataFrame([(1, "a" + " " * 1_500_000 + "b"), (None, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in queries.op3_byte_bpe(spark, SF, docs).collect()}
@@ -398,6 +408,14 @@ def test_quality_query(spark, docs):
     assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in got if r["held_out"] and r["doc_id"] in labels]) > 0.8  # 19 documents; test_quality holds more
 
 
+def test_a_labelled_id_with_many_rows_counts_once(spark):
+    rows = [(i, f"good line {i}") for i in range(40)] + [(100 + i, f"bad {i} bad") for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows] + [(3, 1)], "doc_id long, quality int")
+    once = quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    many = quality.fit(spark.createDataFrame([*rows, *[rows[3]] * 500], "doc_id long, text string"), labels)
+    np.testing.assert_array_equal(once[0], many[0])
+
+
 def test_the_fitting_sample_has_bounded_lines(spark):
     docs = spark.createDataFrame([(i, "a line.\n" * 50) for i in range(20)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
@@ -521,6 +539,19 @@ def test_elias_fano():
         place, equal = coded.successors(asked)
         np.testing.assert_array_equal(place, np.searchsorted(values, asked))
         np.testing.assert_array_equal(equal, np.isin(asked, values))
+        if universe < 1 << 63:
+            np.testing.assert_array_equal(coded.value(np.arange(len(values))), values.astype(np.int64))
+
+
+def test_elias_fano_is_searched_as_coded():
+    values = np.unique(np.random.default_rng(1).integers(0, 1 << 50, 200_000)).astype(np.uint64)
+    levels = Levels()
+    coded = EliasFano(values, 1 << 50, levels)
+    coded.open(levels.open())
+    resident = sum(x.nbytes for x in vars(coded).values() if isinstance(x, np.ndarray) and x.base is None)
+    assert levels.size < 0.55 * values.nbytes and resident < 0.2 * levels.size
+    place, equal = coded.successors(values[::7])
+    assert equal.all() and (place == np.arange(0, len(values), 7)).all()
 
 
 @pytest.mark.parametrize("parts", [1, 5])
