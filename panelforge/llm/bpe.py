@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from panelforge.llm.common import slices
 
 #: Texts longer than this many characters are encoded in parts; runs of white space longer than RUN are parts of their own.
-PART, RUN = 50_000, 10_000
+PART, RUN = 50_000, 300
 #: Unicode's white space, as the pattern's \s has it.
 BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUNS = re.compile(f"[{BLANK}]{{{RUN},}}")

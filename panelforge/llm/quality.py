@@ -162,8 +162,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = L
             found = [line_features(x)[0] for x in batch.column(1).to_pylist()]  # ones and zeros
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.astype(np.uint8).tobytes() for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64())], names=["doc_id", "quality", "x", "n"])
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "quality")  # sample rows at most
-    each = cut(joined.mapInArrow(run, "doc_id long, quality int, x binary, n long"))
+    joined = docs.select("doc_id", "text").join(F.broadcast(few.distinct()), "doc_id")  # sample rows at most
+    # an id's rows may be any number: the text with the smallest digest stands for them
+    single = joined.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("digest"), "text")).alias("of")).select("doc_id", "of.text", "quality")
+    each = cut(single.mapInArrow(run, "doc_id long, quality int, x binary, n long"))
     order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").rowsBetween(Window.unboundedPreceding, 0)  # a row per labelled document of the sample
     rows = each.withColumn("reach", F.sum("n").over(order)).where(F.col("reach") <= lines).select("x", "quality").collect()
     chains = [(np.frombuffer(r["x"], np.uint8).reshape(-1, len(FEATURES)).astype(float), r["quality"]) for r in sorted(rows, key=lambda r: (bytes(r["x"]), r["quality"]))]
