@@ -39,6 +39,16 @@ def segments(bars: DataFrame, gap_days: int = 10) -> DataFrame:
     return bars.withColumn("__new", F.when(apart > gap_days, 1).otherwise(0)).withColumn("seg", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__new")
 
 
+def segment_panel(bars: DataFrame, gap_days: int = 10) -> DataFrame:
+    """bars (date, stock, prices, volume, vwap) as histories of their own between gaps: seg, pos (a row's number in its segment) and mask.
+
+    For compiler.evaluate(date="date", stock="stock, seg", at="pos"): windows and their masks begin anew at each break, sections
+    are of a date's stocks.
+    """
+    own = Window.partitionBy("stock", "seg").orderBy("date")
+    return segments(bars, gap_days).withColumns({"pos": F.row_number().over(own) - 1, "mask": F.col("close").isNotNull()})
+
+
 def with_neighbour(bars: DataFrame, relations: DataFrame, columns: list[str]) -> DataFrame:
     """Bars with same-day columns of the stock's most related stock, as near_*. relations: stock1, stock2, rel."""
     best = Window.partitionBy("stock1").orderBy(F.desc("rel"), F.asc("stock2"))

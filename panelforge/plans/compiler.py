@@ -82,10 +82,11 @@ KEPT = frozenset(("counted", "enough", "choose", "greatest", "least"))
 class Compiler:
     """known: window columns that earlier steps have made. Columns are SQL text, so that a step of many is one call."""
 
-    def __init__(self, n_dates: int, date: str = "t", stock: str = "n"):
-        self.n_dates, self.t, self.n = n_dates, date, stock
+    def __init__(self, n_dates: int, date: str = "t", stock: str = "n", at: str | None = None):
+        """date: what a section is of; stock: what a history is of, one or more columns; at: a row's number in its history, by default the date."""
+        self.n_dates, self.t, self.n, self.at = n_dates, date, stock, at or date
         self.known: set[str] = set()
-        self.time = f"PARTITION BY {stock} ORDER BY {date}"
+        self.time = f"PARTITION BY {stock} ORDER BY {self.at}"
 
     def column(self, x: Node) -> str:
         if x.name in self.known:
@@ -103,7 +104,7 @@ class Compiler:
         return f"({x.params[0]!r}D)"
 
     def row_date(self, x):
-        return self.t
+        return self.at
 
     def row_and(self, x, a, b):
         return f"({a} AND {b})"
@@ -119,14 +120,14 @@ class Compiler:
 
     def row_place(self, x, a):
         """The place in a window of k rows of the date a, from 1."""
-        return f"CAST({a} - {self.t} + {x.params[0]} AS DOUBLE)"
+        return f"CAST({a} - {self.at} + {x.params[0]} AS DOUBLE)"
 
     def row_counted(self, x, whole, before):
         return f"({whole} - coalesce({before}, 0))"
 
     def row_enough(self, x, n):
         k, rule = x.params
-        return f"({self.t} >= {k - 1} AND {n} >= {({'any': 1, 'two': 2, 'all': k})[rule]})"
+        return f"({self.at} >= {k - 1} AND {n} >= {({'any': 1, 'two': 2, 'all': k})[rule]})"
 
     def row_add(self, x, a, b):
         return f"({a} + {b})"
@@ -243,7 +244,7 @@ class Compiler:
         alpha = x.params[0]
         if alpha == 1:
             return self.zeroed(m, a)
-        keep, t, zeroed = f"{1 - alpha!r}D", self.t, self.zeroed(m, a)
+        keep, t, zeroed = f"{1 - alpha!r}D", self.at, self.zeroed(m, a)
         rate = -math.log(1 - alpha)
         if rate * self.n_dates <= 600:  # no power overflows
             return f"{alpha!r}D * pow({keep}, {t}) * sum({zeroed} * pow({keep}, -{t})) OVER ({self.time} ROWS UNBOUNDED PRECEDING)"
@@ -383,7 +384,7 @@ class Compiler:
             if i < last and (steps[i + 1][0] != axis or split):
                 later = [x for _, more in steps[i + 1 :] for x in more]
                 inputs = [y for x in (*later, *self.waiting) for y in x.inputs]
-                columns = self.read_by([*inputs, *roots], self.known) | set(keep) | {self.t, self.n}
+                columns = self.read_by([*inputs, *roots], self.known) | set(keep) | {self.t, self.at, *self.n.split(", ")}
                 panel = store(panel.select(*sorted(columns)))
         return panel
 
@@ -392,13 +393,14 @@ def finite(x: Value) -> Value:
     return Value(node("finite", x.value), x.mask)
 
 
-def evaluate(panel: DataFrame, values: dict[str, Value], n_dates: int, masks: bool = False, keep: tuple[str, ...] = ("t", "n"), joint: bool = False, store=None, split: bool = False) -> DataFrame:
+def evaluate(panel: DataFrame, values: dict[str, Value], n_dates: int, masks: bool = False, keep: tuple[str, ...] = ("t", "n"), joint: bool = False, store=None, split: bool = False, date: str = "t", stock: str = "n", at: str | None = None) -> DataFrame:
     """keep and a column for each value, null where it isn't valid; with masks, also its mask, as name__m.
 
     joint: all values are null where one isn't valid. store: what a pass is written and read again by; any number of
     values can share one graph then. split (with store): the stocks of a date are too many for one task, see sections.
+    date, stock, at: see Compiler.
     """
-    compiler = Compiler(n_dates)
+    compiler = Compiler(n_dates, date, stock, at)
     roots = {name: (lowered(v.value), lowered(v.under())) for name, v in values.items()}
     every = [r for both_of in roots.values() for r in both_of]
     wide = compiler.run_stored(panel, every, store, keep, split) if store else compiler.run(panel, every)

@@ -47,7 +47,7 @@ def ranks(rows: DataFrame, date: str, stock: str, wanted: dict[str, tuple[str, s
         key, day = F.col(f"__key_{name}"), F.col(date) == F.col("__day")
         found = found.join(F.broadcast(frequent.select("__day", "__same", F.col("__rank").alias("__often"))), day & (key == F.col("__same")), "left").drop("__day", "__same")
         # cells of frequent values and those without one join nothing more, and are dealt by their stock
-        found = found.withColumns({"__rest": F.when(F.col("__often").isNull(), key)}).withColumn("__salt", F.when(F.col("__rest").isNull(), F.xxhash64(stock)).otherwise(0))
+        found = found.withColumns({"__rest": F.when(F.col("__often").isNull(), key)}).withColumn("__salt", F.when(F.col("__rest").isNull(), F.xxhash64(*stock.split(", "))).otherwise(0))
         same = day & (F.coalesce("__rest", F.lit(0.0)) == F.col("__same")) & (F.col("__salt") == F.col("__zero")) & F.col("__rest").isNotNull()
         found = found.join(others.select("__day", "__same", "__zero", "__rank"), same, "left")
         found = found.selectExpr("*", f"IF({m}, coalesce(__often, __rank), 0D) AS {name}").drop("__day", "__same", "__zero", "__rank", "__often", "__rest", "__salt", f"__key_{name}")

@@ -12,7 +12,8 @@ LARGE = "1.7e308::DOUBLE"
 
 
 class Writer:
-    def __init__(self):
+    def __init__(self, date: str = "t", stock: str = "n", at: str | None = None):
+        self.t, self.n, self.at = date, stock, at or date
         self.known: set[str] = set()
 
     def text(self, x: Node) -> str:
@@ -48,7 +49,7 @@ class Writer:
 
     def window(self, x: Node) -> str:
         m, *a = [self.text(y) for y in x.inputs]
-        line = "PARTITION BY n ORDER BY t"
+        line = f"PARTITION BY {self.n} ORDER BY {self.at}"
         k = x.params[0] if x.params else None
         frame = f"({line} ROWS BETWEEN {k - 1 if isinstance(k, int) and not isinstance(k, bool) else 0} PRECEDING AND CURRENT ROW)"
         valid = [f"(CASE WHEN {m} THEN {y} END)" for y in a]
@@ -56,7 +57,7 @@ class Writer:
         simple = {"ts_mean": "avg", "ts_std": "stddev_samp", "ts_min": "min", "ts_max": "max"}
         if x.kind == "mask_window":
             need = {"any": 1, "two": 2, "all": k}[x.params[1]]
-            return f"(t >= {k - 1} AND sum(CASE WHEN {m} THEN 1 ELSE 0 END) OVER {frame} >= {need})"
+            return f"({self.at} >= {k - 1} AND sum(CASE WHEN {m} THEN 1 ELSE 0 END) OVER {frame} >= {need})"
         if x.kind == "mask_lag":
             return f"coalesce(lag({m}, {k}) OVER ({line}), FALSE)"
         if x.kind == "ts_sum":
@@ -84,25 +85,25 @@ class Writer:
             keep = f"{1 - k!r}::DOUBLE"
             if k == 1:
                 return zero[0]
-            return f"{k!r}::DOUBLE * pow({keep}, t) * sum({zero[0]} * pow({keep}, -t)) OVER ({line} ROWS UNBOUNDED PRECEDING)"
+            return f"{k!r}::DOUBLE * pow({keep}, {self.at}) * sum({zero[0]} * pow({keep}, -{self.at})) OVER ({line} ROWS UNBOUNDED PRECEDING)"
         if x.kind == "delay":
             return f"coalesce(lag({zero[0]}, {k}) OVER ({line}), 0)" if k else zero[0]
         if x.kind == "cs_rank":
             key = f"round({a[0]}, 9)"
             order = "DESC" if x.params[0] else "ASC"
-            part = f"PARTITION BY t, {m}"
+            part = f"PARTITION BY {self.t}, {m}"
             return f"CASE WHEN {m} THEN (rank() OVER ({part} ORDER BY {key} {order}) + (count(*) OVER ({part}, {key}) - 1) / 2.0::DOUBLE) / count(*) OVER ({part}) ELSE 0 END"
         if x.kind == "cs_zscore":
-            n, v = f"count({valid[0]}) OVER (PARTITION BY t)", valid[0]
-            return f"CASE WHEN {m} THEN ({a[0]} - avg({v}) OVER (PARTITION BY t)) / greatest(sqrt(var_pop({v}) OVER (PARTITION BY t) * {n} / greatest({n}, 2)), 1e-12) ELSE 0 END"
+            n, v = f"count({valid[0]}) OVER (PARTITION BY {self.t})", valid[0]
+            return f"CASE WHEN {m} THEN ({a[0]} - avg({v}) OVER (PARTITION BY {self.t})) / greatest(sqrt(var_pop({v}) OVER (PARTITION BY {self.t}) * {n} / greatest({n}, 2)), 1e-12) ELSE 0 END"
         if x.kind == "cs_scale":
-            return f"{x.params[0]!r}::DOUBLE * {zero[0]} / greatest(sum(abs({zero[0]})) OVER (PARTITION BY t), 1e-12)"
+            return f"{x.params[0]!r}::DOUBLE * {zero[0]} / greatest(sum(abs({zero[0]})) OVER (PARTITION BY {self.t}), 1e-12)"
         raise ValueError(f"{x.kind} has no SQL")
 
 
-def query(panel_ctes: str, panel: str, values: dict[str, Value], keep: tuple[str, ...] = ("t", "n"), decimals: int | None = None, masks: bool = False, joint: bool = False) -> str:
+def query(panel_ctes: str, panel: str, values: dict[str, Value], keep: tuple[str, ...] = ("t", "n"), decimals: int | None = None, masks: bool = False, joint: bool = False, date: str = "t", stock: str = "n", at: str | None = None) -> str:
     """The SQL of compiler.evaluate over the relation panel, which panel_ctes (without WITH) define."""
-    writer, ctes, last = Writer(), [panel_ctes], panel
+    writer, ctes, last = Writer(date, stock, at), [panel_ctes], panel
     for i, (_, nodes) in enumerate(stages([r for v in values.values() for r in (v.value, v.under())])):
         made = ", ".join(f"{writer.window(x)} AS {x.name}" for x in nodes)
         ctes.append(f"step{i} AS (SELECT *, {made} FROM {last})")

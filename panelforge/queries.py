@@ -235,6 +235,23 @@ register("next_row_join", lambda s, d: rounded(relate.next_row_join(bars_of(s, d
 register("gap_segments", lambda s, d: relate.segments(bars_of(s, d), 14).groupBy("stock", "seg").agg(F.count("*").alias("bars")), "g AS (SELECT stock, date, CASE WHEN date_diff('day', lag(date) OVER w, date) > 14 THEN 1 ELSE 0 END AS new FROM bars WINDOW w AS (PARTITION BY stock ORDER BY date)), h AS (SELECT stock, CAST(sum(new) OVER (PARTITION BY stock ORDER BY date ROWS UNBOUNDED PRECEDING) AS INTEGER) AS seg FROM g), final AS (SELECT stock, seg, count(*) AS bars FROM h GROUP BY stock, seg) SELECT * FROM final")
 
 
+#: Factors of a history between gaps of more than two weeks: windows and masks begin anew at each break.
+SEGMENTED = """segs AS (SELECT *, CAST(sum(new) OVER (PARTITION BY stock ORDER BY date ROWS UNBOUNDED PRECEDING) AS INTEGER) AS seg FROM (SELECT *, CASE WHEN date_diff('day', lag(date) OVER w, date) > 14 THEN 1 ELSE 0 END AS new FROM bars WINDOW w AS (PARTITION BY stock ORDER BY date))),
+pieces AS (SELECT date, strftime(date, '%Y-%m-%d') AS day, stock, seg, open, high, low, close, volume, amount / volume AS vwap, amount, close IS NOT NULL AS mask, CAST(row_number() OVER (PARTITION BY stock, seg ORDER BY date) - 1 AS INTEGER) AS pos FROM segs)"""
+ALONG = {"date": "date", "stock": "stock, seg", "at": "pos"}
+IN_SEGMENTS = joint_set(factor_set(SIX)) | {f"{kind}_in_segment": value for kind, value in (("mean", expr.ts_mean(c, 5)), ("top", expr.ts_argmax(c, 4)), ("level", expr.ewma(c, 0.2)))}
+
+
+def segment_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = bars_of(spark, sf_dir).withColumns({"vwap": F.col("amount") / F.col("volume")})
+    pieces = relate.segment_panel(bars, 14).withColumn("day", F.date_format("date", "yyyy-MM-dd"))
+    return rounded(compiler.evaluate(pieces, IN_SEGMENTS, 400, keep=("day", "stock", "seg"), **ALONG))
+
+
+register("segment_factors", segment_factors)
+ORACLE["segment_factors"] = sql.query(f"{oracle.BARS.strip()}, {SEGMENTED}", "pieces", IN_SEGMENTS, keep=("day", "stock", "seg"), decimals=DECIMALS, **ALONG)
+
+
 def month_ends(bars: DataFrame) -> DataFrame:
     return relate.keep_first(bars.withColumn("month", F.date_trunc("month", "date")), ["stock", "month"], [F.desc("date")]).select("date", "stock", F.col("close").alias("month_close"))
 
