@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelforge import oracle
 from panelforge.functions.factors import ALPHA_SET, FAMILIES, REGISTRY
-from panelforge.operators import books, evaluate, learn, relate, section
+from panelforge.operators import books, evaluate, learn, relate, section, signals
 from panelforge.plans import compiler, expr, sql
 from panelforge.plans.store import stored
 from panelforge.sources import panel as panels
@@ -223,6 +223,31 @@ register("backtest_summary", over_panel(lambda p, n: evaluate.backtest_summary(c
 register("head_per_date", over_panel(lambda p, n: relate.head_per_date(scored(p, n).where("known"), "score", "target")), f"{SCORED}, placed AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY round(score, 9) DESC, n) AS place FROM scored WHERE known), final AS (SELECT size, {near('avg(target)')} AS mean, {near('avg(CASE WHEN target > 0 THEN 1.0::DOUBLE ELSE 0 END)')} AS hit_rate, count(*) AS rows FROM placed, (SELECT unnest([1, 5, 10]) AS size) WHERE place <= size GROUP BY size) SELECT * FROM final")
 register("threshold_sweep", over_panel(lambda p, n: relate.threshold_sweep(scored(p, n).where("known"), "score", "target", (0.0, 0.1, 0.2))), f"{SCORED}, final AS (SELECT level, count(*) AS rows, {near('avg(target)')} AS mean FROM scored, (SELECT unnest([0.0::DOUBLE, 0.1, 0.2]) AS level) WHERE known AND score > level GROUP BY level) SELECT * FROM final")
 
+#: Rows of a signal's window.
+BEHIND = 21
+
+
+def window_signals(p: DataFrame, n: int) -> DataFrame:
+    """The signals, vectors as text: numbers to four decimals, times 10000."""
+    found = signals.signals(p, BEHIND)
+    text = lambda c, kind: F.array_join(F.transform(c, lambda v: v.cast("string") if "int" in kind else F.floor(v * 1e4 + 0.5031).cast("string")), ",")
+    return found.select("t", "n", *[text(c, kind).alias(c) if kind.startswith("array") else F.col(c) for c, kind in found.dtypes if c not in ("t", "n")])
+
+
+WHOLE = "list_transform({0}, lambda v: CAST(floor(v * 1e4 + 0.5031) AS BIGINT))"
+TEXT = "array_to_string({0}, ',') AS {1}"
+VECTORS = {f"momentum_{f}": f"list_transform({f}[1:20], lambda v: ln({f}[21] / v))" for f in signals.FIELDS}
+VECTORS |= {f"mean_momentum_{f}": f"list_transform(range(2, 22), lambda j: ln({f}[21] * j / list_sum({f}[22 - j:21])))" for f in signals.FIELDS}
+VECTORS |= {name: f"list_transform(range(1, 21), lambda i: ln({b}[i + 1] / {a}[i]))" for name, a, b in (("close_to_close", "close", "close"), ("open_to_open", "open", "open"), ("open_to_close", "open", "close"), ("high_to_close", "high", "close"))}
+VECTORS |= {"stochastics": "list_transform(range(2, 22), lambda i: CASE WHEN list_max(high[1:i]) - list_min(low[1:i]) < 1e-4 THEN 0 ELSE (close[i] - list_min(low[1:i])) / (list_max(high[1:i]) - list_min(low[1:i])) END)"}
+VECTORS |= {"up": "list_transform(range(1, 7), lambda j: CASE WHEN place + j <= 21 THEN ln(sorted[place + j].v / close[21]) ELSE 0 END)", "down": "list_transform(range(1, 7), lambda j: CASE WHEN place - j >= 1 THEN ln(close[21] / sorted[place - j].v) ELSE 0 END)"}
+register("window_signals", over_panel(window_signals), f"""seen AS (SELECT t, n, {', '.join(f'list({f}) OVER f AS {f}' for f in signals.FIELDS)}, count(*) FILTER (mask) OVER f AS valid FROM panel WINDOW f AS (PARTITION BY n ORDER BY t ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)),
+placed AS (SELECT *, list_sort(list_transform(range(21), lambda i: {{'v': close[i + 1], 'i': i}})) AS sorted FROM seen WHERE valid = 21),
+known AS (SELECT *, list_transform(sorted, lambda s: s.i) AS places, list_position(list_transform(sorted, lambda s: s.i), 20) AS place FROM placed),
+final AS (SELECT t, n, {', '.join(TEXT.format(WHOLE.format(e), name) for name, e in VECTORS.items())}, {TEXT.format("list_transform(range(1, 21), lambda i: (close[i + 1] > close[i])::INT)", "rises")}, {TEXT.format("list_transform(range(1, 21), lambda i: (close[i + 1] > open[i])::INT)", "rises_over_open")},
+  {TEXT.format("places", '"order"')}, {TEXT.format("list_transform(range(21), lambda i: list_position(places, i) - 1)", "ranks")}, CAST(21 - places[1] AS INTEGER) AS since_low, CAST(21 - places[21] AS INTEGER) AS since_high,
+  {near('ln(close[21] / sorted[1].v)')} AS to_low, {near('ln(close[21] / sorted[21].v)')} AS to_high, {near('ln(close[21] / sorted[11].v)')} AS to_middle, {near('ln(close[21] / sorted[12].v)')} AS to_upper FROM known) SELECT * FROM final""")
+
 # -- operators over bars and events
 
 
