@@ -72,6 +72,7 @@ class EliasFano:
     def open(self, mapped: memoryview) -> None:
         at, size = self.high_at
         self.bits = np.frombuffer(mapped, "<u8", size // 8, at)
+        self.at_byte = np.ndarray((size + 1,), "<u8", mapped, at, (1,))
         at, size = self.low_at
         self.words = np.ndarray((size + 1,), "<u8", mapped, at, (1,)) if self.low_bits else None
 
@@ -98,9 +99,20 @@ class EliasFano:
         left = left - np.where(byte > 0, counts[rows, np.maximum(byte - 1, 0)], 0)
         return word * 64 + byte * 8 + SET_BITS[bits.view(np.uint8).reshape(-1, 8)[rows, byte], left]
 
-    def start(self, bucket: np.ndarray) -> np.ndarray:
-        """The place of a bucket's first value."""
-        return np.where(bucket > 0, self.select(np.maximum(bucket - 1, 0), False) - np.maximum(bucket - 1, 0), 0)
+    def next_clear(self, at: np.ndarray) -> np.ndarray:
+        """Where the first clear bit after each place is, by one read of eight bytes; -1 where these have none."""
+        bit = at + 1
+        seen = ~(self.at_byte[bit >> 3] >> (bit & 7).astype(np.uint64))
+        ahead = np.bitwise_count((seen & (~seen + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        return np.where(ahead < 57, bit + ahead, -1)
+
+    def bucket(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of a bucket's first value and of the one after its last."""
+        before = np.where(bucket > 0, self.select(np.maximum(bucket - 1, 0), False), -1)
+        end = self.next_clear(before)
+        if len(far := np.flatnonzero(end < 0)):
+            end[far] = self.select(bucket[far], False)
+        return before - bucket + 1, end - bucket
 
     def low(self, i: np.ndarray) -> np.ndarray:
         if self.words is None:
@@ -121,7 +133,7 @@ class EliasFano:
         high = np.minimum(x >> np.uint64(self.low_bits), np.uint64(self.buckets - 1)).astype(np.int64)
         beyond = (x >> np.uint64(self.low_bits)) > np.uint64(self.buckets - 1)
         wanted = x & np.uint64((1 << self.low_bits) - 1)
-        first, end = self.start(high), self.start(high + 1)
+        first, end = self.bucket(high)
         last = end.copy()
         while len(open_ones := np.flatnonzero(first < last)):
             middle = (first[open_ones] + last[open_ones]) >> 1
