@@ -41,7 +41,7 @@ from panelforge.llm.common import cut, slices
 #: A subtree is a template if it is on so many pages of its host, and on this share of them (see many()); a slot only if it has less than MOST of their text.
 SHARE, PAGES, MOST = 0.3, 4, 0.35
 #: Pages of a large host that one place takes, about.
-PLACE = 5_000
+PLACE = 250
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed iframe noframes".split())
@@ -330,10 +330,15 @@ def extract(pages: DataFrame, share: float = SHARE, least: int = PAGES, most: fl
     pages = pages.select("page_id", "url", "html")
     templates = cut(site_templates(pages, share, least, most))
     known = templates if counts else templates.where("digest is null")
-    # a host may have a third of all pages: its pages are dealt to so many places that none has more than PLACE of such a host
-    salts = max(1, -(-(templates.where("digest is null").agg(F.max("of")).first()[0] or 0) // PLACE))
-    sent = known.select("host", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("turn"), "digest", F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
-    salted = pages.select(host_of(F.col("url")).alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("turn"), F.lit(None).cast("long").alias("digest"), "page_id", "url", "html")
+    # a host may have a third of all pages: those of more than PLACE pages, and of a share that at most a thousand hosts can have, are dealt to several places
+    sizes = templates.where("digest is null").select("host", "of")
+    total = sizes.agg(F.sum("of")).first()[0] or 0
+    large = F.broadcast(sizes.where((F.col("of") > PLACE) & (F.col("of") * 1000 >= total)).select("host", F.ceil(F.col("of") / PLACE).cast("int").alias("places")))
+    places = F.coalesce("places", F.lit(1))
+    none = {name: F.lit(None).cast(kind).alias(name) for name, kind in (("page_id", "long"), ("url", "string"), ("html", "string"), ("digest", "long"))}
+    sent = known.join(large, "host", "left").select("host", F.explode(F.sequence(F.lit(0), places - 1)).alias("salt"), F.lit(0).alias("turn"), "digest", none["page_id"], none["url"], none["html"])
+    hosted = pages.withColumn("host", host_of(F.col("url"))).join(large, "host", "left")
+    salted = hosted.select("host", F.pmod(F.xxhash64("page_id", "url"), places).cast("int").alias("salt"), F.lit(1).alias("turn"), none["digest"], "page_id", "url", "html")
     dealt = sent.union(salted).repartition("host", "salt").sortWithinPartitions("host", "salt", "turn")
 
     def run(batches):
