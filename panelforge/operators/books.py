@@ -176,16 +176,22 @@ def markowitz(mu: np.ndarray, cov: np.ndarray, aversion: float = 1.0, cap: float
     return w
 
 
-def optimised(rows: DataFrame, aversions=(1.0,), cap: float = 0.05, lookback: int = 60, step: int = 20, least: int = 5, most: int = 200) -> DataFrame:
-    """aversion, t, n, weight, expected, variance: a frontier of portfolios on every step-th date.
+def histories(rows: DataFrame, lookback: int, step: int, most: int | None = None) -> DataFrame:
+    """at, n, score, past (t and ret of the lookback dates before) of the valid stocks on every step-th date: all, or the best most by score. Histories are joined by ranges of dates."""
+    chosen = rows.where(F.col("valid") & (F.col("t") % step == 0) & (F.col("t") >= lookback)).select(F.col("t").alias("at"), "n", "score")
+    if most is not None:
+        place = F.row_number().over(Window.partitionBy("at").orderBy(F.round("score", 9).desc(), F.col("n").desc()))
+        chosen = chosen.withColumn("place", place).where(F.col("place") <= most).drop("place")
+    reach = rows.select("t", "n", "ret", F.explode(F.sequence(F.floor(F.col("t") / step).cast("int") * step + step, F.floor((F.col("t") + lookback) / step).cast("int") * step, F.lit(step))).alias("at")).where("t < at and t >= at - %d" % lookback)
+    return reach.join(chosen, ["at", "n"]).groupBy("at", "n", "score").agg(F.array_sort(F.collect_list(F.struct("t", "ret"))).alias("past"))
+
+
+def optimised(rows: DataFrame, aversions=(1.0,), cap: float = 0.05, lookback: int = 60, step: int = 20, least: int = 5, most: int | None = None) -> DataFrame:
+    """aversion, t, n, weight, expected, variance: a frontier of portfolios on every step-th date (step=1: every one).
 
-    rows: t, n, score, ret, valid. A rebalance date's history is joined by ranges of dates, so dates are solved in parallel; each has
-    the best `most` stocks by score, whatever the number of stocks.
+    rows: t, n, score, ret, valid. Dates are solved in parallel, each over all of its valid stocks, or over the best `most` by score.
     """
-    place = F.row_number().over(Window.partitionBy("t").orderBy(F.round("score", 9).desc(), F.col("n").desc()))
-    chosen = rows.where(F.col("valid") & (F.col("t") % step == 0) & (F.col("t") >= lookback)).select(F.col("t").alias("at"), "n", "score", place.alias("place")).where(F.col("place") <= most).drop("place")
-    reach = rows.select("t", "n", "ret", F.explode(F.sequence(F.floor(F.col("t") / step).cast("int") * step + step, F.floor((F.col("t") + lookback) / step).cast("int") * step, F.lit(step))).alias("at")).where("t < at and t >= at - %d" % lookback)
-    history = reach.join(chosen, ["at", "n"]).groupBy("at", "n", "score").agg(F.array_sort(F.collect_list(F.struct("t", "ret"))).alias("past"))
+    history = histories(rows, lookback, step, most)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf["past"].map(len) == lookback].sort_values("n")
@@ -267,6 +273,19 @@ def gated_equity(days: DataFrame, window: int = 3, least: float = 0.5) -> DataFr
     return gated.select("t", "ret", "gate", F.exp(F.sum(F.log1p(F.greatest("ret", F.lit(-0.999999999)))).over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("equity"))
 
 
+def threshold_curve(rows: DataFrame, above: float = 0.5, most: float = 0.11, kept: float = 0.9989) -> DataFrame:
+    """t, picked, factor, equity, equity_of_year of rows (t, date, prediction, ret): on each date half of the capital is in equal parts in the stocks predicted above a level, but for those whose return is most or more either way.
+
+    The half that is invested loses 1 - kept to costs; a date without stocks changes nothing. Equities are sums of logarithms.
+    """
+    fine = (F.col("prediction") > above) & (F.abs("ret") < most)
+    days = rows.groupBy("t", "date").agg(F.count(F.when(F.col("prediction") > above, 1)).alias("picked"), F.avg(F.when(fine, F.col("ret"))).alias("mean"))
+    factor = F.when(F.col("mean").isNotNull(), 0.5 + 0.5 * kept * (1 + F.col("mean"))).otherwise(1.0)
+    so_far = lambda *by: F.exp(F.sum(F.ln("factor")).over(Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
+    grown = days.withColumn("factor", factor).withColumn("year", F.year("date"))
+    return grown.select("t", "picked", "factor", so_far(F.lit(0)).alias("equity"), so_far("year").alias("equity_of_year"))  # a row per date: a calendar
+
+
 def walk_forward(n_dates: int, train: int, test: int, step: int) -> list[tuple[int, int, int, int]]:
     """(train start, train end, test start, test end) of rolling splits; ends are exclusive."""
     return [(at - train, at, at, min(at + test, n_dates - 1)) for at in range(train, n_dates - 1, step)]

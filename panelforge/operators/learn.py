@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +52,33 @@ def walk_forward_predictions(rows: DataFrame, features: list[str], label: str, v
     return found if found is not None else rows.sparkSession.createDataFrame([], "t int, n int, prediction double")
 
 
+def classified(rows: DataFrame, features: list[str], label: str, valid: str, split: tuple[int, int, int, int], above: float = 0.005, rounds: int = 3) -> DataFrame:
+    """t, n, prediction: the probability, by boosted trees learned from the split's training dates, that the label is over a level; of the valid rows of its test dates."""
+    start, end, first, last = split
+    fine = rows.where(F.col(valid)).select("t", "n", *features, (F.col(label) > above).cast("double").alias("__y")).dropna(subset=features)
+    packed = VectorAssembler(inputCols=features, outputCol="__x").transform(fine)
+    model = GBTClassifier(featuresCol="__x", labelCol="__y", maxIter=rounds, maxDepth=3, seed=42).fit(packed.where((F.col("t") >= start) & (F.col("t") < end) & F.col("__y").isNotNull()))
+    made = model.transform(packed.where((F.col("t") >= first) & (F.col("t") < last)))
+    return made.select("t", "n", F.get(vector_to_array("probability"), F.lit(1)).alias("prediction"))
+
+
+def simulated_targets(rows: DataFrame, paths: int = 2, steps: int = 60, limit: float = 0.2, seed: int = 0) -> DataFrame:
+    """t, n, path, target, top, bottom: log returns at the end of, and at the highest and lowest point of, paths of a geometric Brownian motion over one date.
+
+    rows: t, n, gap (where a path starts), mu, sigma. Draws are hashes of stock, date, path and step by Box and Muller; a path is
+    their prefix sum, and its target is clipped to limit. A path's steps stay in one row: nothing is exchanged.
+    """
+    part = lambda text, at: F.conv(F.substring(text, at, 13), 16, 10).cast("double") / float(1 << 52)
+    text = lambda j: F.md5(F.concat_ws("|", "n", "t", "path", j, F.lit(seed)).cast("binary"))
+    drift = (F.col("mu") - F.col("sigma") * F.col("sigma") / 2) / steps
+    move = lambda j: drift + F.col("sigma") * F.sqrt(-2 * F.ln(1 - part(text(j), 1))) * F.cos(2 * math.pi * part(text(j), 14)) / math.sqrt(steps)
+    moves = F.transform(F.sequence(F.lit(1), F.lit(steps)), move)
+    begin = F.struct(F.col("gap").alias("at"), F.lit(-1e300).alias("top"), F.lit(1e300).alias("bottom"))
+    walk = F.aggregate(moves, begin, lambda seen, x: F.struct((seen["at"] + x).alias("at"), F.greatest(seen["top"], seen["at"] + x).alias("top"), F.least(seen["bottom"], seen["at"] + x).alias("bottom")))
+    walked = rows.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).withColumn("walk", walk)
+    return walked.select("t", "n", "path", F.greatest(F.least("walk.at", F.lit(limit)), F.lit(-limit)).alias("target"), "walk.top", "walk.bottom")
+
+
 def normal(*keys) -> Column:
     """A standard normal number that is a function of the keys only: by Box and Muller, from two hashes."""
     u = lambda salt: (F.pmod(F.xxhash64(*keys, F.lit(salt)), F.lit(1 << 52)) + 0.5) / float(1 << 52)

@@ -68,13 +68,34 @@ def breadth(panel: DataFrame, truncate: bool = False) -> DataFrame:
     A close return without a valid previous close is 0. An opening gap counts unless there is no previous close: in the first
     row, or where last_close, if the panel has it, isn't over 0.
     """
+    counted = breadth_counts(panel, truncate)
+    return counted.select("t", "family", "bucket", (F.col("k") / F.sum("k").over(Window.partitionBy("t", "family"))).alias("frac"))
+
+
+def breadth_counts(panel: DataFrame, truncate: bool = False) -> DataFrame:
+    """t, family, bucket, k: see breadth()."""
     known = F.col("last_close") > 0 if "last_close" in panel.columns else F.col("t") > 0
     base = panel.withColumns({"__before": F.greatest(previous_close(panel), F.lit(1e-9)), "__ok": F.col("last_close") > 0 if "last_close" in panel.columns else F.lag("mask", 1, False).over(over_time())})
     close_ret = F.when(F.col("__ok"), F.col("close") / F.col("__before") - 1).otherwise(0.0)
     open_ret = F.col("open") / F.col("__before") - 1
     rows = base.where("mask").select("t", F.inline(F.array(F.struct(F.lit("CR").alias("family"), bucket(close_ret, truncate).alias("bucket")), F.struct(F.lit("OR").alias("family"), F.when(known, bucket(open_ret, truncate)).alias("bucket")))))
-    counted = rows.where("bucket is not null").groupBy("t", "family", "bucket").agg(F.count("*").alias("k"))
-    return counted.select("t", "family", "bucket", (F.col("k") / F.sum("k").over(Window.partitionBy("t", "family"))).alias("frac"))
+    return rows.where("bucket is not null").groupBy("t", "family", "bucket").agg(F.count("*").alias("k"))
+
+
+def breadth_maps(panel: DataFrame, days: int = 20, truncate: bool = False) -> DataFrame:
+    """t, family, today and recent: maps from bucket to the number of stocks, of the date and of the last `days` dates merged; buckets without stocks are no keys."""
+    counted = breadth_counts(panel, truncate)
+    own = counted.groupBy("t", "family").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "k")))).alias("today"))
+    # a date's counts go to the dates that they count for, and are summed there by bucket: maps are made of sums, not of maps
+    last = panel.agg(F.max("t")).first()[0]
+    ahead = counted.withColumn("t", F.explode(F.sequence("t", F.least(F.col("t") + days - 1, F.lit(last)))))
+    merged = ahead.groupBy("t", "family", "bucket").agg(F.sum("k").alias("k")).groupBy("t", "family").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bucket", "k")))).alias("recent"))
+    return merged.join(own, ["t", "family"], "left").select("t", "family", F.coalesce("today", F.create_map().cast("map<int,bigint>")).alias("today"), "recent")
+
+
+def merged_maps(a, b):
+    """Column: a map of both maps' keys with the sums of their values."""
+    return F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
 
 
 def breadth_names() -> list[tuple[str, int, str]]:

@@ -5,18 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes a table as Parquet into the folder of spark.checkpoint.dir and reads it again, so that lineage ends there; a temporary folder serves on a local master without one."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one on a local master without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no folder that all machines of the cluster share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/steps-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes a table as Parquet into the shared folder and reads it again, so that lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/steps-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelforge import oracle
 from panelforge.functions.factors import ALPHA_SET, FAMILIES, REGISTRY
-from panelforge.operators import books, evaluate, learn, relate, section, signals
+from panelforge.operators import books, conic, evaluate, learn, relate, section, signals
 from panelforge.plans import compiler, expr, sql
 from panelforge.plans.store import stored
 from panelforge.sources import panel as panels
@@ -223,6 +223,15 @@ register("backtest_summary", over_panel(lambda p, n: evaluate.backtest_summary(c
 register("head_per_date", over_panel(lambda p, n: relate.head_per_date(scored(p, n).where("known"), "score", "target")), f"{SCORED}, placed AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY round(score, 9) DESC, n) AS place FROM scored WHERE known), final AS (SELECT size, {near('avg(target)')} AS mean, {near('avg(CASE WHEN target > 0 THEN 1.0::DOUBLE ELSE 0 END)')} AS hit_rate, count(*) AS rows FROM placed, (SELECT unnest([1, 5, 10]) AS size) WHERE place <= size GROUP BY size) SELECT * FROM final")
 register("threshold_sweep", over_panel(lambda p, n: relate.threshold_sweep(scored(p, n).where("known"), "score", "target", (0.0, 0.1, 0.2))), f"{SCORED}, final AS (SELECT level, count(*) AS rows, {near('avg(target)')} AS mean FROM scored, (SELECT unnest([0.0::DOUBLE, 0.1, 0.2]) AS level) WHERE known AND score > level GROUP BY level) SELECT * FROM final")
 
+of_map = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws(":", e["key"], e["value"])), " ")
+COUNTED = CELLS.split(", binned AS")[0] + f", binned AS (SELECT t, family, {BUCKET} FROM cells), counted AS (SELECT t, family, bucket, count(*) AS k FROM binned GROUP BY t, family, bucket)"
+MAP = "string_agg(bucket || ':' || k, ' ' ORDER BY bucket)"
+register("breadth_maps", over_panel(lambda p, n: section.breadth_maps(p, 5).select("t", "family", of_map("today").alias("today"), of_map("recent").alias("recent"), of_map(section.merged_maps(F.col("today"), F.col("recent"))).alias("together"), F.coalesce(F.try_element_at("recent", F.lit(0)), F.lit(0)).alias("zero"), F.size("recent").alias("buckets"))), f"""{COUNTED},
+ahead AS (SELECT family, bucket, k, unnest(range(t, least(t + 5, (SELECT max(t) + 1 FROM panel)))) AS t FROM counted), sums AS (SELECT CAST(t AS INTEGER) AS t, family, bucket, CAST(sum(k) AS BIGINT) AS k FROM ahead GROUP BY ALL),
+own AS (SELECT t, family, {MAP} AS today FROM counted GROUP BY t, family), recent AS (SELECT t, family, {MAP} AS recent, coalesce(sum(k) FILTER (bucket = 0), 0)::BIGINT AS zero, CAST(count(*) AS INTEGER) AS buckets FROM sums GROUP BY t, family),
+both_maps AS (SELECT t, family, {MAP} AS together FROM (SELECT s.t, s.family, s.bucket, s.k + coalesce(c.k, 0) AS k FROM sums s LEFT JOIN counted c ON c.t = s.t AND c.family = s.family AND c.bucket = s.bucket) GROUP BY t, family),
+final AS (SELECT r.t, r.family, coalesce(today, '') AS today, recent, together, zero, buckets FROM recent r JOIN both_maps b ON b.t = r.t AND b.family = r.family LEFT JOIN own o ON o.t = r.t AND o.family = r.family) SELECT * FROM final""")
+
 #: Rows of a signal's window.
 BEHIND = 21
 
@@ -300,6 +309,27 @@ seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp")).alias(c)  # noqa:
 register("event_bars", lambda s, d: rounded(stream.event_bars(table(s, d, "events")).withColumn("start", seconds("start"))), f"SELECT user_id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, {near('arg_min(value, row(ts, event_id))')} AS open, {near('max(value)')} AS high, {near('min(value)')} AS low, {near('arg_max(value, row(ts, event_id))')} AS close, count(*) AS n, {near('sum(value)')} AS total FROM events GROUP BY user_id, date_trunc('day', ts)")
 register("event_sessions", lambda s, d: rounded(stream.sessions(table(s, d, "events")).select("user_id", seconds("start"), "n", "total")), f"WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), h AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, {EPOCH.format('min(ts)')} AS start, count(*) AS n, {near('sum(value)')} AS total FROM h GROUP BY user_id, s")
 
+# -- streams: the events read as a stream to its end, in append mode; what the watermark hasn't passed isn't given yet
+
+
+def streamed(operator: Callable[[DataFrame], DataFrame], *times: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events = stream.event_stream(spark, f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "value")
+        return rounded(stream.drained(operator(events)).withColumns({c: F.unix_seconds(F.col(c)) for c in times}))
+
+    return run
+
+
+PASSED = "WITH last AS (SELECT max(epoch_us(ts)) - 86400000000 AS mark FROM events), "
+BARS_OF = f"{near('arg_min(value, row(ts, event_id))')} AS open, {near('max(value)')} AS high, {near('min(value)')} AS low, {near('arg_max(value, row(ts, event_id))')} AS close, count(*) AS n, {near('sum(value)')} AS total"
+register("stream_bars", streamed(stream.event_bars, "start"), f"{PASSED} b AS (SELECT user_id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, {BARS_OF} FROM events GROUP BY ALL) SELECT b.* FROM b, last WHERE (start + 86400) * 1000000 <= mark")
+register("stream_sliding_bars", streamed(lambda e: stream.event_bars(e, "2 days", "1 day"), "start"), f"{PASSED} b AS (SELECT user_id, start, {BARS_OF} FROM (SELECT *, CAST(epoch(date_trunc('day', ts)) AS BIGINT) - 86400 * unnest([0, 1]) AS start FROM events) GROUP BY ALL) SELECT b.* FROM b, last WHERE (start + 2 * 86400) * 1000000 <= mark")
+register("stream_sessions", streamed(lambda e: stream.sessions(e).select("user_id", "start", "n", "total"), "start"), f"""{PASSED} g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+h AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g), s AS (SELECT user_id, run, min(epoch_us(ts)) // 1000000 AS start, max(epoch_us(ts)) + 21600000000 AS until, count(*) AS n, {near('sum(value)')} AS total FROM h GROUP BY user_id, run)
+SELECT user_id, start, n, total FROM s, last WHERE until <= mark""")
+register("stream_deduplicated", streamed(lambda e: stream.deduplicated(e.union(e)).select("event_id", "user_id", "value")), f"SELECT event_id, user_id, {near('value')} AS value FROM events")
+register("stream_levels", streamed(lambda e: stream.smoothed(e, 0.1, "1 day").select("user_id", "event_id", "level")), f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) SELECT user_id, event_id, {near('0.1::DOUBLE * pow(0.9::DOUBLE, i) * sum(value * pow(0.9::DOUBLE, -i)) OVER (PARTITION BY user_id ORDER BY i)')} AS level FROM r")
+
 # -- stateful and resampled books
 
 
@@ -327,6 +357,24 @@ past AS (SELECT t, {PAST} FROM sums WINDOW w AS (ORDER BY t RANGE BETWEEN 60 PRE
 mixed AS (SELECT t, cells, {CORR.format('score')}, {CORR.format('ret')} FROM past),
 final AS (SELECT s.t, n, {near('CASE WHEN s.t >= 20 AND s.t % 5 = 0 AND cells >= 100 AND abs(w_score) + abs(w_ret) > 1e-12 AND known THEN (w_score * score + w_ret * ret) / (abs(w_score) + abs(w_ret)) END')} AS score FROM scored s JOIN mixed USING (t)) SELECT * FROM final""")
 register("excluding_current_row", over_panel(lambda p, n: relate.before_row(scored(p, n), "ret", 5).select("t", "n", "ret_mean", "ret_std", "ret_sum", "ret_min")), f"{SCORED}, final AS (SELECT t, n, {near('avg(ret) OVER w')} AS ret_mean, {near('stddev_samp(ret) OVER w')} AS ret_std, {near('sum(ret) OVER w')} AS ret_sum, {near('min(ret) OVER w')} AS ret_min FROM scored WINDOW w AS (PARTITION BY n ORDER BY t ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) SELECT * FROM final")
+
+
+def simulated(p: DataFrame, n: int) -> DataFrame:
+    past = relate.before_row(scored(p, n).where("valid"), "ret", 20).where("ret_std is not null")
+    gap = p.select("t", "n", F.ln(F.try_divide("open", "close")).alias("gap"))
+    return learn.simulated_targets(past.join(gap, ["t", "n"]).select("t", "n", "gap", F.col("ret_mean").alias("mu"), F.col("ret_std").alias("sigma")))
+
+
+DRAW = "CAST('0x' || substr(h, {0}, 13) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE"
+register("simulated_targets", over_panel(simulated), f"""{SCORED}, past AS (SELECT t, n, avg(ret) OVER w AS mu, stddev_samp(ret) OVER w AS sigma FROM scored WHERE valid WINDOW w AS (PARTITION BY n ORDER BY t ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+begun AS (SELECT past.*, ln(open / close) AS gap FROM past JOIN panel USING (t, n) WHERE sigma IS NOT NULL), draws AS (SELECT *, unnest(range(1, 61)) AS j FROM (SELECT *, unnest([0, 1]) AS path FROM begun)),
+hashed AS (SELECT *, md5(concat_ws('|', n, t, path, j, 0)) AS h FROM draws),
+moved AS (SELECT *, gap + sum((mu - sigma * sigma / 2) / 60 + sigma * sqrt(-2 * ln(1 - {DRAW.format(1)})) * cos(2 * pi() * {DRAW.format(14)}) / sqrt(60.0::DOUBLE)) OVER (PARTITION BY n, t, path ORDER BY j ROWS UNBOUNDED PRECEDING) AS spot FROM hashed),
+final AS (SELECT t, n, CAST(path AS INTEGER) AS path, {near('greatest(least(arg_max(spot, j), 0.2), -0.2)')} AS target, {near('max(spot)')} AS top, {near('min(spot)')} AS bottom FROM moved GROUP BY t, n, path) SELECT * FROM final""")
+predicted = lambda p, n: scored(p, n).where("known").join(p.select("t", "date").distinct(), "t").select("t", "date", "n", (0.5 + F.col("score") / 2).alias("prediction"), F.col("target").alias("ret"))
+register("threshold_curve", over_panel(lambda p, n: books.threshold_curve(predicted(p, n), 0.55, 0.1)), f"""{SCORED}, by_day AS (SELECT t, year(any_value(date)) AS year, count(*) FILTER (0.5::DOUBLE + score / 2 > 0.55) AS picked, avg(target) FILTER (0.5::DOUBLE + score / 2 > 0.55 AND abs(target) < 0.1) AS mean FROM scored JOIN days USING (t) WHERE known GROUP BY t),
+grown AS (SELECT *, CASE WHEN mean IS NOT NULL THEN 0.5::DOUBLE + 0.5::DOUBLE * 0.9989 * (1 + mean) ELSE 1 END AS factor FROM by_day),
+final AS (SELECT t, picked, {near('factor')} AS factor, {near('exp(sum(ln(factor)) OVER (ORDER BY t))')} AS equity, {near('exp(sum(ln(factor)) OVER (PARTITION BY year ORDER BY t))')} AS equity_of_year FROM grown) SELECT * FROM final""")
 register("gated_equity", over_panel(lambda p, n: books.gated_equity(curve_of(p, n).where("strategy = 'momentum'").select("t", F.col("net").alias("ret"), F.round("gross", 9).alias("level")))), f"""{BACKTEST}, gates AS (SELECT t, net, CASE WHEN t >= 2 THEN (1 + CASE WHEN lag(round(gross, 9)) OVER w <= round(gross, 9) THEN 1 ELSE 0 END + CASE WHEN lag(round(gross, 9), 2) OVER w <= round(gross, 9) THEN 1 ELSE 0 END) / 3.0::DOUBLE END AS gate FROM curve WHERE strategy = 'momentum' WINDOW w AS (ORDER BY t)),
 gated AS (SELECT t, gate, CASE WHEN gate < 0.5 THEN 0 ELSE net END AS ret FROM gates), final AS (SELECT t, {near('ret')} AS ret, {near('gate')} AS gate, {near('exp(sum(ln(1 + greatest(ret, -0.999999999))) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING))')} AS equity FROM gated) SELECT * FROM final""")
 register("right_outer_join", lambda s, d: rounded(relate.with_dimension(bars_of(s, d).groupBy("stock").agg(F.sum("amount").alias("amount")), table(s, d, "part").select(F.col("p_partkey").alias("stock"), "p_brand"), ["stock"])), f"final AS (SELECT p_partkey AS stock, {near('amount')} AS amount, p_brand FROM (SELECT stock, sum(amount) AS amount FROM bars GROUP BY stock) b RIGHT JOIN part ON p_partkey = stock) SELECT * FROM final")
@@ -336,6 +384,9 @@ register("yearly_figures", over_panel(lambda p, n: relate.yearly(curve_of(p, n).
 # -- what SQL can't express: rows only, and tests against brute force
 
 register("optimised_frontier", over_panel(lambda p, n: books.optimised(scored(p, n), (1.0, 10.0))))
+register("capped_variance", over_panel(lambda p, n: conic.programmes(scored(p, n), (0.0, 1.0), variance=4e-4), 6))
+register("impact_frontier", over_panel(lambda p, n: conic.frontier(conic.programmes(scored(p, n), (0.5, 2.0, 8.0), impact=0.01)), 6))
+register("boosted_threshold_curve", over_panel(lambda p, n: books.threshold_curve(learn.classified(scored(p, n), ["score", "ret"], "target", "known", (20, n // 2, n // 2, n)).join(scored(p, n).select("t", "n", F.col("target").alias("ret")), ["t", "n"]).join(p.select("t", "date").distinct(), "t"))))
 register("candidate_weights", over_panel(lambda p, n: books.candidate_weights(scored(p, n)), 6))
 register("walk_forward_predictions", over_panel(lambda p, n: learn.walk_forward_predictions(scored(p, n), ["score", "ret"], "target", "known", books.walk_forward(n, 104, 52, 52)), 6))
 register("synthetic_returns", over_panel(lambda p, n: learn.gbm_augment(panels.with_returns(p).select("t", "n", F.log1p("ret").alias("ret"), F.col("ret__m").alias("mask"))).select("t", "n", "ret")))

@@ -229,6 +229,52 @@ def test_streams_equal_batches(spark, tmp_path):
     assert spark.table("levels").count() == events.count()
 
 
+def test_streams_go_on_after_a_restart_and_drop_late_rows(spark, tmp_path):
+    schema = "event_id long, ts timestamp, user_id long, value double"
+
+    def arrive(name, rows):
+        frame = pd.DataFrame([(i, pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h), u, float(v)) for i, h, u, v in rows], columns=["event_id", "ts", "user_id", "value"])
+        frame.to_parquet(tmp_path / "in" / f"{name}.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
+
+    (tmp_path / "in").mkdir()
+    first = [(1, 1, 7, 1), (2, 2, 7, 3), (3, 2, 8, 5), (4, 60, 7, 2)]
+    second = [(5, 3, 7, 100), (6, 61, 7, 4), (2, 62, 7, 9), (4, 60, 7, 2), (7, 120, 8, 1)]  # 5 comes after its window, 4 again
+    third = [(8, 200, 7, 1)]
+    streams = {
+        "bars": lambda e: stream.event_bars(e),
+        "sliding": lambda e: stream.event_bars(e, "2 days", "1 day"),
+        "sessions": lambda e: stream.sessions(e),
+        "deduplicated": lambda e: stream.deduplicated(e),
+        "levels": lambda e: stream.smoothed(e, 0.5, "1 day", idle_ms=24 * 3_600_000),
+    }
+    arrive("a", first)
+    source = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    for part in (None, second, third):
+        if part:
+            arrive({id(second): "b", id(third): "c"}[id(part)], part)
+        got = {name: stream.drained(build(source()), str(tmp_path / name)).toPandas() for name, build in streams.items()}
+    table = lambda rows: spark.createDataFrame([(i, (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h)).to_pydatetime(), u, float(v)) for i, h, u, v in rows], schema)
+    on_time = table([*first, *second[1:], *third])
+    passed = pd.Timestamp("2024-01-01") + pd.Timedelta(hours=200 - 24)
+    for name, width in (("bars", 24), ("sliding", 48)):
+        # the window of two days from the first was open still when 5 came, a day's weren't
+        want = streams[name](on_time if name == "bars" else table([*first, *second, *third])).toPandas()
+        if name == "sliding":
+            closed = want["start"] == pd.Timestamp("2023-12-31")
+            want = pd.concat([want[~closed], streams[name](on_time).toPandas().query("start == '2023-12-31'")])
+        want = want[want["start"] + pd.Timedelta(hours=width) <= passed]
+        key = ["user_id", "start"]
+        pd.testing.assert_frame_equal(got[name].sort_values(key).reset_index(drop=True), want.sort_values(key).reset_index(drop=True))
+    want = streams["sessions"](on_time).toPandas()
+    want = want[want["end"] <= passed]
+    pd.testing.assert_frame_equal(got["sessions"].sort_values(["user_id", "start"]).reset_index(drop=True), want.sort_values(["user_id", "start"]).reset_index(drop=True))
+    # 4 is known still, 2 was forgotten when the watermark passed it, 5 was late
+    assert sorted(got["deduplicated"]["event_id"]) == [1, 2, 2, 3, 4, 6, 7, 8]
+    levels = {(r.event_id, r.ts.hour + 24 * (r.ts.day - 1)): r.level for r in got["levels"].itertuples()}
+    assert levels[1, 1] == 0.5 and levels[2, 2] == 1.75 and levels[4, 60] == 1.875 and (5, 3) not in levels
+    assert levels[6, 61] == 0.5 * 4 + 0.5 * (0.5 * 2 + 0.5 * 1.875) and levels[8, 200] == 0.5  # user 7 was idle for longer than a day
+
+
 def test_segments_and_as_of(spark):
     bars = spark.createDataFrame([("a", "2024-01-01", 1.0), ("a", "2024-01-05", 2.0), ("a", "2024-02-01", 3.0), ("b", "2024-01-01", 4.0)], "stock string, date string, close double").withColumn("date", F.to_date("date"))
     assert [r["seg"] for r in relate.segments(bars).orderBy("stock", "date").collect()] == [0, 0, 1, 0]
