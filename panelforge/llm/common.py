@@ -32,8 +32,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, *keys: str) -> DataFrame:
-    """Writes a table as compressed Parquet into the shared folder and reads it again; used where a table is large.
+def stored(df: DataFrame, *keys: str, **options: int) -> DataFrame:
+    """Writes a table as compressed Parquet into the shared folder and reads it again; used where a table is large. options: the writer's.
 
     Like checkpoints, tables outlive the query, whose result is read from them later: those of an application are in one folder, which may go when it has ended.
     """
@@ -41,7 +41,7 @@ def stored(df: DataFrame, *keys: str) -> DataFrame:
 
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

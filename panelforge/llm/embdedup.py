@@ -1,14 +1,19 @@
 """Near-duplicate vectors by spherical k-means cells.
 
 Method: spherical k-means, fitted on a bounded sample of the distinct vectors, deals every distinct vector to its
-nearest cell (its home). Blocked cosine products, in double precision, compare the vectors of a cell with each
-other and with guests: vectors of other cells that may be within the linking angle of one of its own. A vector
-visits every cell for which that is possible at all, which loses no link of any data (the bound is a plane's distance,
-see guests()). Given deviations, it only visits the cells whose centroid's cosine is below its home's by at most that
-many deviations of the cosine between linked vectors that differ in a random direction: far fewer comparisons, but
-links that differ in other directions get lost, and some are counted at one end only. No query does so. Equal vectors are
-collapsed first and counted; large cells fall into blocks, and every pair of blocks is a task of its own. Each returns
-counts and stars of linked vectors, not pairs. A vector is copied to as many cells as it visits, at most SAMPLE / EACH.
+nearest cell (its home), once: vectors are not copied. The vectors of a cell are packed into blocks, one row each, that
+know which cells their vectors may be linked with, and blocks are joined without an exchange: tasks read the blocks of two
+files, and compare those of which each has vectors that may be linked with the other's cell. That leaves out no
+link of any data (the bound is a plane's distance, see may_link()). Given deviations, a vector only meets the cells whose
+centroid's cosine is below its home's by at most that many deviations of the cosine between linked vectors that differ in a
+random direction: fewer comparisons, but links that differ in other directions get lost. No query does so.
+
+Every pair of vectors is compared once, first by a product of few dimensions that is never below the cosine (see lead()), in
+single precision with slack; what it leaves is decided by the cosine in double precision. A task returns a row for each vector
+with links: their number and the smallest id of those that its links join it with, not pairs. Equal vectors are collapsed first and counted.
+
+The rows that are written or exchanged grow with the input: each vector, and a row for each linked vector and file of blocks that
+has links of it. The comparisons that the bound on cells leaves grow with the square of the vectors.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing and
 are kept as their own components, as are rows with a null id; vectors of different length never link; repeated
@@ -30,6 +35,10 @@ THRESHOLD = 0.95
 SAMPLE, CELL, BLOCK, DEVIATIONS = 20_000, 1024, 2048, 2.5
 #: Vectors of the sample for each centroid at least: so many cells at most, of more than CELL vectors where there are very many. Vectors that are placed at a time.
 EACH, ROWS = 16, 512
+#: Dimensions of the first product; more than its error in single precision; the share of pairs that it leaves from which a whole product is faster.
+LEAD, SLACK, MANY = 16, 1e-5, 1 / 32
+#: Links that a task keeps before it joins them.
+LINKS = 1 << 20
 
 
 def usable(vec_id: Column, x: Column) -> Column:
@@ -48,12 +57,17 @@ CELLS = 1 << 24
 
 
 def short(x: np.ndarray) -> bytes:
-    """A vector's components, in 4 bytes each where these hold them exactly."""
+    """Components, in 4 bytes each where these hold them all exactly."""
     with np.errstate(over="ignore"):
         single = x.astype("<f4")
     return single.tobytes() if (single == x).all() else x.astype("<f8").tobytes()
 
 
+def opened(packed: bytes, count: int, dim: int) -> np.ndarray:
+    """The vectors of which short() made packed."""
+    return np.frombuffer(packed, "<f4" if len(packed) == 4 * count * dim else "<f8").reshape(count, dim).astype(float)
+
+
 def fit(sample: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Centroids of spherical k-means, started from evenly spaced rows of the sample."""
     centres = sample[np.linspace(0, len(sample) - 1, k).astype(int)].copy()
@@ -66,36 +80,103 @@ def fit(sample: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def guests(x: np.ndarray, centres: np.ndarray, threshold: float, deviations: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """The home of each vector, and a table of the cells in which it must be compared.
+def may_link(x: np.ndarray, home: np.ndarray, cells: np.ndarray, threshold: float, deviations: float | None) -> np.ndarray:
+    """A table of the cells with whose vectors those of x, of the cell of home, must be compared.
 
     A vector z of cell c within angle t of y has z.(c - h) >= 0, where h is y's home; as z = y cos t + u sin t with
     u orthogonal to y, y.(h - c) <= tan t * |the part of c - h that is orthogonal to y|.
     """
-    near = x @ centres.T
-    home = near.argmax(1)
-    gap = near[np.arange(len(x)), home][:, None] - near
+    gap = x @ (home - cells).T
     if deviations is not None:  # of a difference sqrt(1 - t^2) long, against two centroids about at right angles
-        return home, gap <= deviations * np.sqrt((1 - threshold**2) * 2 / x.shape[1])
-    between = 2 - 2 * centres @ centres.T
-    across = np.maximum(between[home] - gap**2, 0)
-    return home, gap <= np.sqrt(max(0.0, 1 - threshold**2)) / threshold * np.sqrt(across) + 1e-9
+        return gap <= deviations * np.sqrt((1 - threshold**2) * 2 / x.shape[1])
+    across = np.maximum(((home - cells) ** 2).sum(1) - gap**2, 0)
+    return gap <= np.sqrt(max(0.0, 1 - threshold**2)) / threshold * np.sqrt(across) + 1e-9
+
+
+def axes(sample: np.ndarray, rounds: int = 6) -> np.ndarray:
+    """At most LEAD orthonormal directions, as columns, about those in which the sample is longest."""
+    found = np.linalg.qr(np.random.default_rng(0).normal(size=(sample.shape[1], min(LEAD, sample.shape[1]))))[0]
+    for _ in range(rounds):
+        found = np.linalg.qr(sample.T @ (sample @ found))[0]
+    return found
+
+
+def lead(x: np.ndarray, along: np.ndarray) -> np.ndarray:
+    """Vectors whose products are not below those of the unit vectors x: their parts along the axes, and the length of the rest."""
+    part = x @ along
+    rest = np.sqrt(np.maximum(1 - (part * part).sum(1, keepdims=True), 0))
+    return np.hstack([part, rest]).astype("<f4")
+
+
+def linked_pairs(x: np.ndarray, x_lead: np.ndarray, rows: np.ndarray, y: np.ndarray, y_lead: np.ndarray, others: np.ndarray, threshold: float):
+    """Of the given rows of x and others of y those whose cosine is at least the threshold, a strip of rows after another."""
+    other_lead = y_lead[others].T
+    for strip in (rows[at : at + ROWS] for at in range(0, len(rows), ROWS)):
+        left = np.flatnonzero(x_lead[strip] @ other_lead >= np.float32(threshold - SLACK))
+        if len(left) > MANY * len(strip) * len(others):
+            r, s = np.nonzero(x[strip] @ y[others].T >= threshold)
+            r, s = strip[r], others[s]
+        else:
+            r, s = np.divmod(left, max(1, len(others)))
+            r, s = strip[r], others[s]
+            fine = np.einsum("ij,ij->i", x[r], y[s]) >= threshold
+            r, s = r[fine], s[fine]
+        yield r, s
+
 
+def joined(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each of count rows the first of those that the links (a, b) join it with."""
+    of = np.arange(count)
+    while len(a):
+        low, high = np.minimum(of[a], of[b]), np.maximum(of[a], of[b])
+        apart = low < high
+        np.minimum.at(of, high[apart], low[apart])
+        while ((up := of[of]) != of).any():
+            of = up
+        a, b = a[apart], b[apart]
+    return of
 
-def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join the same ids as the links (a, b) do, fewer than there are ids."""
-    parent: dict[int, int] = {}
 
-    def root(v):
-        while parent.setdefault(v, v) != v:
-            parent[v] = v = parent[parent[v]]
-        return v
+class Found:
+    """The links that a task finds between rows of blocks: how many each row has, and what they join."""
 
-    for u, v in zip(a.tolist(), b.tolist(), strict=True):
-        r, s = root(u), root(v)
-        if r != s:
-            parent[max(r, s)] = min(r, s)
-    return [(v, root(v)) for v in parent if root(v) != v]
+    def __init__(self):
+        self.place, self.count, self.waiting = {}, 0, 0
+        self.ids, self.linked, self.ends = [np.empty((3, 0), np.int64)], [np.empty(0, np.int64)], []
+
+    def block(self, key: tuple[int, int], ids: np.ndarray) -> None:
+        """Makes a block known: the v, first and n of its rows."""
+        if key not in self.place:
+            self.place[key] = len(self.ids), self.count
+            self.ids.append(ids)
+            self.linked.append(np.zeros(ids.shape[1], np.int64))
+            self.count += ids.shape[1]
+
+    def add(self, one: tuple[int, int], r: np.ndarray, two: tuple[int, int], s: np.ndarray) -> None:
+        """Links of the rows r of one block with the rows s of another."""
+        (i, at), (j, at_) = self.place[one], self.place[two]
+        np.add.at(self.linked[i], r, self.ids[j][2][s])
+        np.add.at(self.linked[j], s, self.ids[i][2][r])
+        size = len(self.linked[i])
+        of = joined(size + len(self.linked[j]), r, size + s)
+        apart = np.flatnonzero(of != np.arange(len(of)))
+        self.ends.append(tuple(np.where(e < size, at + e, at_ + e - size) for e in (apart, of[apart])))
+        self.waiting += len(apart)
+        if self.waiting > LINKS + self.count:
+            self.join()
+
+    def join(self) -> np.ndarray:
+        of = joined(self.count, *(np.concatenate([e[k] for e in self.ends] or [np.empty(0, np.int64)]) for k in (0, 1)))
+        apart = np.flatnonzero(of != np.arange(self.count))
+        self.ends, self.waiting = [(apart, of[apart])], 0
+        return of
+
+    def table(self) -> pd.DataFrame:
+        """Of each row with links their number, its first id and the least of those that it is joined with."""
+        of, (v, first, _), linked = self.join(), np.concatenate(self.ids, axis=1), np.concatenate(self.linked)
+        least = np.full(self.count, np.iinfo(np.int64).max)
+        np.minimum.at(least, of, first)
+        return pd.DataFrame({"v": v, "linked": linked, "a": first, "b": least[of]})[linked > 0]
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, deviations: float | None = None, sample: int = SAMPLE, cell: int = CELL, block: int = BLOCK) -> DataFrame:
@@ -105,56 +186,70 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, deviati
     takes_part = usable(F.col("vec_id"), F.col("embedding"))
     keyed = rows.where(takes_part).select("vec_id", F.col("embedding").cast("array<double>").alias("x")).withColumn("v", F.xxhash64("x"))
     distinct = stored(keyed.groupBy("v", "x").agg(F.count("*").alias("n"), F.min("vec_id").alias("first")))
-    centres: dict[int, np.ndarray] = {}
+    fitted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim, count in distinct.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n")).collect():
         of_dim = distinct.where(F.size("x") == dim)
         few = of_dim if count <= sample else of_dim.where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < int(1_000_000 * sample / count))
-        fitted = np.stack([r[0] for r in few.select("x").orderBy("v").limit(sample).collect()] or [np.ones(dim)])
-        centres[dim] = fit(unit(fitted.astype(float)), min(max(1, len(fitted) // EACH), max(1, round(count / cell))))
-    sent = spark.sparkContext.broadcast(centres)  # at most sample / EACH vectors
+        some = unit(np.stack([r[0] for r in few.select("x").orderBy("v").limit(sample).collect()] or [np.ones(dim)]).astype(float))
+        fitted[dim] = fit(some, min(max(1, len(some) // EACH), max(1, round(count / cell)))), axes(some)
+    sent = spark.sparkContext.broadcast(fitted)  # at most sample / EACH vectors, and LEAD
 
     def deal(frames):
         for frame in frames:
             for dim, part in ((dim, rows[at : at + ROWS]) for dim, rows in frame.groupby(frame["x"].map(len)) for at in range(0, len(rows), ROWS)):
                 given = np.stack(part["x"].to_numpy()).astype(float)
-                x = unit(given)
-                home, visits = guests(x, sent.value[dim], threshold, deviations)
-                row, at = np.nonzero(visits)
-                raw = np.array([short(r) for r in given], dtype=object)
-                yield pd.DataFrame({"cell": dim * CELLS + at, "own": at == home[row], "v": part["v"].to_numpy()[row], "first": part["first"].to_numpy()[row], "n": part["n"].to_numpy()[row], "x": raw[row]})
-
-    placed = stored(distinct.mapInPandas(deal, "cell long, own boolean, v long, first long, n long, x binary"))
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("all"), F.count_if("own").alias("own")).withColumns({"own_blocks": F.ceil(F.col("own") / block), "blocks": F.ceil(F.col("all") / block)}).where("own > 0")
-    sized = placed.join(sizes.select("cell", "own_blocks", "blocks"), "cell")
-    number = lambda n, salt: F.pmod(F.xxhash64("v", F.lit(salt)), F.col(n))
-    # every block of a cell's own vectors meets every block of its vectors, in a task of its own
-    ours = sized.where("own").withColumns({"i": number("own_blocks", 1), "j": F.explode(F.expr("sequence(0L, blocks - 1)"))})
-    theirs = sized.withColumns({"j": number("blocks", 2), "i": F.explode(F.expr("sequence(0L, own_blocks - 1)"))})
-    meeting = ["cell", "i", "j"]
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"v": [], "linked": [], "a": [], "b": []}, dtype="int64")
-        if not len(left) or not len(right):
-            return empty
-        dim = int(left["cell"].iloc[0]) // CELLS
-        x, y = (unit(np.stack([np.frombuffer(r, "<f4" if len(r) == 4 * dim else "<f8").astype(float) for r in raw])) for raw in (left["x"], right["x_"]))
-        linked, ends = np.zeros(len(left), np.int64), []
-        of_left, of_right = left["first"].to_numpy(), right["first_"].to_numpy()
-        for at in range(0, len(x), 512):
-            r, s = np.nonzero(x[at : at + 512] @ y.T >= threshold)
-            r += at
-            other = left["v"].to_numpy()[r] != right["v_"].to_numpy()[s]
-            r, s = r[other], s[other]
-            np.add.at(linked, r, right["n_"].to_numpy()[s])
-            if len(r):
-                ends += forest(of_left[r], of_right[s])
-        counted = pd.DataFrame({"v": left["v"], "linked": linked, "a": left["first"], "b": left["first"]})[linked > 0]
-        joined = pd.DataFrame(ends, columns=["a", "b"], dtype="int64").assign(v=0, linked=0)
-        return pd.concat([counted, joined], ignore_index=True)[["v", "linked", "a", "b"]]
-
-    cols = [*meeting, "v", "first", "n", "x"]
-    others = theirs.select(*[F.col(c).alias(f"{c}_") for c in cols]).groupBy(*[f"{c}_" for c in meeting])
-    met = stored(ours.select(*cols).groupBy(*meeting).cogroup(others).applyInPandas(compare, "v long, linked long, a long, b long"))
+                home = (unit(given) @ sent.value[dim][0].T).argmax(1)
+                yield pd.DataFrame({"cell": dim * CELLS + home, "v": part["v"], "first": part["first"], "n": part["n"], "x": [short(r) for r in given]})
+
+    def pack(key, group):
+        dim, home = divmod(int(key[0]), CELLS)
+        given, centres = np.concatenate([opened(r, 1, dim) for r in group["x"]]), sent.value[dim][0]
+        met = np.any([may_link(unit(given[at : at + ROWS]), centres[home], centres, threshold, deviations).any(0) for at in range(0, len(given), ROWS)], axis=0)
+        keys = group[["v", "first", "n"]].to_numpy("<i8").T.tobytes()
+        return pd.DataFrame({"cell": [key[0]], "part": [key[1]], "met": [dim * CELLS + np.flatnonzero(met)], "keys": [keys], "x": [short(given)]})
+
+    placed = stored(distinct.mapInPandas(deal, "cell long, v long, first long, n long, x binary"))
+    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("parts"))
+    dealt = placed.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("v", F.lit(1)), "parts")).drop("parts")
+    packed = dealt.groupBy("cell", "part").applyInPandas(pack, "cell long, part long, met array<long>, keys binary, x binary")
+    # rows of some 0.5 MB: small row groups, as a reader opens one as a whole
+    blocks = stored(packed, **{"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1})
+
+    def compare(frames):
+        found, last = Found(), (None, None)
+
+        def read_block(key, keys, packed):
+            ids, (centres, along) = np.frombuffer(keys, "<i8").reshape(3, -1), sent.value[key[0] // CELLS]
+            found.block(key, ids)
+            x = unit(opened(packed, ids.shape[1], len(along)))
+            return centres[key[0] % CELLS], x, lead(x, along)
+
+        for frame in frames:
+            for row in frame.itertuples():
+                one, two = (row.cell, row.part), (row.cell_, row.part_)
+                if last[0] != one:  # it meets many in turn
+                    last = one, read_block(one, row.keys, row.x)
+                home, x, x_lead = last[1]
+                away, y, y_lead = last[1] if one == two else read_block(two, row.keys_, row.x_)
+                mine, others = np.arange(len(x)), np.arange(len(y))
+                meetings = [(mine, others)]
+                if row.cell != row.cell_:
+                    goes, comes = (may_link(z, h, c[None], threshold, deviations)[:, 0] for z, h, c in ((x, home, away), (y, away, home)))
+                    meetings = [(mine[goes], others[comes])] if deviations is None else [(mine[goes], others), (mine[~goes], others[comes])]
+                for rows_x, rows_y in meetings:
+                    for r, s in linked_pairs(x, x_lead, rows_x, y, y_lead, rows_y, threshold):
+                        fresh = slice(None) if one != two else r < s
+                        if len(r[fresh]):
+                            found.add(one, r[fresh], two, s[fresh])
+        yield found.table()
+
+    # each pair of blocks once, and only where either has vectors that may be linked with the other's cell; no exchange: tasks read the blocks
+    cols = ["cell", "part", "keys", "x"]
+    other = blocks.select(*[F.col(c).alias(f"{c}_") for c in blocks.columns])
+    once = (F.col("cell") < F.col("cell_")) | ((F.col("cell") == F.col("cell_")) & (F.col("part") <= F.col("part_")))
+    goes, comes = F.array_contains("met", F.col("cell_")), F.array_contains("met_", F.col("cell"))
+    pairs = blocks.join(other.hint("shuffle_replicate_nl"), once & (goes & comes if deviations is None else goes | comes))
+    met = stored(pairs.select(*cols, *[f"{c}_" for c in cols]).mapInPandas(compare, "v long, linked long, a long, b long"))
     counts = met.where("linked > 0").groupBy("v").agg(F.sum("linked").alias("linked"))
     known = components(met.where("a <> b").select("a", "b"))
     per_vector = distinct.select("v", "n", "first").join(counts, "v", "left").join(known.withColumnRenamed("node", "first"), "first", "left")

@@ -518,6 +518,37 @@ def test_links_in_few_directions_are_all_found(spark):
     assert got == {i: (int(near[i].sum()), component[i]) for i in range(len(both))}
 
 
+def test_vectors_are_not_copied_to_the_cells_that_they_are_compared_with(spark):
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    x = np.random.default_rng(5).normal(size=(4000, 64))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    tables = lambda: set(Path(spark.conf.get("spark.checkpoint.dir")).rglob("*.parquet"))
+    before = tables()
+    assert embdedup.near_duplicates(df, cell=20).count() == len(x)
+    assert sum(pq.ParquetFile(p).metadata.num_rows for p in tables() - before if p.is_file()) < 4 * len(x)
+
+
+def test_dense_groups_over_blocks_of_cells(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([[c + rng.normal(scale=0.03, size=(250, 24)) for c in rng.normal(size=(2, 24))][k] for k in (0, 1)] + [rng.normal(size=(100, 24))])
+    x = np.concatenate([x, x[:40]])
+    rows = [(i % 590, v) for i, v in enumerate(x.tolist())]  # copies, and repeated ids
+    unit = embdedup.unit(x)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    ids = np.array([i for i, _ in rows])
+    link = collections.defaultdict(set)
+    for a, b in zip(*np.nonzero(near), strict=True):
+        link[ids[a]].add(ids[b])
+    component = reach(ids.tolist(), link)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = embdedup.near_duplicates(df, cell=100, block=32).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == sorted((int(i), int(n), component[i]) for i, n in zip(ids, near.sum(1), strict=True))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(999, i) for i in range(1000, 2200)] + [(7, 7), (5, 4)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
