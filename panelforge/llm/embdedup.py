@@ -1,9 +1,9 @@
 """Near-duplicate vectors by spherical k-means cells.
 
 Method: spherical k-means, fitted on a bounded sample of the distinct vectors, deals every distinct vector to its
-nearest cell (its home), once: vectors are not copied. The vectors of a cell are packed into blocks, one row each, that
-know which cells their vectors may be linked with, and blocks are joined without an exchange: tasks read the blocks of two
-files, and compare those of which each has vectors that may be linked with the other's cell. That leaves out no
+nearest cell (its home), once: vectors are not copied. The vectors of a few cells are packed into blocks, one row each, that
+know which others their vectors may be linked with, and blocks are joined without an exchange: tasks read the blocks of two
+files, and of two cells they compare the vectors that may be linked with the other's. That leaves out no
 link of any data (the bound is a plane's distance, see may_link()). Given deviations, a vector only meets the cells whose
 centroid's cosine is below its home's by at most that many deviations of the cosine between linked vectors that differ in a
 random direction: fewer comparisons, but links that differ in other directions get lost. No query does so.
@@ -22,6 +22,8 @@ ids are separate vectors for n_links and one for components; extra columns are i
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,13 +34,13 @@ from panelforge.llm.graph import components
 
 THRESHOLD = 0.95
 #: Vectors that the centroids are fitted on at most; vectors of a cell aimed at; rows of a block; deviations that find most links.
-SAMPLE, CELL, BLOCK, DEVIATIONS = 20_000, 1024, 2048, 2.5
+SAMPLE, CELL, BLOCK, DEVIATIONS = 20_000, 1024, 16384, 2.5
 #: Vectors of the sample for each centroid at least: so many cells at most, of more than CELL vectors where there are very many. Vectors that are placed at a time.
 EACH, ROWS = 16, 512
 #: Dimensions of the first product; more than its error in single precision; the share of pairs that it leaves from which a whole product is faster.
 LEAD, SLACK, MANY = 16, 1e-5, 1 / 32
-#: Links that a task keeps before it joins them.
-LINKS = 1 << 20
+#: Links of a strip that are kept as they are; links that a task keeps before it joins them.
+FEW, LINKS = 4096, 1 << 20
 
 
 def usable(vec_id: Column, x: Column) -> Column:
@@ -80,6 +82,12 @@ def fit(sample: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def runs(sorted_values: np.ndarray):
+    """Of a sorted array each value with the places where it starts and ends."""
+    values, at = np.unique(sorted_values, return_index=True)
+    return zip(values.tolist(), at.tolist(), [*at[1:].tolist(), len(sorted_values)], strict=True)
+
+
 def may_link(x: np.ndarray, home: np.ndarray, cells: np.ndarray, threshold: float, deviations: float | None) -> np.ndarray:
     """A table of the cells with whose vectors those of x, of the cell of home, must be compared.
 
@@ -157,11 +165,13 @@ class Found:
         (i, at), (j, at_) = self.place[one], self.place[two]
         np.add.at(self.linked[i], r, self.ids[j][2][s])
         np.add.at(self.linked[j], s, self.ids[i][2][r])
-        size = len(self.linked[i])
-        of = joined(size + len(self.linked[j]), r, size + s)
-        apart = np.flatnonzero(of != np.arange(len(of)))
-        self.ends.append(tuple(np.where(e < size, at + e, at_ + e - size) for e in (apart, of[apart])))
-        self.waiting += len(apart)
+        a, b, size = at + r, at_ + s, len(self.linked[i])
+        if len(r) > FEW:
+            of = joined(size + len(self.linked[j]), r, size + s)
+            apart = np.flatnonzero(of != np.arange(len(of)))
+            a, b = (np.where(e < size, at + e, at_ + e - size) for e in (apart, of[apart]))
+        self.ends.append((a, b))
+        self.waiting += len(a)
         if self.waiting > LINKS + self.count:
             self.join()
 
@@ -186,68 +196,79 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, deviati
     takes_part = usable(F.col("vec_id"), F.col("embedding"))
     keyed = rows.where(takes_part).select("vec_id", F.col("embedding").cast("array<double>").alias("x")).withColumn("v", F.xxhash64("x"))
     distinct = stored(keyed.groupBy("v", "x").agg(F.count("*").alias("n"), F.min("vec_id").alias("first")))
-    fitted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    fitted: dict[int, tuple[np.ndarray, np.ndarray, int, np.ndarray]] = {}
     for dim, count in distinct.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n")).collect():
         of_dim = distinct.where(F.size("x") == dim)
         few = of_dim if count <= sample else of_dim.where(F.pmod(F.xxhash64("v"), F.lit(1_000_000)) < int(1_000_000 * sample / count))
         some = unit(np.stack([r[0] for r in few.select("x").orderBy("v").limit(sample).collect()] or [np.ones(dim)]).astype(float))
-        fitted[dim] = fit(some, min(max(1, len(some) // EACH), max(1, round(count / cell)))), axes(some)
+        cells = min(max(1, len(some) // EACH), max(1, round(count / cell)))
+        centres, together = fit(some, cells), max(1, block * cells // count // 2)  # so many cells to a block fill half of it
+        held = np.bincount((some @ centres.T).argmax(1) // together, minlength=(cells - 1) // together + 1) + 1
+        fitted[dim] = centres, axes(some), together, np.ceil(held * (count / len(some) / block)).astype(int)  # and so many blocks hold them
     sent = spark.sparkContext.broadcast(fitted)  # at most sample / EACH vectors, and LEAD
 
     def deal(frames):
         for frame in frames:
             for dim, part in ((dim, rows[at : at + ROWS]) for dim, rows in frame.groupby(frame["x"].map(len)) for at in range(0, len(rows), ROWS)):
                 given = np.stack(part["x"].to_numpy()).astype(float)
-                home = (unit(given) @ sent.value[dim][0].T).argmax(1)
-                yield pd.DataFrame({"cell": dim * CELLS + home, "v": part["v"], "first": part["first"], "n": part["n"], "x": [short(r) for r in given]})
+                centres, _, together, parts = sent.value[dim]
+                home = (unit(given) @ centres.T).argmax(1)
+                place = home // together
+                yield pd.DataFrame({"place": dim * CELLS + place, "part": part["v"].to_numpy() % parts[place], "home": home, "v": part["v"], "first": part["first"], "n": part["n"], "x": [short(r) for r in given]})
 
     def pack(key, group):
-        dim, home = divmod(int(key[0]), CELLS)
-        given, centres = np.concatenate([opened(r, 1, dim) for r in group["x"]]), sent.value[dim][0]
-        met = np.any([may_link(unit(given[at : at + ROWS]), centres[home], centres, threshold, deviations).any(0) for at in range(0, len(given), ROWS)], axis=0)
-        keys = group[["v", "first", "n"]].to_numpy("<i8").T.tobytes()
-        return pd.DataFrame({"cell": [key[0]], "part": [key[1]], "met": [dim * CELLS + np.flatnonzero(met)], "keys": [keys], "x": [short(given)]})
-
-    placed = stored(distinct.mapInPandas(deal, "cell long, v long, first long, n long, x binary"))
-    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("parts"))
-    dealt = placed.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("v", F.lit(1)), "parts")).drop("parts")
-    packed = dealt.groupBy("cell", "part").applyInPandas(pack, "cell long, part long, met array<long>, keys binary, x binary")
-    # rows of some 0.5 MB: small row groups, as a reader opens one as a whole
+        group = group.sort_values("home", kind="stable")
+        dim, home = int(key[0]) // CELLS, group["home"].to_numpy()
+        given, (centres, _, together, _) = np.concatenate([opened(r, 1, dim) for r in group["x"]]), sent.value[dim]
+        met = np.zeros(len(centres), bool)
+        for h, at, end in runs(home):
+            for strip in (given[k : min(k + ROWS, end)] for k in range(at, end, ROWS)):
+                met |= may_link(unit(strip), centres[h], centres, threshold, deviations).any(0)
+        keys = group[["v", "first", "n", "home"]].to_numpy("<i8").T.tobytes()
+        return pd.DataFrame({"place": [key[0]], "part": [key[1]], "met": [np.unique(dim * CELLS + np.flatnonzero(met) // together)], "keys": [keys], "x": [short(given)]})
+
+    dealt = distinct.mapInPandas(deal, "place long, part long, home long, v long, first long, n long, x binary")
+    packed = dealt.groupBy("place", "part").applyInPandas(pack, "place long, part long, met array<long>, keys binary, x binary")
+    # rows of some MB: small row groups, as a reader opens one as a whole
     blocks = stored(packed, **{"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1})
 
     def compare(frames):
         found, last = Found(), (None, None)
 
         def read_block(key, keys, packed):
-            ids, (centres, along) = np.frombuffer(keys, "<i8").reshape(3, -1), sent.value[key[0] // CELLS]
-            found.block(key, ids)
+            ids, (centres, along, _, _) = np.frombuffer(keys, "<i8").reshape(4, -1), sent.value[key[0] // CELLS]
+            found.block(key, ids[:3])
             x = unit(opened(packed, ids.shape[1], len(along)))
-            return centres[key[0] % CELLS], x, lead(x, along)
+            return centres, list(runs(ids[3])), x, lead(x, along)
 
         for frame in frames:
             for row in frame.itertuples():
-                one, two = (row.cell, row.part), (row.cell_, row.part_)
+                one, two = (row.place, row.part), (row.place_, row.part_)
                 if last[0] != one:  # it meets many in turn
                     last = one, read_block(one, row.keys, row.x)
-                home, x, x_lead = last[1]
-                away, y, y_lead = last[1] if one == two else read_block(two, row.keys_, row.x_)
-                mine, others = np.arange(len(x)), np.arange(len(y))
-                meetings = [(mine, others)]
-                if row.cell != row.cell_:
-                    goes, comes = (may_link(z, h, c[None], threshold, deviations)[:, 0] for z, h, c in ((x, home, away), (y, away, home)))
-                    meetings = [(mine[goes], others[comes])] if deviations is None else [(mine[goes], others), (mine[~goes], others[comes])]
-                for rows_x, rows_y in meetings:
-                    for r, s in linked_pairs(x, x_lead, rows_x, y, y_lead, rows_y, threshold):
-                        fresh = slice(None) if one != two else r < s
-                        if len(r[fresh]):
-                            found.add(one, r[fresh], two, s[fresh])
+                centres, mine, x, x_lead = last[1]
+                _, others, y, y_lead = last[1] if one == two else read_block(two, row.keys_, row.x_)
+                goes, comes = ([may_link(z[at:end], centres[h], centres[[o for o, _, _ in far]], threshold, deviations) for h, at, end in near] for z, near, far in ((x, mine, others), (y, others, mine)))
+                for (i, (h, at, end)), (j, (h_, at_, end_)) in itertools.product(enumerate(mine), enumerate(others)):
+                    if one == two and h > h_:
+                        continue
+                    rows_x, rows_y, go, come = np.arange(at, end), np.arange(at_, end_), goes[i][:, j], comes[j][:, i]
+                    if h == h_:
+                        meetings = [(rows_x, rows_y)]
+                    else:
+                        meetings = [(rows_x[go], rows_y[come])] if deviations is None else [(rows_x[go], rows_y), (rows_x[~go], rows_y[come])]
+                    for these, those in meetings:
+                        for r, s in linked_pairs(x, x_lead, these, y, y_lead, those, threshold):
+                            fresh = r < s if one == two and h == h_ else slice(None)
+                            if len(r[fresh]):
+                                found.add(one, r[fresh], two, s[fresh])
         yield found.table()
 
-    # each pair of blocks once, and only where either has vectors that may be linked with the other's cell; no exchange: tasks read the blocks
-    cols = ["cell", "part", "keys", "x"]
+    # each pair of blocks once, and only where either has vectors that may be linked with the other's cells; no exchange: tasks read the blocks
+    cols = ["place", "part", "keys", "x"]
     other = blocks.select(*[F.col(c).alias(f"{c}_") for c in blocks.columns])
-    once = (F.col("cell") < F.col("cell_")) | ((F.col("cell") == F.col("cell_")) & (F.col("part") <= F.col("part_")))
-    goes, comes = F.array_contains("met", F.col("cell_")), F.array_contains("met_", F.col("cell"))
+    once = (F.col("place") < F.col("place_")) | ((F.col("place") == F.col("place_")) & (F.col("part") <= F.col("part_")))
+    goes, comes = F.array_contains("met", F.col("place_")), F.array_contains("met_", F.col("place"))
     pairs = blocks.join(other.hint("shuffle_replicate_nl"), once & (goes & comes if deviations is None else goes | comes))
     met = stored(pairs.select(*cols, *[f"{c}_" for c in cols]).mapInPandas(compare, "v long, linked long, a long, b long"))
     counts = met.where("linked > 0").groupBy("v").agg(F.sum("linked").alias("linked"))

@@ -531,6 +531,37 @@ def test_vectors_are_not_copied_to_the_cells_that_they_are_compared_with(spark):
     assert sum(pq.ParquetFile(p).metadata.num_rows for p in tables() - before if p.is_file()) < 4 * len(x)
 
 
+def test_short_products_lose_no_pair():
+    rng = np.random.default_rng(7)
+    low = np.zeros((700, 64))
+    low[:, 20:24] = rng.normal(size=(700, 4))
+    kinds = [rng.normal(size=(700, 64)), low, rng.normal(size=(700, 3)), rng.normal(size=(700, 64)) + 3, np.repeat(rng.normal(size=(7, 64)), 100, 0) + rng.normal(scale=0.05, size=(700, 64))]
+    for x in map(embdedup.unit, kinds):
+        at = np.arange(len(x))
+        for sample in (x, x[:3], np.eye(x.shape[1])):
+            short = embdedup.lead(x, embdedup.axes(sample))
+            assert short.shape[1] <= embdedup.LEAD + 1 and (short @ short.T >= x @ x.T - embdedup.SLACK).all()
+            found = list(embdedup.linked_pairs(x, short, at[::2], x, short, at, 0.95))
+            got = set(zip(np.concatenate([r for r, _ in found]).tolist(), np.concatenate([s for _, s in found]).tolist(), strict=True))
+            assert got == {(2 * r, s) for r, s in zip(*np.nonzero(x[::2] @ x.T >= 0.95), strict=True)}
+
+
+def test_each_pair_of_cells_meets_once(spark, monkeypatch):
+    """A pair of vectors is compared at one place, whatever the blocks."""
+    x = np.random.default_rng(8).normal(size=(1200, 32))
+    df = spark.createDataFrame(list(enumerate(np.repeat(x, 2, 0).tolist())), "vec_id long, embedding array<double>")
+    compared = spark.sparkContext.accumulator(0)
+    plain = embdedup.linked_pairs
+
+    def counted(x, x_lead, rows, y, y_lead, others, threshold):
+        compared.add(len(rows) * len(others))
+        return plain(x, x_lead, rows, y, y_lead, others, threshold)
+
+    monkeypatch.setattr(embdedup, "linked_pairs", counted)
+    assert embdedup.near_duplicates(df, cell=60, block=200).where("n_links = 1").count() == 2400
+    assert 0 < compared.value <= 0.6 * len(x) ** 2
+
+
 def test_dense_groups_over_blocks_of_cells(spark):
     rng = np.random.default_rng(6)
     x = np.concatenate([[c + rng.normal(scale=0.03, size=(250, 24)) for c in rng.normal(size=(2, 24))][k] for k in (0, 1)] + [rng.normal(size=(100, 24))])
