@@ -1,9 +1,11 @@
 """What larger tables need: the same results by ways that don't grow with the square of a date's stocks, or by plans that send less."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
-from panelforge.operators import books, conic
+from panelforge.operators import books, conic, evaluate, hashes, learn
 
 RNG = np.random.default_rng(12)
 
@@ -46,3 +48,43 @@ def test_projections_meet_their_conditions(low, high, total):
         if inside.any():
             m = (v - w)[inside].mean()
             np.testing.assert_allclose(np.clip(v - m, low, high), w, atol=1e-9 * max(1, scale))
+
+
+@pytest.mark.parametrize("temperature", [0.05, 1.0])
+@pytest.mark.parametrize("values", [RNG.normal(size=400) * 0.2, RNG.normal(size=300) * 40, np.repeat([0.1, -0.1, 0.0, 3.7], 50), np.array([0.25]), np.r_[RNG.normal(size=50), 1e6, 1e6 + 0.01, -1e300, 1e300]])
+def test_soft_ranks_are_sums_over_all_pairs(values, temperature):
+    with np.errstate(over="ignore"):
+        want = (1 / (1 + np.exp(-(values[:, None] - values[None, :]) / temperature))).sum(1)
+    np.testing.assert_allclose(evaluate.soft_ranks(values, temperature), want, rtol=1e-9)
+
+
+def test_a_date_of_many_rows_has_soft_ranks(spark):
+    rows = spark.range(60_000).selectExpr("cast(id % 2 as int) as t", "sin(id) as p", "cos(id * 0.3) / 10 as y")  # 1.8 thousand million pairs
+    got = {r["t"]: r["rank_ic_loss"] for r in evaluate.rank_ic_loss(rows, "p", "y", 0.05).collect()}
+    assert set(got) == {0, 1} and all(abs(v) < 0.05 for v in got.values())
+    odd = spark.createDataFrame([(0, 1.0, 2.0), (1, 1.0, None), (2, float("nan"), 1.0), (2, 1.0, 2.0), (3, 1.0, 5.0), (3, 2.0, 5.0)], "t int, p double, y double")
+    got = {r["t"]: r["rank_ic_loss"] for r in evaluate.rank_ic_loss(odd, "p", "y").collect()}
+    assert got[0] == 0 and got[3] == 0 and np.isnan(got[2]) and 1 not in got
+
+
+def test_digests_of_arrays_are_those_of_the_library():
+    for size, ending in ((1, b""), (7, b"60|0"), (40, b"1|-12345"), (50, b"12345"), (51, b"12345"), (80, b"x")):
+        texts = RNG.integers(33, 126, (30, size)).astype(np.uint8)
+        one, two = hashes.uniform_pairs(texts, ending)
+        want = [hashlib.md5(bytes(x) + ending).hexdigest() for x in texts]
+        assert one.tolist() == [int(h[:13], 16) / 2**52 for h in want] and two.tolist() == [int(h[13:26], 16) / 2**52 for h in want]
+
+
+def test_paths_are_those_of_their_keys(spark):
+    rows = [(t, n, 0.01 * n, 0.001 * t, 0.02) for t in (3, 20, 356) for n in (0, 9, 10, 123456)]
+    got = learn.simulated_targets(spark.createDataFrame(rows, "t int, n int, gap double, mu double, sigma double"), steps=12, seed=7).collect()
+    assert len(got) == 2 * len(rows)
+    for t, n, gap, mu, sigma in rows:
+        for r in [r for r in got if (r["t"], r["n"]) == (t, n)]:
+            at, seen = gap, []
+            for j in range(1, 13):
+                h = hashlib.md5(f"{n}|{t}|{r['path']}|{j}|7".encode()).hexdigest()
+                one, two = int(h[:13], 16) / 2**52, int(h[13:26], 16) / 2**52
+                at += (mu - sigma**2 / 2) / 12 + sigma * np.sqrt(-2 * np.log(1 - one)) * np.cos(2 * np.pi * two) / np.sqrt(12)
+                seen.append(at)
+            np.testing.assert_allclose([r["target"], r["top"], r["bottom"]], [np.clip(at, -0.2, 0.2), max(seen), min(seen)], rtol=1e-9)
