@@ -4,8 +4,10 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from panelforge.operators import books, conic, evaluate, hashes, learn
+from panelforge.operators import books, conic, evaluate, hashes, learn, relate
+from panelforge.plans.store import stored
 
 RNG = np.random.default_rng(12)
 
@@ -88,3 +90,62 @@ def test_paths_are_those_of_their_keys(spark):
                 at += (mu - sigma**2 / 2) / 12 + sigma * np.sqrt(-2 * np.log(1 - one)) * np.cos(2 * np.pi * two) / np.sqrt(12)
                 seen.append(at)
             np.testing.assert_allclose([r["target"], r["top"], r["bottom"]], [np.clip(at, -0.2, 0.2), max(seen), min(seen)], rtol=1e-9)
+
+
+def test_nearest_is_the_first_of_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.integers(0, 4)), float(rng.choice([rng.integers(-9, 9) / 4, np.nan, np.inf, -np.inf], p=[0.9, 0.04, 0.03, 0.03]))) for i in range(120)]
+    rows = [(i, g, None if i % 17 == 0 else v) for i, g, v in rows] + [(200, 7, 1.0), (201, 8, None), (202, 8, 3.0), (203, 9, float("nan")), (204, 9, None), (300, None, 1.0), (301, None, 1.0)]
+    stocks = spark.createDataFrame(rows, "stock int, grp int, value double")
+    got = {r["stock"]: r["near"] for r in relate.nearest(stocks, "grp", "value").collect()}
+    a, b = stocks.alias("a"), stocks.alias("b")
+    pairs = a.join(b, F.col("a.grp") == F.col("b.grp")).where("a.stock <> b.stock").select(F.col("a.stock").alias("stock1"), F.col("b.stock").alias("stock2"), F.expr("-abs(a.value - b.value)").alias("rel"))
+    want = {r["stock1"]: r["stock2"] for r in relate.keep_first(pairs, ["stock1"], [F.desc("rel"), F.asc("stock2")]).collect()}
+    assert got == want and 200 not in got
+
+
+def test_neighbours_make_no_pairs(spark):
+    found = relate.nearest(spark.range(100_000).selectExpr("id as stock", "1 as grp", "cast(id * 37 % 100000 as double) as value"), "grp", "value")  # ten thousand million pairs
+    assert found.where("abs(near * 37 % 100000 - stock * 37 % 100000) <> 1").count() == 0 and found.count() == 100_000
+
+
+def test_splits_read_what_is_stored_once(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(t, n, float(rng.normal()), float(rng.normal()), True) for t in range(40) for n in range(10)], "t int, n int, x double, y double, known boolean")
+    kept = []
+
+    def store(df):
+        kept.append(stored(df))
+        return kept[-1]
+
+    splits = books.walk_forward(40, 20, 10, 10)
+    plain = learn.walk_forward_predictions(rows, ["x"], "y", "known", splits).orderBy("t", "n").collect()
+    found = learn.walk_forward_predictions(rows, ["x"], "y", "known", splits, store=store)
+    assert len(kept) == 1 and len(plain) > 100 and set(found.inputFiles()) <= set(kept[0].inputFiles())
+    assert np.allclose([r["prediction"] for r in found.orderBy("t", "n").collect()], [r["prediction"] for r in plain])
+
+
+def test_a_held_zone_is_walked_date_by_date(spark):
+    rng = np.random.default_rng(9)
+    rows = [(s, t, n, float(rng.normal()), bool(rng.random() < 0.8 and (t, s) != (7, "b"))) for s in ("a", "b") for t in range(30) for n in range(700)]
+    table = spark.createDataFrame(rows, "strategy string, t int, n int, score double, valid boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")  # a date's zone comes in several batches
+    try:
+        got = {(r["strategy"], r["t"], r["n"]): r["weight"] for r in books.buffered(table).where("weight > 0").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, held, last = {}, [], None
+    for s in ("a", "b"):
+        for t in range(30):
+            zone = [n for _, n in sorted(((-round(score, 9), -n), n) for a, b, n, score, valid in rows if (a, b) == (s, t) and valid)]
+            wanted, leave = (max(1, int(np.ceil(len(zone) * share - 1e-9))) for share in (0.2, 0.3))
+            before, zone = held if last == s else [], zone[:leave]
+            stays = [n for n in zone if n in set(before)]
+            held, last = stays + [n for n in zone if n not in set(before)][: max(0, wanted - len(stays))], s
+            want |= {(s, t, n): 1 / len(held) for n in held}
+    assert got == pytest.approx(want) and not any(key[:2] == ("b", 7) for key in got)
+
+
+def test_no_group_has_all_zones(spark):
+    table = spark.createDataFrame([("a", 0, 0, 1.0, True)], "strategy string, t int, n int, score double, valid boolean")
+    assert "FlatMapGroups" not in books.buffered(table)._jdf.queryExecution().toString()
