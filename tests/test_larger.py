@@ -3,11 +3,13 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from panelforge.operators import books, conic, evaluate, hashes, learn, relate
 from panelforge.plans.store import stored
+from panelforge.sources import panel as panels
 
 RNG = np.random.default_rng(12)
 
@@ -149,3 +151,15 @@ def test_a_held_zone_is_walked_date_by_date(spark):
 def test_no_group_has_all_zones(spark):
     table = spark.createDataFrame([("a", 0, 0, 1.0, True)], "strategy string, t int, n int, score double, valid boolean")
     assert "FlatMapGroups" not in books.buffered(table)._jdf.queryExecution().toString()
+
+
+def test_the_panel_of_line_items_is_the_dense_grid_of_their_bars(spark):
+    lineitem = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    got, dates = panels.trade_panel(lineitem)
+    want, same = panels.densify(panels.trade_bars(lineitem), keys=panels.trade_keys(lineitem))
+    assert dates == same and got.columns == want.columns
+    key = lambda df: df.toPandas().sort_values(["n", "t"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(key(got), key(want))
+    for panel in (got, want):  # bars may be broadcast where they are few, the grid never
+        assert "BuildLeft" not in panels.violations(panel)._jdf.queryExecution().executedPlan().toString()
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
